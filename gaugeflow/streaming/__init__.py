@@ -1,0 +1 @@
+"""No streaming operators: every job in scope is a batch job over complete records."""
