@@ -101,7 +101,7 @@ def equal_bins(df: DataFrame, columns: list[str], bins: int = 30, label: str = "
     )
     tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, label, "value")
     width = (F.col("hi") - F.col("lo")) / bins
-    index = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)), F.lit(bins - 1)), F.lit(0))
+    index = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1))
     return (
         tall.where(F.col("value").isNotNull())
         .join(F.broadcast(bounds), label)
@@ -112,14 +112,25 @@ def equal_bins(df: DataFrame, columns: list[str], bins: int = 30, label: str = "
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every unordered column pair, long, from one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(f"p{k}").alias("r"))
+    """Pearson correlation of every unordered column pair, long, from one aggregation.
+
+    Taken over the rows complete in all columns; null where a column does not vary.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    wide = df.dropna(subset=columns).agg(
+        *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
+        *[F.covar_pop(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)],
+    )
+    rows = [F.struct(F.lit(c).alias("var_1"), F.lit(c).alias("var_2"), F.when(F.col(f"s_{c}") > 0, 1.0).alias("r")) for c in columns]
+    rows += [
+        F.struct(
+            F.lit(a).alias("var_1"),
+            F.lit(b).alias("var_2"),
+            F.try_divide(F.col(f"c{k}"), F.col(f"s_{a}") * F.col(f"s_{b}")).alias("r"),
+        )
         for k, (a, b) in enumerate(pairs)
-    ])
-    return wide.select(F.inline(rows))
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def pivot_shares(df: DataFrame, keys: list[str], label: str, value: str, labels: list[str], prefix: str = "") -> DataFrame:

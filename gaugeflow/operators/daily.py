@@ -35,7 +35,7 @@ def fill_daily_gaps(daily: DataFrame) -> DataFrame:
     spans = anchors.select(
         SITE, "date", "q", F.lead("date").over(ordered).alias("_next"), F.lead("q").over(ordered).alias("_next_q")
     )
-    length = F.coalesce(F.datediff("_next", "date"), F.lit(1))
+    length = F.greatest(F.datediff("_next", "date"), F.lit(1))
     steps = spans.select("*", length.alias("_len"), F.explode(F.sequence(F.lit(0), length - 1)).alias("_k"))
     between = F.col("q") + (F.col("_next_q") - F.col("q")) * F.col("_k") / F.col("_len")
     own = F.when(F.col("_k") == 0, F.col("q"))

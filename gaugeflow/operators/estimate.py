@@ -2,14 +2,12 @@
 
 Weighted regressions on time, discharge and season (Hirsch, Moyer & Archfield 2010): around each
 node of a (time, ln Q) grid, ln C is regressed on time, ln Q and the season with tricube weights.
-Only sums over the samples are needed per node, so Spark reduces (node, sample) pairs to 22 sums,
-and Python sees nothing but those sums.
+Spark folds samples per day, lays out the grids and places (site, block of years) groups; inside a
+group, bounded by the calendar, the weighted sums of all nodes are matrix products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,18 +22,8 @@ LEVELS = 14
 LN_Q_MARGIN = 0.05
 ZERO_SHIFT = 0.001
 GROWTH = 1.1
-TERMS = ("one", "dt", "dl", "sin", "cos")
-MOMENTS = [f"a{i}{j}" for i in range(5) for j in range(i, 5)]
-RIGHT = [f"r{i}" for i in range(5)]
-
-
-def _tricube(distance: Column, half: Column) -> Column:
-    u = F.abs(distance) / half
-    return F.when(u < 1, F.pow(1 - u * u * u, F.lit(3.0))).otherwise(F.lit(0.0))
-
-
-def _season_distance(dt: Column) -> Column:
-    return F.abs(dt - F.round(dt))
+UPPER = np.triu_indices(5)
+SURFACE = f"{SITE} string, ti int, li int, y_hat double, se double, n_obs double, growth int"
 
 
 def _with_ln_q(daily: DataFrame) -> DataFrame:
@@ -89,52 +77,78 @@ def _sample_days(samples: DataFrame, days: DataFrame, grid: DataFrame) -> DataFr
     return kept.join(days.select(SITE, "date", "t", "ln_q"), [SITE, "date"]).where(F.col("ln_q").isNotNull())
 
 
-def _node_time() -> Column:
-    return F.col("t0") + F.col("ti") / STEPS_PER_YEAR
-
-
-def _base_half_year(half_y: float, edge_adjust: bool) -> Column:
-    """Half-window in time; near the ends it widens so that its whole span stays the same."""
-    if not edge_adjust:
-        return F.lit(float(half_y))
-    edge = F.least(_node_time() - F.col("t_lo"), F.col("t_hi") - _node_time())
-    return F.when(edge <= half_y, 2 * half_y - edge).otherwise(F.lit(float(half_y)))
-
-
-def _moments(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Weighted normal-equation sums per node; ``w``, ``dt``, ``dl`` and sample sums per pair."""
-    angle = 2 * np.pi * (F.col("node_t") + F.col("dt"))
-    x = {"one": F.lit(1.0), "dt": F.col("dt"), "dl": F.col("dl"), "sin": F.sin(angle), "cos": F.cos(angle)}
-    pairs = pairs.withColumns({"_sin": x["sin"], "_cos": x["cos"], "_wm": F.col("w") * F.col("m"), "_wy": F.col("w") * F.col("sy")})
-    x["sin"], x["cos"] = F.col("_sin"), F.col("_cos")
-    terms = [x[t] for t in TERMS]
-    sums = [F.sum(F.col("_wm") * terms[i] * terms[j]).alias(f"a{i}{j}") for i in range(5) for j in range(i, 5)]
-    sums += [F.sum(F.col("_wy") * terms[i]).alias(f"r{i}") for i in range(5)]
-    sums += [F.sum(F.col("w") * F.col("sy2")).alias("yy"), F.sum(F.when(F.col("w") > 0, F.col("m")).otherwise(0)).alias("n_obs")]
-    return pairs.groupBy(*keys).agg(*sums)
-
-
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """5 x 5 systems of a batch at once; ``node_t`` fixes the season at the node."""
-    upper = np.triu_indices(5)
-    for batch in batches:
-        a = np.zeros((len(batch), 5, 5))
-        a[:, upper[0], upper[1]] = batch[MOMENTS].to_numpy()
-        a[:, upper[1], upper[0]] = a[:, upper[0], upper[1]]
-        r = batch[RIGHT].to_numpy()
-        b = np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=1e-12, hermitian=True), r)
-        angle = 2 * np.pi * batch["node_t"].to_numpy()
-        total = a[:, 0, 0]
-        rss = np.maximum(batch["yy"].to_numpy() - np.einsum("ni,ni->n", b, r), 0.0)
-        yield pd.DataFrame({
-            SITE: batch[SITE],
-            "ti": batch["ti"],
-            "li": batch["li"],
-            "y_hat": b[:, 0] + b[:, 3] * np.sin(angle) + b[:, 4] * np.cos(angle),
-            "se": np.sqrt(rss / np.where(total > 0, total, np.nan)),
-            "n_obs": batch["n_obs"],
-            "growth": batch["growth"],
-        })
+def _tricube(u: np.ndarray) -> np.ndarray:
+    v = 1 - u * u * u
+    return np.where(u < 1, v * v * v, 0.0)
+
+
+def _growth_steps(entry: np.ndarray, m: np.ndarray, min_obs: float) -> np.ndarray:
+    """Window growth per level: the least step at which ``min_obs`` samples have entered.
+
+    ``entry`` (levels x points) is the window size, relative to the base, a point needs. A level
+    that never gets there takes all points.
+    """
+    steps = np.zeros(len(entry), dtype=int)
+    for level in np.flatnonzero((entry < 1) @ m < min_obs):
+        order = np.argsort(entry[level])
+        at = min(np.searchsorted(np.cumsum(m[order]), min_obs), len(order) - 1)
+        need = entry[level][order][at]
+        if need >= 1:
+            steps[level] = int(np.floor(np.log(need) / np.log(GROWTH))) + 1
+    return steps
+
+
+def _block_fitter(half_s: float, half_y: float, half_q: float, min_obs: int, edge_adjust: bool, block_years: int):
+    """Regression at the nodes of one (site, block of years) from all sample days of the site."""
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.iloc[0]
+        group = group.sort_values("t")
+        t, lq, m, sy, sy2 = (group[c].to_numpy(dtype=float) for c in ("t", "ln_q", "m", "sy", "sy2"))
+        level = g["l0"] + g["step"] * np.arange(LEVELS)
+        mid = (g["l0"] + g["l1"]) / 2
+        dl = np.abs(level[:, None] - lq[None, :])
+        sin, cos = np.sin(2 * np.pi * t), np.cos(2 * np.pi * t)
+        first = int(g["block"]) * block_years * STEPS_PER_YEAR
+        out = []
+        for ti in range(first, min(first + block_years * STEPS_PER_YEAR, int(g["nt"]))):
+            node = g["t0"] + ti / STEPS_PER_YEAR
+            edge = min(node - g["t_lo"], g["t_hi"] - node)
+            hy = 2 * half_y - edge if edge_adjust and edge <= half_y else half_y
+            dt = t - node
+            season = np.abs(dt - np.round(dt))
+            near = np.maximum(np.abs(dt) / hy, season / half_s)
+            near = np.where(season < max(half_s, 0.5), near, np.inf)
+            steps = _growth_steps(np.maximum(near[None, :], dl / half_q), m, min_obs)
+            w = np.empty_like(dl)
+            for step in np.unique(steps):
+                grow, at = GROWTH**step, steps == step
+                half_season = min(half_s * grow, 0.5) if half_s <= 0.5 else half_s
+                in_time = _tricube(np.abs(dt) / (hy * grow)) * _tricube(season / half_season)
+                w[at] = in_time * _tricube(dl[at] / (half_q * grow))
+            x = np.stack([np.ones_like(t), dt, lq - mid, sin, cos], axis=1)
+            products = x[:, UPPER[0]] * x[:, UPPER[1]] * m[:, None]
+            a = np.zeros((LEVELS, 5, 5))
+            a[:, UPPER[0], UPPER[1]] = w @ products
+            a[:, UPPER[1], UPPER[0]] = a[:, UPPER[0], UPPER[1]]
+            r = w @ (x * sy[:, None])
+            b = np.einsum("nij,nj->ni", np.linalg.pinv(a, rcond=1e-12, hermitian=True), r)
+            angle = 2 * np.pi * node
+            at_node = np.stack([np.ones(LEVELS), np.zeros(LEVELS), level - mid, np.full(LEVELS, np.sin(angle)), np.full(LEVELS, np.cos(angle))], axis=1)
+            rss = np.maximum(w @ sy2 - np.einsum("ni,ni->n", b, r), 0.0)
+            total = a[:, 0, 0]
+            out.append(pd.DataFrame({
+                SITE: g[SITE],
+                "ti": ti,
+                "li": np.arange(LEVELS),
+                "y_hat": np.einsum("ni,ni->n", b, at_node),
+                "se": np.sqrt(rss / np.where(total > 0, total, np.nan)),
+                "n_obs": (w > 0) @ m,
+                "growth": steps,
+            }))
+        return pd.concat(out, ignore_index=True)
+
+    return fit
 
 
 def fit_surface(
@@ -145,95 +159,28 @@ def fit_surface(
     half_q: float = 2,
     min_obs: int = 45,
     edge_adjust: bool = True,
+    block_years: int = 4,
 ) -> DataFrame:
     """Regression at every grid node: y_hat, se, number of samples and window growth.
 
-    First pass: each sample meets only the nodes its base window reaches. Nodes that collect
-    fewer than ``min_obs`` samples take a second pass over all samples of their site: the growth
-    step (factor 1.1 each) at which a sample enters is counted per node, the smallest step that
-    reaches ``min_obs`` is chosen (all samples if none does), and the sums are taken with it.
-    Pairs are placed by (site, year of the node), so a long record spreads over many tasks and no
-    further exchange is needed.
+    A node with fewer than ``min_obs`` samples in its base windows widens all three by steps of
+    1.1 until it has enough; which may take any sample of the site, so every block of years gets
+    all sample days of its site. There are at most as many as calendar days, and blocks spread a
+    long record over many tasks. A site without samples in its discharge record has no surface.
     """
-    return _fit(*_prepare(samples, daily), half_s, half_y, half_q, min_obs, edge_adjust)
-
-
-def _prepare(samples: DataFrame, daily: DataFrame) -> tuple[DataFrame, DataFrame]:
     days = _with_ln_q(daily)
-    grid = _grid(days)
-    return _sample_days(samples, days, grid), grid
-
-
-def _fit(points: DataFrame, grid: DataFrame, half_s, half_y, half_q, min_obs, edge_adjust) -> DataFrame:
-    keys = [SITE, "yi", "ti", "li"]
-    reach = 2 * half_y if edge_adjust else half_y
-    site_grid = [SITE, "t0", "t_lo", "t_hi", "l0", "step", "nt"]
-    point = ["t", "ln_q", "m", "sy", "sy2"]
-    last_year = F.floor((F.col("nt") - 1) / STEPS_PER_YEAR)
-
-    def years(lo: Column, hi: Column) -> Column:
-        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, last_year)
-        return F.explode(F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))))
-
-    # Every node starts with one empty pair, so that nodes without samples are seen as well.
-    seeds = grid.select(*site_grid, *[F.lit(None).cast("double").alias(c) for c in point], years(F.lit(0), last_year).alias("yi"))
-    blocks = points.select(
-        *site_grid,
-        *[F.col(c).cast("double").alias(c) for c in point],
-        years(F.floor(F.col("t") - reach - F.col("t0")), F.floor(F.col("t") + reach - F.col("t0"))).alias("yi"),
-    )
-    placed = blocks.unionByName(seeds).repartition(SITE, "yi")
-
-    first = F.col("yi") * STEPS_PER_YEAR
-    steps = F.sequence(first, F.least(first + STEPS_PER_YEAR - 1, F.col("nt") - 1))
-    nodes = placed.withColumn("ti", F.explode(steps.cast("array<int>"))).withColumn("node_t", _node_time())
-    nodes = nodes.withColumns({"dt": F.col("t") - F.col("node_t"), "hy": _base_half_year(half_y, edge_adjust)})
-    nodes = nodes.withColumn("w_ts", _tricube(F.col("dt"), F.col("hy")) * _tricube(_season_distance(F.col("dt")), F.lit(half_s)))
-    nodes = nodes.where(F.col("t").isNull() | (F.col("w_ts") > 0))
-    level_lo = F.when(F.col("t").isNull(), 0).otherwise(F.greatest(F.ceil((F.col("ln_q") - half_q - F.col("l0")) / F.col("step")), F.lit(0)))
-    level_hi = F.when(F.col("t").isNull(), LEVELS - 1).otherwise(
-        F.least(F.floor((F.col("ln_q") + half_q - F.col("l0")) / F.col("step")), F.lit(LEVELS - 1))
+    points = _sample_days(samples, days, _grid(days))
+    last = F.floor((F.col("nt") - 1) / (STEPS_PER_YEAR * block_years)).cast("int")
+    placed = points.select(
+        SITE, "t0", "t_lo", "t_hi", "l0", "l1", "step", "nt", "t", "ln_q", "m", "sy", "sy2",
+        F.explode(F.sequence(F.lit(0), last)).alias("block"),
     )
-    levels = F.when(level_lo <= level_hi, F.sequence(level_lo.cast("int"), level_hi.cast("int")))
-    pairs = nodes.withColumn("li", F.explode(levels))
-    pairs = pairs.withColumn("dl", F.col("ln_q") - (F.col("l0") + F.col("li") * F.col("step")))
-    pairs = pairs.withColumn("w", F.col("w_ts") * _tricube(F.col("dl"), F.lit(half_q)))
-    base_keys = [*keys, "node_t", "hy", "l0", "step", "t0"]
-    base = _moments(pairs, base_keys)
-    enough = base.where(F.col("n_obs") >= min_obs).withColumn("growth", F.lit(0))
-
-    # Second pass, only for the nodes short of samples.
-    short = base.where(F.coalesce(F.col("n_obs"), F.lit(0)) < min_obs).select(*base_keys)
-    short_years = short.select(SITE, "yi").distinct()
-    candidates = points.select(SITE, *[F.col(c).cast("double").alias(c) for c in point]).join(short_years, SITE)
-
-    def wide_pairs(of_nodes: DataFrame) -> DataFrame:
-        p = of_nodes.join(candidates, [SITE, "yi"])
-        return p.withColumns({
-            "dt": F.col("t") - F.col("node_t"),
-            "dl": F.col("ln_q") - (F.col("l0") + F.col("li") * F.col("step")),
-        })
-
-    season = _season_distance(F.col("dt"))
-    widest = F.greatest(F.abs("dt") / F.col("hy"), F.abs("dl") / half_q, season / half_s)
-    entry = F.when(widest < 1, 0).otherwise(F.floor(F.ln(widest) / np.log(GROWTH)) + 1).cast("int")
-    counted = wide_pairs(short).where(season < max(half_s, 0.5)).groupBy(*base_keys, entry.alias("k")).agg(F.sum("m").alias("_m"))
-    upto = F.sum("_m").over(Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = counted.withColumn("_upto", upto).groupBy(*base_keys).agg(
-        F.coalesce(F.min(F.when(F.col("_upto") >= min_obs, F.col("k"))), F.max("k")).alias("growth")
-    )
-    grow = F.pow(F.lit(GROWTH), F.col("growth"))
-    half_season = F.least(half_s * grow, F.lit(0.5)) if half_s <= 0.5 else F.lit(float(half_s))
-    widened = wide_pairs(chosen).withColumn(
-        "w",
-        _tricube(F.col("dt"), F.col("hy") * grow) * _tricube(F.col("dl"), half_q * grow) * _tricube(_season_distance(F.col("dt")), half_season),
-    ).where(F.col("w") > 0)
-    extra = _moments(widened, [*base_keys, "growth"])
-
-    sums = enough.unionByName(extra)
-    cols = [SITE, "ti", "li", "node_t", "growth", *MOMENTS, *RIGHT, "yy", "n_obs"]
-    schema = f"{SITE} string, ti int, li int, y_hat double, se double, n_obs double, growth int"
-    return sums.select(*cols).mapInPandas(_solve, schema)
+    # Little data, much arithmetic: the number of tasks is set, as merging small ones would idle cores.
+    spark = daily.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = placed.repartition(tasks, SITE, "block")
+    fitter = _block_fitter(half_s, half_y, half_q, min_obs, edge_adjust, block_years)
+    return placed.groupBy(SITE, "block").applyInPandas(fitter, SURFACE)
 
 
 def daily_from_surface(daily: DataFrame, surface: DataFrame) -> DataFrame:
@@ -243,10 +190,7 @@ def daily_from_surface(daily: DataFrame, surface: DataFrame) -> DataFrame:
     one equi-join on (site, step).
     """
     days = _with_ln_q(daily)
-    return _interpolate(days, _grid(days), surface)
-
-
-def _interpolate(days: DataFrame, grid: DataFrame, surface: DataFrame) -> DataFrame:
+    grid = _grid(days)
     value = F.struct("y_hat", "se")
     both = surface.select(SITE, "li", value.alias("v"), F.explode(F.array(
         F.struct(F.col("ti").alias("ti"), F.lit(0).alias("side")), F.struct((F.col("ti") - 1).alias("ti"), F.lit(1).alias("side"))
@@ -284,11 +228,8 @@ def concentration_surface(
     edge_adjust: bool = True,
 ) -> DataFrame:
     """Daily concentration estimate per site: site_no, date, q, y_hat, se, conc."""
-    days = _with_ln_q(daily)
-    grid = _grid(days)
-    points = _sample_days(samples, days, grid)
-    surface = _fit(points, grid, half_s, half_y, half_q, min_obs, edge_adjust)
-    return _interpolate(days, grid, surface)
+    surface = fit_surface(samples, daily, half_s, half_y, half_q, min_obs, edge_adjust)
+    return daily_from_surface(daily, surface)
 
 
 def residual_bridge(daily_est: DataFrame, samples: DataFrame, rho: float = 0.9) -> DataFrame:
@@ -316,8 +257,8 @@ def residual_bridge(daily_est: DataFrame, samples: DataFrame, rho: float = 0.9)
         return F.pow(F.lit(float(rho)), n)
 
     full = 1 - power(2 * (s + u))
-    between = (power(s) * (1 - power(2 * u)) * za + power(u) * (1 - power(2 * s)) * zb) / full
-    spread = (1 - power(2 * s)) * (1 - power(2 * u)) / full
+    between = F.try_divide(power(s) * (1 - power(2 * u)) * za + power(u) * (1 - power(2 * s)) * zb, full)
+    spread = F.try_divide((1 - power(2 * s)) * (1 - power(2 * u)), full)
     on_day = F.col("_s").isNotNull()
     a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
     m = F.when(on_day, F.col("_s.z")).when(a & b, between).when(a, power(s) * za).when(b, power(u) * zb).otherwise(F.lit(0.0))

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import unbounded_quantiles
+from ..functions.quantiles import quantile, unbounded_quantiles
 from ..functions.series import SITE
 
 
-def end_members(samples: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
+def end_members(samples: DataFrame, lo: float = 0.01, hi: float = 0.99, one_per_day: bool = False) -> DataFrame:
     """Runoff and groundwater end members: a low and a high quantile of a site's samples.
 
-    A site can hold any share of the samples, so no task ever receives a whole site.
+    A site can hold any share of the samples, so no task ever receives a whole site. Samples
+    known to be folded to one per day are bounded by the calendar; ``one_per_day`` then takes the
+    same quantiles with one plain aggregation.
     """
+    if one_per_day:
+        return samples.groupBy(SITE).agg(quantile("result_va", lo).alias("runoff"), quantile("result_va", hi).alias("gw"))
     return unbounded_quantiles(samples, [SITE], "result_va", {"runoff": lo, "gw": hi})
 
 

@@ -194,12 +194,13 @@ def sample_overlay(v: Views) -> DataFrame:
 
 @query("site_no:s runoff:f4 gw:f4", "select * from members")
 def end_members(v: Views) -> DataFrame:
-    return v.members()
+    return op.end_members(v.fan_out().samples)
 
 
 @query("site_no:s date:d q:f4 gen_conc:f4 bf:f4 bf_percent:f6", "select * from separated")
 def baseflow_separation(v: Views) -> DataFrame:
-    return v.separated
+    v.fan_out()
+    return op.baseflow_separation(v.daily_est, op.end_members(v.samples))
 
 
 @query("site_no:s date:d q:f6 water_year:i", "select * from complete")
@@ -214,10 +215,12 @@ def complete_water_years(v: Views) -> DataFrame:
     having count(distinct {wy('date')}) >= 5) k on a.site_no = k.site_no""",
 )
 def annual_baseflow(v: Views) -> DataFrame:
+    v.fan_out()
     return op.annual_baseflow(op.baseflow_separation(v.daily_est_staggered, v.members()), min_years=5)
 
 
 def _mid_annual(v: Views) -> DataFrame:
+    v.fan_out()
     return op.annual_baseflow(op.baseflow_separation(v.daily_est, v.members(0.4, 0.6)), min_years=1)
 
 
@@ -388,7 +391,7 @@ def peak_snow(v: Views) -> DataFrame:
     "select *, sdd - peak_swe_day as melt_days from snow",
 )
 def snow_disappearance(v: Views) -> DataFrame:
-    swe = v.swe
+    swe = v.fan_out().swe
     return op.snow_disappearance(swe, op.peak_snow(swe))
 
 
@@ -695,7 +698,7 @@ _LABELS = {
 
 
 def _hist(column: str, source: str, label: str) -> str:
-    return f"""select '{label}' as variable, bin, count(*) as n from (select coalesce(least(floor((x - lo) / nullif((hi - lo) / 30, 0)), 29), 0) as bin
+    return f"""select '{label}' as variable, bin, count(*) as n from (select least(coalesce(floor((x - lo) / nullif((hi - lo) / 30, 0)), 0), 29) as bin
         from (select cast({column} as double) as x, min(cast({column} as double)) over () as lo, max(cast({column} as double)) over () as hi from {source} where {column} is not null)) group by bin"""
 
 

@@ -212,7 +212,7 @@ class Views:
         return op.low_flow_q5(self.complete)
 
     def members(self, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-        return op.end_members(self.samples, lo, hi)
+        return op.end_members(self.samples, lo, hi, one_per_day=True)
 
     @property
     def separated(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,22 +19,33 @@ def local_session(app: str = "gaugeflow", cores: str = "8", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors see: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session without one, as in tests, gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="gaugeflow-")
+        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Used where one table feeds many passes (model fits, report fan-out). The folder is the one
-    the cluster names in ``spark.checkpoint.dir``; only a session without one, as in tests, gets
-    a folder of its own.
+    Used where one table feeds many passes (model fits, report fan-out). A stored columnar table
+    survives lost executors, is pruned by column in each pass, and gives the planner its true
+    size, so that it broadcasts what is small and only that.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gaugeflow-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/gaugeflow-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
