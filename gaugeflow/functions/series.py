@@ -46,7 +46,7 @@ def longest_missing_run(df: DataFrame, present: Column, date: str = "date", name
 
     A run between two present days is the distance of their dates minus one, so neither a dense
     calendar nor run-length encoding is needed. Runs at either end count from the first or to the
-    last row.
+    last row. Null for a site whose rows have no date.
     """
     day = F.when(present, F.col(date))
     before = F.last(day, ignorenulls=True).over(by_site(date).rowsBetween(Window.unboundedPreceding, -1))
@@ -59,7 +59,20 @@ def longest_missing_run(df: DataFrame, present: Column, date: str = "date", name
         F.count("_day").alias("_n"),
     )
     run = F.when(F.col("_n") == 0, F.col("_all")).otherwise(F.greatest("_inner", "_head", "_tail"))
-    return found.select(SITE, F.coalesce(run, F.lit(0)).alias(name))
+    return found.select(SITE, run.alias(name))
+
+
+def with_longest_run(df: DataFrame, present: Column, date: str = "date", name: str = "max_run") -> DataFrame:
+    """The same longest run as a column of every row, without reading the table a second time."""
+    site = Window.partitionBy(SITE)
+    day = F.when(present, F.col(date))
+    before = F.last(day, ignorenulls=True).over(by_site(date).rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumns({"_day": day, "_before": before})
+    first, last = F.min("_day").over(site), F.max("_day").over(site)
+    lo, hi = F.min(date).over(site), F.max(date).over(site)
+    inner = F.max(F.datediff("_day", "_before") - 1).over(site)
+    run = F.when(first.isNull(), F.datediff(hi, lo) + 1).otherwise(F.greatest(inner, F.datediff(first, lo), F.datediff(hi, last)))
+    return rows.withColumn(name, run).drop("_day", "_before")
 
 
 def align_daily(tables: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import drop_sites
-from ..functions.series import SITE, by_site, date_bounds, longest_missing_run
+from ..functions.series import SITE, by_site, date_bounds, longest_missing_run, with_longest_run
 
 
 def missing_day_sites(daily: DataFrame) -> DataFrame:
@@ -68,11 +68,9 @@ def resolve_long_gaps(
     """
     exclude = list(exclude)
     filled, samples = drop_sites(filled, exclude), drop_sites(samples, exclude)
-    long_sites = interpolated_runs(filled).where(F.col("max_run") > max_run)
-    policy = long_sites.join(date_bounds(samples, "sample_dt", "_first", "_last"), SITE, "left").select(
-        SITE, "_first", F.lit(True).alias("_long")
-    )
-    kept = filled.join(policy, SITE, "left").where(F.col("_long").isNull() | (F.col("date") > F.col("_first")))
+    runs = with_longest_run(filled, F.col("interp_flag") == "no")
+    starts = date_bounds(samples, "sample_dt", "_first", "_last")
+    kept = runs.join(starts, SITE, "left").where((F.col("max_run") <= max_run) | (F.col("date") > F.col("_first")))
     discharge = kept.select(SITE, "date", F.col("filled_q").alias("discharge"))
     if complete is not None:
         untouched = drop_sites(complete, exclude).join(filled.select(SITE).distinct(), SITE, "left_anti")
@@ -82,7 +80,6 @@ def resolve_long_gaps(
 
 def sample_overlay(filled: DataFrame, samples: DataFrame, max_run: int = 49) -> DataFrame:
     """Samples laid over the filled series of the sites with a long interpolated run."""
-    long_sites = interpolated_runs(filled).where(F.col("max_run") > max_run).select(SITE)
-    days = filled.join(long_sites, SITE, "left_semi")
+    days = with_longest_run(filled, F.col("interp_flag") == "no").where(F.col("max_run") > max_run).drop("max_run")
     values = samples.select(SITE, F.col("sample_dt").alias("date"), F.col("result_va").alias("cond"))
     return days.join(values, [SITE, "date"], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.aggregates import bounded_rank, first_per_key
+from ..functions.aggregates import bounded_rank
 from ..functions.series import SITE
 from .model import KEYS, drivers_of
 
@@ -103,12 +103,8 @@ def mean_abs_shap(shap: DataFrame, feature_classes: DataFrame | None = None, res
 
 def shap_dependence(shap: DataFrame, panel: DataFrame, feature: str, zone: str | None = "zone") -> DataFrame:
     """Attribution of one driver next to its value (and zone) in the panel, row by row."""
-    values = panel.select(*KEYS, F.col(feature).alias("feature_value"))
-    out = shap.where(F.col("feature") == feature).select(*KEYS, "feature", "phi").join(values, list(KEYS), "left")
-    if zone is not None:
-        zones = first_per_key(panel.select(SITE, "water_year", zone), [SITE], ["water_year"]).select(SITE, zone)
-        out = out.join(zones, SITE, "left")
-    return out
+    values = panel.select(*KEYS, F.col(feature).alias("feature_value"), *([zone] if zone else []))
+    return shap.where(F.col("feature") == feature).select(*KEYS, "feature", "phi").join(values, list(KEYS), "left")
 
 
 def site_mean_filter(frame: DataFrame, column: str = "mean_slope", minimum: float = 13) -> DataFrame:

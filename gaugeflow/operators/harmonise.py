@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.columns import drop_sites, to_double
 from ..functions.series import SITE
@@ -41,14 +42,14 @@ def harmonise(
 
     ``annual`` tables are keyed (site_no, water_year), ``static`` ones site_no; both are unique
     on their key. The mean baseflow of a site over its years is added as ``mean_bf``. Annual
-    tables go first, so that they share one placement by (site, year). Attributes are left to
-    the planner, which broadcasts those it knows to be small and no others.
+    tables go first and share one placement by (site, year); the mean and the attributes share the
+    one by site. Broadcasting attributes is left to the planner, which broadcasts those it knows to be small and no others.
     """
     panel = facts
     for table in annual:
         panel = panel.join(table, [SITE, "water_year"], "left")
-    means = facts.groupBy(SITE).agg(F.avg("bf_prop").alias("mean_bf"))
-    for table in (means, *static):
+    panel = panel.withColumn("mean_bf", F.avg("bf_prop").over(Window.partitionBy(SITE)))
+    for table in static:
         panel = panel.join(table, SITE, "left")
     return panel
 

@@ -20,6 +20,7 @@ from ..functions.aggregates import (
 from ..functions.columns import drop_sites, relabel, safe_ln, sort_key
 from ..functions.quantiles import quantile, unbounded_quantiles
 from ..functions.series import SITE
+from ..session import cut_lineage
 from .harmonise import CLIMATE_DRIVERS, DRIVER_SETS, SITE_DRIVERS
 
 POOR, GOOD = "poor prediction", "good prediction"
@@ -163,12 +164,15 @@ def improvement_by_zone_flow(joined: DataFrame, zone: str = "zone") -> DataFrame
 def relative_improvement(joined: DataFrame, zone: str = "zone") -> DataFrame:
     """Median relative gain among improved poor rows, and the ratio of mean gain to mean flow, by zone.
 
-    A zone can hold any share of the rows, so the median is taken without gathering it.
+    A zone can hold any share of the rows, so the median is taken without gathering it. The few
+    columns needed are stored, as that takes several passes.
     """
-    improved = joined.where(_improved()).select(zone, F.try_divide("res_diff", "q5_norm").alias("_rel"))
-    medians = unbounded_quantiles(improved, [zone], "_rel", {"median_rel_gain": 0.5})
-    ratios = joined.groupBy(zone).agg(F.try_divide(F.avg("res_diff"), F.avg("q5_norm")).alias("mean_ratio"))
-    return ratios.join(medians, zone, "left")
+    relative = F.when(_improved(), F.try_divide("res_diff", "q5_norm"))
+    rows = cut_lineage(joined.select(zone, "res_diff", "q5_norm", relative.alias("_rel")))
+    medians = unbounded_quantiles(rows, [zone], "_rel", {"median_rel_gain": 0.5})
+    ratios = rows.groupBy(zone).agg(F.try_divide(F.avg("res_diff"), F.avg("q5_norm")).alias("mean_ratio"))
+    medians = medians.withColumnRenamed(zone, "_zone")
+    return ratios.join(medians, F.col(zone).eqNullSafe(F.col("_zone")), "left").drop("_zone")
 
 
 def snow_aridity_residual(joined: DataFrame, zone: str = "zone") -> DataFrame:
@@ -229,7 +233,6 @@ def gain_histogram(classes: DataFrame, width: float = 0.001, facet: str = "class
 def driver_correlation(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of the drivers; site drivers are taken from the first row of a site."""
     columns = list(columns or DRIVER_SETS["full"])
-    static = [c for c in columns if c in SITE_DRIVERS]
-    first = first_per_key(frame.select(SITE, "water_year", *static), [SITE], ["water_year"]).drop("water_year")
-    joined = first.join(frame.select(SITE, *[c for c in columns if c not in static]), SITE, "left")
-    return correlation_pairs(joined, columns)
+    years = Window.partitionBy(SITE).orderBy("water_year")
+    rows = frame.select(*[F.first(c).over(years).alias(c) if c in SITE_DRIVERS else F.col(c) for c in columns])
+    return correlation_pairs(rows, columns)

@@ -54,9 +54,11 @@ def site_screen_continuity(samples: DataFrame, daily: DataFrame, max_gap: int =
     A site with nothing left is Bad, a site without a gap is Good.
     """
     bounds = date_bounds(samples.where(F.col("sample_dt").isNotNull()), "sample_dt", "_first", "_last")
-    cropped = daily.join(bounds, SITE).where(F.col("date").between(F.col("_first"), F.col("_last")))
+    days = daily.select(F.col(SITE).alias("_site"), "date", "q")
+    inside = (F.col(SITE) == F.col("_site")) & F.col("date").between(F.col("_first"), F.col("_last"))
+    cropped = bounds.join(days, inside, "left").select(SITE, "date", "q")
     runs = longest_missing_run(cropped, F.col("q").isNotNull())
-    return bounds.join(runs, SITE, "left").select(
+    return runs.select(
         SITE,
         "max_run",
         F.when(F.col("max_run") <= max_gap, F.lit("Good")).otherwise(F.lit("Bad")).alias("keep"),
@@ -141,9 +143,8 @@ def model_window_inputs(
     ).where(F.col("_months") >= months)
     starts = sampled.select(SITE, F.date_sub("_first", _lead_days(lead_years, inclusive)).alias("_from"))
     kept_daily = daily.join(starts, SITE).where(F.col("date") >= F.col("_from")).select(*daily.columns)
-    recorded = daily.join(starts, SITE).groupBy(SITE).agg(
-        F.min("date").alias("_lo"), F.max(F.when(F.col("date") >= F.col("_from"), F.col("date"))).alias("_hi")
-    )
+    ends = date_bounds(daily, "date", "_lo", "_hi")
+    recorded = ends.join(starts, SITE).where(F.col("_hi") >= F.col("_from"))
     day = F.col("sample_dt")
     inside = day.between(F.col("_lo"), F.col("_hi")) if inclusive else (day > F.col("_lo")) & (day < F.col("_hi"))
     kept_samples = samples.join(recorded, SITE).where(inside).select(*samples.columns)

@@ -80,6 +80,7 @@ def site_screen_coavailable(v: Views) -> DataFrame:
     join (select site_no, count(*) as n_daily_rows from daily_q group by 1) d on s.site_no = d.site_no where n_sample_dates > 696""",
 )
 def site_screen_counts(v: Views) -> DataFrame:
+    v.fan_out()
     return op.site_screen_counts(v.samples, v.daily_q, min_dates=696)
 
 
@@ -91,6 +92,7 @@ def site_screen_counts(v: Views) -> DataFrame:
     join screen_bounds s on d.site_no = s.site_no where date between lo and hi) group by 1) r on b.site_no = r.site_no""",
 )
 def site_screen_continuity(v: Views) -> DataFrame:
+    v.fan_out()
     return op.site_screen_continuity(v.samples, v.daily_q, max_gap=8)
 
 
@@ -117,6 +119,7 @@ def segment_classes(v: Views) -> DataFrame:
         on p.site_no = w.site_no where p.sample_dt >= date '1996-06-01' and p.sample_dt > lo and p.sample_dt < hi""",
 )
 def model_window_inputs(v: Views) -> DataFrame:
+    v.fan_out()
     later = v.samples.where(F.col("sample_dt") >= "1996-06-01")
     daily, samples = op.model_window_inputs(later, v.daily_q_staggered, lead_years=1)
     return daily.select(F.lit("discharge").alias("kind"), "site_no", F.col("date").alias("day"), F.col("q").alias("value")).union(
@@ -135,6 +138,7 @@ _FINAL = f"""(select s.site_no, lo, hi, cut from (select site_no, min(sample_dt)
     union all select 'discharge', d.site_no, date, q from daily_q d join {_FINAL} f on d.site_no = f.site_no where date between lo - 3653 and hi""",
 )
 def final_record_filter(v: Views) -> DataFrame:
+    v.fan_out()
     samples, daily = op.final_record_filter(v.samples, v.daily_q, min_obs=700, min_years=5)
     return samples.select(F.lit("sample").alias("kind"), "site_no", F.col("sample_dt").alias("day"), F.col("result_va").alias("value")).union(
         daily.select(F.lit("discharge"), "site_no", "date", "q")
@@ -147,6 +151,7 @@ def final_record_filter(v: Views) -> DataFrame:
     dense_rank() over (order by lo) as display_rank from screen_bounds s join (select site_no, median(q) as m from daily_q group by 1) d on s.site_no = d.site_no""",
 )
 def record_summary(v: Views) -> DataFrame:
+    v.fan_out()
     return op.record_summary(v.samples, v.daily_q)
 
 
@@ -177,6 +182,7 @@ def interpolated_runs(v: Views) -> DataFrame:
     where f.site_no <> 'Brand#3' and (max_run <= 8 or f.date > lo)""",
 )
 def resolve_long_gaps(v: Views) -> DataFrame:
+    v.fan_out()
     return op.resolve_long_gaps(v.filled, v.samples, max_run=8, exclude=["Brand#3"])[0]
 
 
@@ -186,6 +192,7 @@ def resolve_long_gaps(v: Views) -> DataFrame:
     left join samples s on f.site_no = s.site_no and f.date = s.sample_dt""",
 )
 def sample_overlay(v: Views) -> DataFrame:
+    v.fan_out()
     return op.sample_overlay(v.filled, v.samples, max_run=8)
 
 
@@ -383,6 +390,7 @@ def two_digit_year_fix(v: Views) -> DataFrame:
 
 @query("site_no:s water_year:i peak_swe_day:i peak_swe_mm:f4", "select * from peak")
 def peak_snow(v: Views) -> DataFrame:
+    v.fan_out()
     return op.peak_snow(v.swe)
 
 
@@ -764,6 +772,7 @@ _BRIDGE = f"""select site_no, date, q, y_hat, se, case when z is not null then e
 
 @query("site_no:s date:d q:f4 ln_gen_conc:f6", f"select *, ln(gen_conc) as ln_gen_conc from ({_BRIDGE})")
 def residual_bridge(v: Views) -> DataFrame:
+    v.fan_out()
     estimate = v.days.select("site_no", "date", "q", F.ln("ratio").alias("y_hat"), F.lit(0.25).alias("se"))
     return op.residual_bridge(estimate, v.samples).withColumn("ln_gen_conc", F.ln("gen_conc"))
 
@@ -777,4 +786,5 @@ def residual_bridge(v: Views) -> DataFrame:
     join samples s on d.site_no = s.site_no and d.date = s.sample_dt) group by 1""",
 )
 def estimate_errors(v: Views) -> DataFrame:
+    v.fan_out()
     return op.estimate_errors(v.daily_est, v.samples)

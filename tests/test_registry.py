@@ -7,7 +7,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.001"
 # Results that may be empty on the smallest tables.
-SPARSE = {"sample_segments", "segment_classes", "site_screen_counts", "final_record_filter"}
+SPARSE = {"in_range_sites", "sample_segments", "segment_classes", "site_screen_counts", "final_record_filter"}
 
 
 @pytest.fixture(scope="module")
