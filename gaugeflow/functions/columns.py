@@ -32,6 +32,11 @@ def strip_decoration(name: str, head: int = 1, tail: int = 2) -> str:
     return name[head : len(name) - tail]
 
 
+def site_year_key(site: str | Column = "site_no", year: str | Column = "water_year") -> Column:
+    """``site_year`` text for output; joins use the two columns."""
+    return F.concat_ws("_", as_column(site), as_column(year))
+
+
 # --- dates -------------------------------------------------------------------------------------
 
 

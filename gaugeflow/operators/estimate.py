@@ -8,8 +8,11 @@ group, bounded by the calendar, the weighted sums of all nodes are matrix produc
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -23,6 +26,10 @@ LN_Q_MARGIN = 0.05
 ZERO_SHIFT = 0.001
 GROWTH = 1.1
 UPPER = np.triu_indices(5)
+
+# Tasks get the functions themselves, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SURFACE = f"{SITE} string, ti int, li int, y_hat double, se double, n_obs double, growth int"
 
 

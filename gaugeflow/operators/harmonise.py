@@ -65,8 +65,9 @@ def model_frame(
     """Response and drivers per site-year, complete cases only.
 
     ``units='mm_day'`` turns the low flow into depth over the basin; ``'per_area'`` divides by
-    the area as given. Completeness is judged on all drivers of the full set unless
-    ``complete_on`` says otherwise, so that the driver sets see the same rows.
+    the area as given. Completeness is judged on all drivers of the full set, the baseflow
+    proportion and the zone where the panel has one, unless ``complete_on`` says otherwise, so
+    that the driver sets see the same rows.
     """
     names = list(DRIVER_SETS[drivers]) if isinstance(drivers, str) else list(drivers)
     flow, area = F.col("q5"), F.col("drain_area_va")
@@ -77,6 +78,8 @@ def model_frame(
     else:
         raise ValueError(f"units must be 'mm_day' or 'per_area', not {units!r}")
     judged = list(complete_on) if complete_on is not None else [*DRIVER_SETS["full"], "bf_prop"]
+    if complete_on is None and "zone" in harmonised.columns:
+        judged.append("zone")
     rows = drop_sites(harmonised, exclude).withColumn("q5_norm", response)
     rows = rows.dropna(subset=["q5_norm", *judged])
     return rows.select(SITE, "water_year", "q5_norm", *[to_double(c).alias(c) for c in names])

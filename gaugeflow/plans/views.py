@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as op
+from ..functions.series import by_site
 from ..session import cut_lineage
 
 KEYS = ["site_no", "water_year"]
@@ -109,13 +110,13 @@ class Views:
 
     @property
     def swe(self) -> DataFrame:
-        spans = self.days.groupBy("site_no").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-        calendar = spans.select("site_no", F.explode(F.sequence("lo", "hi")).alias("date"))
-        cold = F.month("date").isin(11, 12, 1, 2, 3, 4)
-        known = self.days.where(cold).select("site_no", "date", "r_q")
-        return calendar.join(known, ["site_no", "date"], "left").select(
-            "site_no", F.col("date").alias("dates"), F.coalesce(F.col("r_q") / 1000, F.lit(0.0)).alias("value")
-        )
+        """Every day of a site's calendar; days without a value in the cold months are 0."""
+        until = F.coalesce(F.date_sub(F.lead("date").over(by_site()), 1), F.col("date"))
+        spans = self.days.select("site_no", "date", "r_q", until.alias("until"))
+        days = spans.select("site_no", "date", "r_q", F.explode(F.sequence("date", "until")).alias("dates"))
+        own = (F.col("dates") == F.col("date")) & F.month("dates").isin(11, 12, 1, 2, 3, 4)
+        value = F.coalesce(F.when(own, F.col("r_q") / 1000), F.lit(0.0))
+        return days.select("site_no", "dates", value.alias("value"))
 
     # --- site tables ---------------------------------------------------------------------------
 

@@ -68,6 +68,7 @@ def panel_row(site, year, **values):
 
 def test_model_frame(make):
     rows = [panel_row("a", 2000, q5=3.0, drain_area_va=100.0), panel_row("a", 2001, sdd=None), panel_row("b", 2000), panel_row("x", 2000)]
+    rows.append(("no zone", 2000, None, *panel_row("a", 2000)[3:]))
     panel = make(rows, PANEL_SCHEMA)
     full = op.model_frame(panel, exclude=["x"])
     assert full.columns == ["site_no", "water_year", "q5_norm", *DRIVER_SETS["full"]] and len(DRIVER_SETS["full"]) == 11
