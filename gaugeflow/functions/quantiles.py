@@ -12,8 +12,13 @@ from pyspark.sql import Window
 from .columns import as_column
 
 
-def quantile(c: str | Column, p: float) -> Column:
-    """Plain aggregate for groups bounded by the calendar (days of a year, years of a site)."""
+def quantile(c: str | Column, p: float, accuracy: int | None = None) -> Column:
+    """Plain aggregate for groups bounded by the calendar (days of a year, years of a site).
+
+    Exact unless ``accuracy`` asks for the sketch.
+    """
+    if accuracy is not None:
+        return F.percentile_approx(as_column(c), F.lit(p), F.lit(accuracy))
     return F.percentile(as_column(c), F.lit(p))
 
 

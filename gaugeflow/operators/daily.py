@@ -71,10 +71,10 @@ def resolve_long_gaps(
     runs = with_longest_run(filled, F.col("interp_flag") == "no")
     starts = date_bounds(samples, "sample_dt", "_first", "_last")
     kept = runs.join(starts, SITE, "left").where((F.col("max_run") <= max_run) | (F.col("date") > F.col("_first")))
-    discharge = kept.select(SITE, "date", F.col("filled_q").alias("discharge"))
+    discharge = kept.select(SITE, "date", F.col("filled_q").alias("q"))
     if complete is not None:
         untouched = drop_sites(complete, exclude).join(filled.select(SITE).distinct(), SITE, "left_anti")
-        discharge = discharge.unionByName(untouched.select(SITE, "date", F.col("q").alias("discharge")))
+        discharge = discharge.unionByName(untouched.select(SITE, "date", "q"))
     return discharge, samples
 
 

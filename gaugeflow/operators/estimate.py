@@ -19,6 +19,7 @@ from pyspark.sql import Window
 
 from ..functions.columns import decimal_year
 from ..functions.series import SITE, by_site
+from ..session import task_count
 
 STEPS_PER_YEAR = 16
 LEVELS = 14
@@ -182,10 +183,7 @@ def fit_surface(
         SITE, "t0", "t_lo", "t_hi", "l0", "l1", "step", "nt", "t", "ln_q", "m", "sy", "sy2",
         F.explode(F.sequence(F.lit(0), last)).alias("block"),
     )
-    # Little data, much arithmetic: the number of tasks is set, as merging small ones would idle cores.
-    spark = daily.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    placed = placed.repartition(tasks, SITE, "block")
+    placed = placed.repartition(task_count(daily.sparkSession), SITE, "block")
     fitter = _block_fitter(half_s, half_y, half_q, min_obs, edge_adjust, block_years)
     return placed.groupBy(SITE, "block").applyInPandas(fitter, SURFACE)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 
 from ..functions.aggregates import bounded_rank
 from ..functions.series import SITE
+from ..session import task_count
 from .model import KEYS, drivers_of
 
 BACKGROUND_LIMIT = 10_000
@@ -43,7 +44,7 @@ def shapley_sampling(
     size = pool.agg(F.max("_size")).first()[0]
     if not size:
         raise ValueError("the frame has no rows")
-    rows = frame.select(*KEYS, F.array(*drivers).alias("_x")).repartition(*KEYS)
+    rows = frame.select(*KEYS, F.array(*drivers).alias("_x")).repartition(task_count(frame.sparkSession), *KEYS)
     draws = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     draws = draws.withColumn("_i", F.pmod(F.xxhash64(*KEYS, "_k", F.lit(seed)), F.lit(size)).cast("int"))
     draws = draws.join(F.broadcast(pool.select("_i", "_z")), "_i")
@@ -56,22 +57,22 @@ def shapley_sampling(
     mixed = F.array(*[F.when(F.array_contains(taken, j), F.col("_x")[j]).otherwise(F.col("_z")[j]) for j in range(p)])
     scored = model.transform(steps.withColumn("features", array_to_vector(mixed)))
     # Step s adds the driver at position s and is the baseline of the driver at position s + 1.
-    effects = F.filter(
-        F.array(
-            F.struct(F.try_element_at("_order", F.nullif(F.col("_s"), F.lit(0))).alias("j"), F.col("prediction").alias("f")),
-            F.struct(F.try_element_at("_order", F.col("_s") + 1).alias("j"), (-F.col("prediction")).alias("f")),
-        ),
-        lambda e: e["j"].isNotNull(),
+    effects = F.array(
+        F.struct(F.try_element_at("_order", F.nullif(F.col("_s"), F.lit(0))).alias("j"), F.col("prediction").alias("f")),
+        F.struct(F.try_element_at("_order", F.col("_s") + 1).alias("j"), (-F.col("prediction")).alias("f")),
+    )
+    signed = scored.select(*KEYS, "_k", "_x", F.inline(effects)).where(F.col("j").isNotNull())
+    signed = signed.select(*KEYS, "_k", "j", "f", F.element_at("_x", F.col("j") + 1).alias("x"))
+    per_draw = signed.groupBy(*KEYS, "_k", "j").agg(F.sum("f").alias("d"), F.max("x").alias("x"))
+    values = per_draw.groupBy(*KEYS, "j").agg(
+        F.avg("d").alias("phi"), F.var_samp("d").alias("phi_var"), F.max("x").alias("feature_value")
     )
-    signed = scored.select(*KEYS, "_x", "_k", F.inline(effects))
-    per_draw = signed.groupBy(*KEYS, "_x", "_k", "j").agg(F.sum("f").alias("d"))
-    values = per_draw.groupBy(*KEYS, "_x", "j").agg(F.avg("d").alias("phi"), F.var_samp("d").alias("phi_var"))
     names = F.array(*[F.lit(d) for d in drivers])
     return values.select(
         F.element_at(names, F.col("j") + 1).alias("feature"),
         "phi",
         "phi_var",
-        F.element_at("_x", F.col("j") + 1).alias("feature_value"),
+        "feature_value",
         *KEYS,
     )
 

@@ -98,12 +98,12 @@ def sample_segments(
 def segment_classes(samples: DataFrame, break_days: int = 730, min_obs: int = 60) -> DataFrame:
     """Class of each site by its number of long segments: no_break, one_break or many_breaks.
 
-    Takes samples with unique dates per site, usually the result of ``sample_segments``. Gaps are
-    computed anew, so a segment that was dropped before shows as one gap. The last row of a site
+    Usually takes the result of ``sample_segments``; repeated dates count once, which needs no
+    exchange for rows already placed by site. Gaps are computed anew, so a segment that was dropped before shows as one gap. The last row of a site
     closes its last segment and is not counted in it. A site with a single row is many_breaks.
     """
     ordered = by_site("sample_dt")
-    marked = samples.select(
+    marked = samples.select(SITE, "sample_dt").distinct().select(
         SITE,
         "sample_dt",
         ((F.row_number().over(ordered) == 1) | F.coalesce(gap_days("sample_dt") > break_days, F.lit(False))).alias("_start"),

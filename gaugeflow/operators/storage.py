@@ -91,11 +91,13 @@ def storage_drawdown(
         "et": (et, "dates", "value"),
         "precip": (precip, "dates", "value"),
     }).where("has_q")
-    site, year = Window.partitionBy(SITE), Window.partitionBy(SITE, "water_year")
+    # All frames are ordered by (water year, day) within the site, so that one sort serves them.
+    in_year = Window.partitionBy(SITE, "water_year").orderBy("date")
+    year = in_year.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = in_year.rowsBetween(Window.unboundedPreceding, 0)
+    last_k = Window.partitionBy(SITE).orderBy("water_year", "date").rowsBetween(-(k - 1), 0)
     days = aligned.withColumn("water_year", water_year("date"))
     days = days.withColumn("_n", F.count(F.lit(1)).over(year)).where(F.col("_n") == exact_days)
-    last_k = site.orderBy("date").rowsBetween(-(k - 1), 0)
-    running = year.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     days = days.withColumn("_smooth", F.when(F.count("q").over(last_k) == k, F.avg("q").over(last_k)))
     days = days.withColumn("_cum", F.sum("q").over(running))
     late = days.withColumn("_share", F.try_divide(F.col("_cum"), F.max("_cum").over(year))).where(

@@ -177,8 +177,8 @@ def interpolated_runs(v: Views) -> DataFrame:
 
 
 @query(
-    "site_no:s date:d discharge:f6",
-    """select f.site_no, f.date, filled_q as discharge from filled f join all_runs r on f.site_no = r.site_no left join screen_bounds b on f.site_no = b.site_no
+    "site_no:s date:d q:f6",
+    """select f.site_no, f.date, filled_q as q from filled f join all_runs r on f.site_no = r.site_no left join screen_bounds b on f.site_no = b.site_no
     where f.site_no <> 'Brand#3' and (max_run <= 8 or f.date > lo)""",
 )
 def resolve_long_gaps(v: Views) -> DataFrame:

@@ -39,6 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def task_count(spark: SparkSession) -> int:
+    """Number of tasks for stages with little data and much arithmetic.
+
+    Given as a number it is kept; partitions merged by size would leave cores idle there.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
