@@ -21,6 +21,8 @@ from ..functions.columns import decimal_year
 from ..functions.series import SITE, by_site
 from ..session import task_count
 
+# Fixed values of the method: grid of 16 steps a year by 14 levels reaching 0.05 beyond the range of
+# ln Q, zero flows shifted by 0.001 of the mean, windows growing by a tenth.
 STEPS_PER_YEAR = 16
 LEVELS = 14
 LN_Q_MARGIN = 0.05

@@ -18,8 +18,8 @@ def wy_day(d: str) -> str:
 CTES: dict[str, str] = {
     "shipments": "select p_brand as site_no, cast(l_shipdate as date) as date, p_type, l_quantity, l_extendedprice, l_tax, l_discount, l_returnflag from lineitem join part on l_partkey = p_partkey",
     "days": """select site_no, date, sum(l_quantity) as q, avg(floor(l_extendedprice / l_quantity * 1024) / 1024) as ratio,
-        avg(floor(l_extendedprice / l_quantity * 1024) / 1024) filter (where l_returnflag = 'A') as a_ratio, sum(round(l_tax * 100)) as tax,
-        sum(round(l_discount * 100)) as discount, avg(l_quantity) as mean_q, sum(l_quantity) filter (where l_returnflag = 'R') as r_q
+        avg(floor(l_extendedprice / l_quantity * 1024) / 1024) filter (where l_returnflag = 'A') as a_ratio, sum(floor(l_tax * 100 + 0.5)) as tax,
+        sum(floor(l_discount * 100 + 0.5)) as discount, avg(l_quantity) as mean_q, sum(l_quantity) filter (where l_returnflag = 'R') as r_q
         from shipments group by 1, 2""",
     "daily_q": "select site_no, date, q from days",
     "daily_q_s": f"select * from daily_q where date >= date '1995-01-02' + 60 * {NUM}",

@@ -17,7 +17,7 @@ from .. import operators as op
 from ..functions.aggregates import null_counts
 from ..operators.harmonise import CLIMATE_DRIVERS, DRIVER_SETS, rows_per_site
 from ..operators.model import predict, residual_summary
-from ..operators.report import flow_condition_counts, gain_histogram
+from ..operators.report import DRIVER_LABELS, flow_condition_counts, gain_histogram
 from ..session import cut_lineage
 from .oracle import with_ctes, wy
 from .views import BRANDS, KEYS, LAND_CLASSES, Views
@@ -80,7 +80,7 @@ def site_screen_coavailable(v: Views) -> DataFrame:
     join (select site_no, count(*) as n_daily_rows from daily_q group by 1) d on s.site_no = d.site_no where n_sample_dates > 696""",
 )
 def site_screen_counts(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "a_ratio")
     return op.site_screen_counts(v.samples, v.daily_q, min_dates=696)
 
 
@@ -92,7 +92,7 @@ def site_screen_counts(v: Views) -> DataFrame:
     join screen_bounds s on d.site_no = s.site_no where date between lo and hi) group by 1) r on b.site_no = r.site_no""",
 )
 def site_screen_continuity(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "a_ratio")
     return op.site_screen_continuity(v.samples, v.daily_q, max_gap=8)
 
 
@@ -119,7 +119,7 @@ def segment_classes(v: Views) -> DataFrame:
         on p.site_no = w.site_no where p.sample_dt >= date '1996-06-01' and p.sample_dt > lo and p.sample_dt < hi""",
 )
 def model_window_inputs(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "a_ratio")
     later = v.samples.where(F.col("sample_dt") >= "1996-06-01")
     daily, samples = op.model_window_inputs(later, v.daily_q_staggered, lead_years=1)
     return daily.select(F.lit("discharge").alias("kind"), "site_no", F.col("date").alias("day"), F.col("q").alias("value")).union(
@@ -138,7 +138,7 @@ _FINAL = f"""(select s.site_no, lo, hi, cut from (select site_no, min(sample_dt)
     union all select 'discharge', d.site_no, date, q from daily_q d join {_FINAL} f on d.site_no = f.site_no where date between lo - 3653 and hi""",
 )
 def final_record_filter(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "a_ratio")
     samples, daily = op.final_record_filter(v.samples, v.daily_q, min_obs=700, min_years=5)
     return samples.select(F.lit("sample").alias("kind"), "site_no", F.col("sample_dt").alias("day"), F.col("result_va").alias("value")).union(
         daily.select(F.lit("discharge"), "site_no", "date", "q")
@@ -151,7 +151,7 @@ def final_record_filter(v: Views) -> DataFrame:
     dense_rank() over (order by lo) as display_rank from screen_bounds s join (select site_no, median(q) as m from daily_q group by 1) d on s.site_no = d.site_no""",
 )
 def record_summary(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "a_ratio")
     return op.record_summary(v.samples, v.daily_q)
 
 
@@ -182,7 +182,7 @@ def interpolated_runs(v: Views) -> DataFrame:
     where f.site_no <> 'Brand#3' and (max_run <= 8 or f.date > lo)""",
 )
 def resolve_long_gaps(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "a_ratio")
     return op.resolve_long_gaps(v.filled, v.samples, max_run=8, exclude=["Brand#3"])[0]
 
 
@@ -192,7 +192,7 @@ def resolve_long_gaps(v: Views) -> DataFrame:
     left join samples s on f.site_no = s.site_no and f.date = s.sample_dt""",
 )
 def sample_overlay(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "a_ratio")
     return op.sample_overlay(v.filled, v.samples, max_run=8)
 
 
@@ -201,12 +201,12 @@ def sample_overlay(v: Views) -> DataFrame:
 
 @query("site_no:s runoff:f4 gw:f4", "select * from members")
 def end_members(v: Views) -> DataFrame:
-    return op.end_members(v.fan_out().samples)
+    return op.end_members(v.fan_out("a_ratio").samples)
 
 
 @query("site_no:s date:d q:f4 gen_conc:f4 bf:f4 bf_percent:f6", "select * from separated")
 def baseflow_separation(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "ratio", "a_ratio")
     return op.baseflow_separation(v.daily_est, op.end_members(v.samples))
 
 
@@ -222,12 +222,12 @@ def complete_water_years(v: Views) -> DataFrame:
     having count(distinct {wy('date')}) >= 5) k on a.site_no = k.site_no""",
 )
 def annual_baseflow(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "ratio", "a_ratio")
     return op.annual_baseflow(op.baseflow_separation(v.daily_est_staggered, v.members()), min_years=5)
 
 
 def _mid_annual(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "ratio", "a_ratio")
     return op.annual_baseflow(op.baseflow_separation(v.daily_est, v.members(0.4, 0.6)), min_years=1)
 
 
@@ -263,19 +263,19 @@ def low_flow_q5_long_season(v: Views) -> DataFrame:
     "select * from normalised",
 )
 def low_flow_normalised(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "ratio", "a_ratio")
     return op.low_flow_normalised(v.annual_bf, v.q5)
 
 
 @query("water_year:i n:i", "select water_year, count(*) as n from normalised where norm_minmax = 0 group by 1")
 def driest_year_tally(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "ratio", "a_ratio")
     return op.driest_year_tally(op.low_flow_normalised(v.annual_bf, v.q5))
 
 
 @query("site_no:s water_year:i bf_prop:f6 q5:f4 norm_q5:f6", "select * from site_years")
 def site_year_stats(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "ratio", "a_ratio")
     return op.site_year_stats(v.annual_bf, v.q5)
 
 
@@ -330,7 +330,7 @@ def flashiness_index_standard(v: Views) -> DataFrame:
     left join precip p on x.site_no = p.site_no and x.date = p.dates where seen = 1)""",
 )
 def storage_drawdown(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "tax", "discount")
     return op.storage_drawdown(v.filled_q, v.area, v.et, v.precip)
 
 
@@ -390,7 +390,6 @@ def two_digit_year_fix(v: Views) -> DataFrame:
 
 @query("site_no:s water_year:i peak_swe_day:i peak_swe_mm:f4", "select * from peak")
 def peak_snow(v: Views) -> DataFrame:
-    v.fan_out()
     return op.peak_snow(v.swe)
 
 
@@ -399,7 +398,7 @@ def peak_snow(v: Views) -> DataFrame:
     "select *, sdd - peak_swe_day as melt_days from snow",
 )
 def snow_disappearance(v: Views) -> DataFrame:
-    swe = v.fan_out().swe
+    swe = v.fan_out("r_q").swe
     return op.snow_disappearance(swe, op.peak_snow(swe))
 
 
@@ -585,7 +584,7 @@ def site_mean_filter(v: Views) -> DataFrame:
     "select * from classes",
 )
 def residual_classes(v: Views) -> DataFrame:
-    return v.fan_out().classes
+    return v.fan_out("q").classes
 
 
 _COUNTS = {
@@ -600,7 +599,7 @@ _COUNTS = {
     " union all ".join(f"select '{k}' as label, count(*) filter (where {c}) as n, count(*) filter (where {c}) / count(*) as share from classes" for k, c in _COUNTS.items()),
 )
 def residual_class_counts(v: Views) -> DataFrame:
-    return op.residual_class_counts(v.fan_out().classes)
+    return op.residual_class_counts(v.fan_out("q").classes)
 
 
 @query(
@@ -609,7 +608,7 @@ def residual_class_counts(v: Views) -> DataFrame:
     union all select 'b', avg(abs(residual_b)) filter (where class_b = 'poor prediction') from classes""",
 )
 def poor_residual_means(v: Views) -> DataFrame:
-    return op.poor_residual_means(v.fan_out().classes)
+    return op.poor_residual_means(v.fan_out("q").classes)
 
 
 @query("site_no:s water_year:i q5:f4 median_q5:f4 flow:s", "select * from joined")
@@ -628,7 +627,7 @@ def flow_condition_shares(v: Views) -> DataFrame:
     count(*) filter (where class_a = 'poor prediction' and pos_neg = 'positive') / count(*) as improved_share from joined group by 1""",
 )
 def site_improvement(v: Views) -> DataFrame:
-    return op.site_improvement(v.fan_out().joined)
+    return op.site_improvement(v.fan_out("q", "tax", "discount", "r_q").joined)
 
 
 @query(
@@ -638,7 +637,7 @@ def site_improvement(v: Views) -> DataFrame:
     count(*) filter (where flow = 'high') / count(*) as high_share from joined group by 1""",
 )
 def zone_class_shares(v: Views) -> DataFrame:
-    return op.zone_class_shares(v.fan_out().joined)
+    return op.zone_class_shares(v.fan_out("q", "tax", "discount", "r_q").joined)
 
 
 def _level(level: str, zone: str, flow: str, group: str) -> str:
@@ -655,7 +654,7 @@ def _level(level: str, zone: str, flow: str, group: str) -> str:
     + " union all " + _level("zone", "zone", "null", " group by zone") + " union all " + _level("all", "null", "null", ""),
 )
 def improvement_by_zone_flow(v: Views) -> DataFrame:
-    return op.improvement_by_zone_flow(v.fan_out().joined)
+    return op.improvement_by_zone_flow(v.fan_out("q", "tax", "discount", "r_q").joined)
 
 
 @query(
@@ -664,7 +663,7 @@ def improvement_by_zone_flow(v: Views) -> DataFrame:
     left join (select zone, median(res_diff / q5_norm) as median_rel_gain from improved group by 1) m on r.zone = m.zone""",
 )
 def relative_improvement(v: Views) -> DataFrame:
-    return op.relative_improvement(v.fan_out().joined)
+    return op.relative_improvement(v.fan_out("q", "tax", "discount", "r_q").joined)
 
 
 @query(
@@ -673,7 +672,7 @@ def relative_improvement(v: Views) -> DataFrame:
     case when res_diff / nullif(q5_norm, 0) > 0 then ln(res_diff / q5_norm) end as ln_rel_gain from joined where class_a = 'poor prediction'""",
 )
 def snow_aridity_residual(v: Views) -> DataFrame:
-    return op.snow_aridity_residual(v.fan_out().joined)
+    return op.snow_aridity_residual(v.fan_out("q", "tax", "discount", "r_q").joined)
 
 
 _GRID_COLUMNS = ["q5", "bf_prop", "melt_rate", "annual_evap_mm"]
@@ -697,14 +696,6 @@ def site_profile(v: Views) -> DataFrame:
     return op.site_profile(v.fan_out().panel)
 
 
-_LABELS = {
-    "annual_precip_mm": "Annual Precipitation (mm)", "annual_evap_mm": "Annual Evaporation (mm)", "mean_temp_c": "Mean Temperature (C)",
-    "peak_swe_day": "Peak SWE Day (DOY)", "peak_swe_mm": "Peak SWE (mm)", "sdd": "Snow Disappearance Day (DOY)", "melt_rate": "Melt Rate (mm/day)",
-    "mean_slope": "Basin Slope (degrees)", "mean_elevation": "Mean Elevation (m)", "mean_bf": "Mean Baseflow Proportion",
-    "recession_curve_slope": "Recession Curve Slope",
-}
-
-
 def _hist(column: str, source: str, label: str) -> str:
     return f"""select '{label}' as variable, bin, count(*) as n from (select least(coalesce(floor((x - lo) / nullif((hi - lo) / 30, 0)), 0), 29) as bin
         from (select cast({column} as double) as x, min(cast({column} as double)) over () as lo, max(cast({column} as double)) over () as hi from {source} where {column} is not null)) group by bin"""
@@ -717,8 +708,8 @@ _PROFILE = """(select ln(avg(drain_area_va)) as ln_area, count(distinct water_ye
 @query(
     "variable:s bin:i n:i",
     " union all ".join(
-        [_hist(c, "frame", _LABELS[c]) for c in CLIMATE_DRIVERS]
-        + [_hist(c, _SITE_ROWS, _LABELS[c]) for c in ("recession_curve_slope", "mean_elevation", "mean_slope", "mean_bf")]
+        [_hist(c, "frame", DRIVER_LABELS[c]) for c in CLIMATE_DRIVERS]
+        + [_hist(c, _SITE_ROWS, DRIVER_LABELS[c]) for c in ("recession_curve_slope", "mean_elevation", "mean_slope", "mean_bf")]
         + [_hist(c, _PROFILE, c) for c in ("ln_area", "num_years", "min_year", "max_year")]
     ),
 )
@@ -732,7 +723,7 @@ def driver_histograms(v: Views) -> DataFrame:
     "select class_b, floor(res_diff / 0.5) as bin, floor(res_diff / 0.5) * 0.5 as bin_start, count(*) as n from classes group by 1, 2, 3",
 )
 def residual_gain_histogram(v: Views) -> DataFrame:
-    return gain_histogram(v.fan_out().classes, width=0.5)
+    return gain_histogram(v.fan_out("q").classes, width=0.5)
 
 
 _PAIRS = [(a, b) for i, a in enumerate(DRIVER_SETS["full"]) for b in DRIVER_SETS["full"][i:]]
@@ -752,7 +743,7 @@ def driver_correlation(v: Views) -> DataFrame:
 
 @query("site_no:s date:d q:f4 y_hat:f4 se:f4 conc:f2")
 def concentration_surface(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "a_ratio")
     return op.concentration_surface(v.samples, v.daily_q)
 
 
@@ -772,7 +763,7 @@ _BRIDGE = f"""select site_no, date, q, y_hat, se, case when z is not null then e
 
 @query("site_no:s date:d q:f4 ln_gen_conc:f6", f"select *, ln(gen_conc) as ln_gen_conc from ({_BRIDGE})")
 def residual_bridge(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "ratio", "a_ratio")
     estimate = v.days.select("site_no", "date", "q", F.ln("ratio").alias("y_hat"), F.lit(0.25).alias("se"))
     return op.residual_bridge(estimate, v.samples).withColumn("ln_gen_conc", F.ln("gen_conc"))
 
@@ -786,5 +777,5 @@ def residual_bridge(v: Views) -> DataFrame:
     join samples s on d.site_no = s.site_no and d.date = s.sample_dt) group by 1""",
 )
 def estimate_errors(v: Views) -> DataFrame:
-    v.fan_out()
+    v.fan_out("q", "ratio", "a_ratio")
     return op.estimate_errors(v.daily_est, v.samples)

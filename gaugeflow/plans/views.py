@@ -55,20 +55,15 @@ class Views:
             F.sum("l_quantity").alias("q"),
             F.avg(ratio).alias("ratio"),
             F.avg(F.when(a, ratio)).alias("a_ratio"),
-            F.sum(F.round(F.col("l_tax") * 100)).alias("tax"),
-            F.sum(F.round(F.col("l_discount") * 100)).alias("discount"),
+            F.sum(F.floor(F.col("l_tax") * 100 + 0.5)).alias("tax"),
+            F.sum(F.floor(F.col("l_discount") * 100 + 0.5)).alias("discount"),
             F.avg("l_quantity").alias("mean_q"),
             F.sum(F.when(r, F.col("l_quantity"))).alias("r_q"),
         )
 
-    @cached_property
-    def stored_days(self) -> DataFrame:
-        """The daily table written once, for plans that fan out from it."""
-        return cut_lineage(self.days)
-
-    def fan_out(self) -> "Views":
-        """Views that share one stored daily table."""
-        self.__dict__["days"] = self.stored_days
+    def fan_out(self, *measures: str) -> "Views":
+        """Views that share one daily table, written once with the measures the plan needs."""
+        self.days = cut_lineage(self.days.select("site_no", "date", *measures) if measures else self.days)
         return self
 
     @property
