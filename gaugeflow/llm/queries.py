@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import mixing
+from gaugeflow.llm import bpe, mixing
 from gaugeflow.llm.text import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_mix_sources": op10_mix_sources}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op10_mix_sources": op10_mix_sources}
 
 OP10_SQL = r"""
 WITH sizes AS (
