@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import bpe, mixing
+from gaugeflow.llm import bpe, langid, mixing, neardup, pii, quality, warc
 from gaugeflow.llm.text import table
 
 
@@ -23,7 +23,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op10_mix_sources": op10_mix_sources}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_warc_pages": warc.pages_archive,
+    "op5_language_id": langid.document_languages,
+    "op6_quality_rules": quality.document_quality,
+    "op7_pii_spans": pii.document_pii,
+    "op8_near_duplicates": neardup.document_near_duplicates,
+    "op10_mix_sources": op10_mix_sources,
+}
 
 OP10_SQL = r"""
 WITH sizes AS (
