@@ -32,8 +32,8 @@ from gaugeflow.llm.text import table
 
 BUCKETS = 1 << 14
 TRUSTED = 20_000
-THRESHOLD = -0.6  # mean log ratio (nats) below which a document goes
-SMOOTHING = 1.0
+THRESHOLD = -0.1  # mean log ratio (nats) below which a document goes; no held-out trusted document fell below
+SMOOTHING = 10.0  # per bucket, so that few trusted documents decide little
 WINDOW = 5
 CACHED_WORDS = 400_000
 
@@ -175,8 +175,8 @@ def judge(df: DataFrame, ratios: np.ndarray, text: str = "text", keep_text: bool
     return df.select(*wanted).mapInArrow(run, T.StructType([df.schema[c] for c in keep] + add))
 
 
-def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    return log_ratios(ngram_counts(documents, trusted_ids(labels), buckets), buckets)
+def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
+    return log_ratios(ngram_counts(documents, trusted_ids(labels), buckets), buckets, smoothing)
 
 
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
