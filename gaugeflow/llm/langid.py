@@ -9,7 +9,7 @@ Learning takes a bounded sample, ``SAMPLE`` documents of each language at most,
 the row; prediction reads every whole text in blocks, so memory does not grow with a text.
 
 A null text, or one without a letter, is ``und`` with score 0. So is every text if nothing could be
-learned. Equal sizes go to the language that comes first in code-point order. Rows whose language is
+learned. Equal sizes go to the language with more rows, then the first in code-point order. Rows whose language is
 null teach nothing. Repeated rows count as they come. Columns named like the added ones raise
 ValueError; others are passed through.
 """
@@ -29,34 +29,38 @@ from pyspark.sql import types as T
 from gaugeflow.llm.text import table
 
 SAMPLE = 256  # documents of a language
-DICTIONARY_BYTES = 96 << 10
+DICTIONARY_BYTES = 256 << 10
 BLOCK_BYTES = 4096
-LEVEL = 3
+LEVEL = 7
 MARGIN = 0.01  # of the second smallest size
 UNKNOWN = "und"
 
 
 def language_samples(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """lang, text of at most ``sample`` rows of each language, the ones with the smallest hash.
+    """lang, rows (of that language), text of at most ``sample`` rows of each language, by smallest hash.
 
     A share of the rows by hash, twice of what is wanted, is freed of copies and ranked; no language
     meets in one task.
     """
     rows = labelled.filter(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("draw", F.xxhash64(F.lit(11), "text"))
-    share = rows.groupBy("lang").agg((F.lit(2.0 * sample) / F.count("*")).alias("share"))
-    chosen = rows.join(share, "lang").filter(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20)).dropDuplicates(["lang", "draw"])
+    counts = rows.groupBy("lang").count().collect()  # a row per language
+    if not counts:
+        return rows.select("lang", F.lit(0).alias("rows"), "text")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, 2.0 * sample / r["count"] * (1 << 20))])
+    size = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, r["count"])])
+    chosen = rows.filter(F.pmod("draw", F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "draw"])
     place = Window.partitionBy("lang").orderBy("draw", "text")
-    return chosen.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= sample).select("lang", "text")
+    return chosen.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= sample).select("lang", F.element_at(size, F.col("lang")).alias("rows"), "text")
 
 
 def dictionaries(samples: DataFrame, size: int = DICTIONARY_BYTES, sample: int = SAMPLE) -> dict[str, bytes]:
-    """Dictionary content of each language: an equal part of every sample text, as far as there are texts."""
-    found: dict[str, list[bytes]] = {}
+    """Dictionary content of each language, an equal part of every sample text; the most frequent language first."""
+    found: dict[tuple[int, str], list[bytes]] = {}
     part = F.substring("text", 1, 4 * max(size // sample, 1))
-    for row in samples.select("lang", part.alias("text")).orderBy("lang", "text").toLocalIterator():
-        found.setdefault(row.lang, []).append(row.text.encode())
-    return {lang: b"\n".join(t[: max(size // len(texts), size // sample)] for t in texts)[:size] for lang, texts in sorted(found.items())}
+    for row in samples.select("lang", "rows", part.alias("text")).orderBy("lang", "text").toLocalIterator():
+        found.setdefault((-row.rows, row.lang), []).append(row.text.encode())
+    return {lang: b"\n".join(t[: max(size // len(texts), size // sample)] for t in texts)[:size] for (_, lang), texts in sorted(found.items())}
 
 
 class Compressors:

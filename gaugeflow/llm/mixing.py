@@ -158,8 +158,10 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int
             F.lit(None).cast("long").alias("slot"), "doc_id", "size", "source_no", "source_size", "target", "place",
             F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("words"),
         )
-    last = F.floor((F.col("place") + F.greatest("size", F.lit(1)) - 1) / block_words)
-    pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / block_words), last)))
+    last = F.floor((F.col("place") + F.col("size") - 1) / block_words)
+    # A document without a word lies in no block and keeps its row.
+    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("place") / block_words), last))
+    pieces = placed.withColumn("block", F.explode_outer(blocks))
     start = F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size") + F.col("block") * block_words
     slots = (
         slot_schedule(sources, total.slots)
@@ -168,7 +170,7 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int
         .withColumn("end", F.col("block") * block_words + F.least(F.lit(block_words), F.col("take") - start))
         .select("slot", "source_no", "block", "end")
     )
-    first = F.greatest(F.col("block") * block_words - F.col("place"), F.lit(0))
+    first = F.greatest(F.coalesce(F.col("block"), F.lit(0)) * block_words - F.col("place"), F.lit(0))
     until = F.least(F.col("size"), F.coalesce("end", F.lit(0)) - F.col("place"), (F.col("block") + 1) * block_words - F.col("place"))
     return (
         pieces.join(slots, ["source_no", "block"], "left")
@@ -182,8 +184,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken: what the mix takes of each document, repeats counted."""
     key = ["source_no", "place", "doc_id", "size", "source_size", "target"]
     pieces = mix(documents, **options)
-    # A place names a document with words; those without share theirs and are kept apart.
-    empty = pieces.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    full = pieces.filter("size > 0").groupBy(*key).agg(F.sum("words").cast("long").alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
-    return full.select(*columns).unionByName(empty.select(*columns))
+    # A place names a document with words. Those without share theirs: count them, then list them again.
+    found = pieces.groupBy(*key).agg(F.sum("words").cast("long").alias("taken"), F.count("*").alias("rows"))
+    again = F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("rows"))).otherwise(F.array(F.lit(1).cast("long")))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.explode(again).alias("_row")).drop("_row")
