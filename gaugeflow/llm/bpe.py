@@ -12,8 +12,8 @@ The texts stay in the tasks that read them (``mapInArrow``): no shuffle. A task
 the vocabulary and the caches.
 
 Null text counts as empty: no ids. Empty texts give empty lists, very long texts and words are whole.
-Repeated rows are encoded each. Other columns are passed through under their names; ids, n_tokens
-and decoded must not be among them (ValueError). Empty tables give no rows.
+Repeated rows are encoded each. Other columns are passed through; one that has the name of an added
+column is replaced by it. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -282,10 +282,7 @@ def batches(rows: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa
 
 def _with_columns(df: DataFrame, text: str, add: list[T.StructField], make: Callable[[list], list]) -> DataFrame:
     """``df`` without ``text`` and with the columns that ``make`` gives for its values."""
-    names = {f.name for f in add}
-    keep = [c for c in df.columns if c != text]
-    if clash := names & set(keep):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    keep = [c for c in df.columns if c not in (text, *(f.name for f in add))]
     schema = T.StructType([df.schema[c] for c in keep] + add)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +311,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Replaces ``ids`` by decoded (string); bytes that are no UTF-8 become U+FFFD, a null list an empty text."""
     fields = [T.StructField("decoded", T.StringType())]
-    keep = [c for c in df.columns if c != ids]
-    if "decoded" in keep:
-        raise ValueError("columns in the way: ['decoded']")
+    keep = [c for c in df.columns if c not in (ids, "decoded")]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,8 @@ the row; prediction reads every whole text in blocks, so memory does not grow wi
 
 A null text, or one without a letter, is ``und`` with score 0. So is every text if nothing could be
 learned. Equal sizes go to the language with more rows, then the first in code-point order. Rows whose language is
-null teach nothing. Repeated rows count as they come. Columns named like the added ones raise
-ValueError; others are passed through.
+null teach nothing. Repeated rows count as they come. Columns named like the added ones
+are replaced; others are passed through.
 """
 
 from __future__ import annotations
@@ -95,10 +95,8 @@ def compressors(content: tuple[tuple[str, bytes], ...]) -> Compressors:
 
 def predict(df: DataFrame, learned: dict[str, bytes], text: str = "text") -> DataFrame:
     """Replaces ``text`` by lang_pred, score (relative margin to the second language) and rejected."""
-    keep = [c for c in df.columns if c != text]
     add = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    if clash := {f.name for f in add} & set(keep):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    keep = [c for c in df.columns if c not in (text, *(f.name for f in add))]
     content = df.sparkSession.sparkContext.broadcast(tuple(learned.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.text import cut_lineage, hash_parts, word_count
+from gaugeflow.llm.text import WORD, cut_lineage, hash_parts, word_count
 
 # Odd multiplier of the golden-ratio sequence modulo 2**31 (2**31 / 1.618...), in integers so that
 # every engine gives the same points. After 2**31 slots the sequence starts again, equally even.
@@ -30,9 +30,10 @@ CELLS = 4096
 BLOCK_WORDS = 256
 
 
-def document_sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size; the texts are read here and nowhere else."""
-    return documents.select("doc_id", "source", word_count("text").alias("size"))
+def document_sizes(documents: DataFrame, row: str | None = None) -> DataFrame:
+    """row, doc_id, source, size; the texts are read here and nowhere else."""
+    number = F.col(row) if row else F.lit(None).cast("long")
+    return documents.select(number.alias("row"), "doc_id", "source", word_count("text").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -96,7 +97,7 @@ def document_places(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFram
     named = sources.select("source_no", "source_size", "target", F.col("source").alias("_source"))
     placed = (
         sizes.join(named, F.col("source").eqNullSafe(F.col("_source")))
-        .select("doc_id", "size", "source_no", "source_size", "target", key.alias("key"))
+        .select("row", "doc_id", "size", "source_no", "source_size", "target", key.alias("key"))
         .withColumn("part", F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % hash_parts(rows))
     )
     return _running(placed, ["source_no"], ["key", "doc_id", "size"], F.col("size"), "place").drop("key")
@@ -142,20 +143,22 @@ def slot_schedule(sources: DataFrame, slots: int) -> DataFrame:
     return ranked.join(need, "source_no").filter("rank < slots").select("slot", "source_no", "rank").unionByName(short)
 
 
-def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mix as pieces of documents: slot, doc_id, size, source_no, source_size, target, place, first, words.
+def mix(
+    documents: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, row: str | None = None
+) -> DataFrame:
+    """The mix as pieces of documents: slot, row (the column so named, if any), doc_id, size, source_no, source_size, target, place, first, words.
 
     ``first`` is the first word of the document in this slot (from 0), ``words`` how many follow each
     other. A document that no slot takes has one row with a null slot and 0 words.
     """
-    sizes = cut_lineage(document_sizes(documents))
+    sizes = cut_lineage(document_sizes(documents, row))
     sources = cut_lineage(with_blocks(source_targets(sizes, weights, share, most), block_words))
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).first()
     rows = sizes.count()
     placed = document_places(sizes, sources, rows)
     if not total.slots:
         return placed.select(
-            F.lit(None).cast("long").alias("slot"), "doc_id", "size", "source_no", "source_size", "target", "place",
+            F.lit(None).cast("long").alias("slot"), "row", "doc_id", "size", "source_no", "source_size", "target", "place",
             F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("words"),
         )
     last = F.floor((F.col("place") + F.col("size") - 1) / block_words)
@@ -176,15 +179,28 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int
         pieces.join(slots, ["source_no", "block"], "left")
         .withColumn("first", first)
         .withColumn("words", F.greatest(until - first, F.lit(0)))
-        .select("slot", "doc_id", "size", "source_no", "source_size", "target", "place", "first", "words")
+        .select("slot", "row", "doc_id", "size", "source_no", "source_size", "target", "place", "first", "words")
     )
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: what the mix takes of each document, repeats counted."""
-    key = ["source_no", "place", "doc_id", "size", "source_size", "target"]
+    """row, doc_id, size, source_size, target, taken: what the mix takes of each document, repeats counted."""
+    key = ["source_no", "place", "row", "doc_id", "size", "source_size", "target"]
     pieces = mix(documents, **options)
     # A place names a document with words. Those without share theirs: count them, then list them again.
     found = pieces.groupBy(*key).agg(F.sum("words").cast("long").alias("taken"), F.count("*").alias("rows"))
     again = F.when(F.col("size") == 0, F.sequence(F.lit(1).cast("long"), F.col("rows"))).otherwise(F.array(F.lit(1).cast("long")))
-    return found.select("doc_id", "size", "source_size", "target", "taken", F.explode(again).alias("_row")).drop("_row")
+    return found.select("row", "doc_id", "size", "source_size", "target", "taken", F.explode(again).alias("_row")).drop("_row")
+
+
+def mixed_texts(documents: DataFrame, **options) -> DataFrame:
+    """The documents as often as the mix takes them, with all columns; a document cut by a target's end keeps its first words."""
+    numbered = documents.withColumn("_row", F.monotonically_increasing_id())
+    taken = mixed_documents(numbered.select("_row", "doc_id", "source", "text"), row="_row", **options)
+    taken = taken.filter("taken > 0").select(F.col("row").alias("_row"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size"))))
+    rows = numbered.join(taken.withColumn("_copy", copy), "_row")
+    rows = rows.withColumn("_words", F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size")))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_words") < F.col("_size"), words).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*documents.columns)

@@ -8,8 +8,9 @@ similarity closely. Documents with equal sets are one class from then on.
 
 Candidates share a band. They are thinned by set sizes and by the sketch, and confirmed on the full sets:
 
-1. Every class is held against one other, of those with which it starts a common band (the smallest of
-   the band) the one it shares most bands with. A group of near copies collapses here, at one pair each.
+1. Every band has a head, picked by a hash. A class is held against the ``HEADS`` heads of its bands that
+   its sketch is closest to. A group of near copies collapses here, at a few pairs each: it has many
+   heads, most members are similar to some, and the heads are members too.
 2. Connected classes become components. In bands that still hold several components, all pairs
    across components are thinned and confirmed. Pairs inside a component can change nothing.
 
@@ -32,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.text import cut_lineage, table
@@ -41,6 +42,7 @@ BANDS, ROWS = 64, 6
 SKETCH_LONGS = 8
 BITS = 64 * SKETCH_LONGS
 SIMILAR_PERCENT = 80
+HEADS = 2
 SURE = 0.58  # estimated similarity below which a pair cannot be at 0.8
 CACHED_WORDS = 400_000
 SHINGLES_AT_ONCE = 2048
@@ -141,12 +143,16 @@ def differing_bits(similarity: float, samples: int = BANDS * ROWS) -> int:
     return math.ceil(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * samples * (1 - similarity))))
 
 
+def differing(left: str, right: str) -> Column:
+    """Ones in the XOR of two sketches."""
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH])
+
+
 def may_be_similar(left: str, right: str) -> Column:
     """Sizes and sketches of two classes allow the similarity."""
     col = lambda side, name: F.col(f"{side}.{name}")
     sizes = 100 * F.least(col(left, "n"), col(right, "n")) >= SIMILAR_PERCENT * F.greatest(col(left, "n"), col(right, "n"))
-    ones = reduce(Column.__add__, [F.bit_count(col(left, s).bitwiseXOR(col(right, s))) for s in SKETCH])
-    return sizes & (ones <= differing_bits(SURE))
+    return sizes & (differing(left, right) <= differing_bits(SURE))
 
 
 def set_classes(signed: DataFrame) -> DataFrame:
@@ -160,26 +166,25 @@ def set_classes(signed: DataFrame) -> DataFrame:
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """band, node; bands with one member are left out."""
+    """band, node, head; bands with one member are left out."""
     rows = classes.select("node", F.explode("bands").alias("band"))
-    return rows.join(rows.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("head")).filter("members > 1"), "band")
-
+    first = F.min(F.struct(F.xxhash64("band", "node").alias("order"), "node")).node.alias("head")
+    return rows.join(rows.groupBy("band").agg(F.count("*").alias("members"), first).filter("members > 1"), "band").drop("members")
 
-def one_pair_each(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """x, y: each class with the head of a band that it shares most bands with."""
-    heads = members.filter("node > head").groupBy("node", "head").agg(F.count("*").alias("shared"))
-    best = heads.groupBy("node").agg(F.max(F.struct("shared", (-F.col("head")).alias("low"))).low.alias("low"))
-    return thinned(best.select(F.col("node").alias("x"), (-F.col("low")).alias("y")), classes)
 
-
-def thinned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def closest_heads(members: DataFrame, classes: DataFrame, heads: int = HEADS) -> DataFrame:
+    """x, y: each class with the heads of its bands that its sketch is closest to."""
     side = classes.select("node", "n", *SKETCH)
-    return (
+    pairs = members.filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
+    near = (
         pairs.join(side.alias("a"), F.col("x") == F.col("a.node"))
         .join(side.alias("b"), F.col("y") == F.col("b.node"))
         .filter(may_be_similar("a", "b"))
-        .select("x", "y")
+        .select("x", "y", differing("a", "b").alias("ones"))
     )
+    place = Window.partitionBy("x").orderBy("ones", "y")
+    best = near.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= heads)
+    return best.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
 def pairs_across(members: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
@@ -257,7 +262,7 @@ def near_duplicates(documents: DataFrame, words: int = 2) -> DataFrame:
     signed = cut_lineage(signatures(documents, words))
     classes = cut_lineage(set_classes(signed))
     members = cut_lineage(band_members(classes))
-    links = confirmed(one_pair_each(members, classes), documents, classes, words)
+    links = confirmed(closest_heads(members, classes), documents, classes, words)
     across = confirmed(pairs_across(members, classes, connected(links)), documents, classes, words)
     components = connected(links.unionByName(across))
     named = classes.select("digest", "node").join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

@@ -13,7 +13,7 @@ the model on the driver is one number per bucket.
 
 A null text is an empty one: no words, so it fails the base rules. Without trusted documents every log
 ratio is 0 and only the base rules decide. A null doc_id is never trusted. Repeated rows are judged, and
-counted, each. Columns named like the added ones raise ValueError, others are passed through.
+counted, each. Columns named like the added ones are replaced, others are passed through.
 """
 
 from __future__ import annotations
@@ -148,11 +148,9 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def judge(df: DataFrame, ratios: np.ndarray, text: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
     """Adds the base counts, base_failed, score and kept; drops ``text`` unless ``keep_text``."""
-    keep = [c for c in df.columns if keep_text or c != text]
     add = [T.StructField(c, T.LongType()) for c in COUNTS]
     add += [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-    if clash := {f.name for f in add} & set(keep):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    keep = [c for c in df.columns if c not in {f.name for f in add} and (keep_text or c != text)]
     model = df.sparkSession.sparkContext.broadcast(ratios)
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
@@ -179,6 +177,14 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothi
     return log_ratios(ngram_counts(documents, trusted_ids(labels), buckets), buckets, smoothing)
 
 
+def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns whatever their names."""
+    others = [c for c in documents.columns if c != "text"]
+    held = documents.select(F.struct(*others).alias("_row"), "text")
+    passed = judge(held, fit(documents, labels), keep_text=True).filter("kept")
+    return passed.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in documents.columns])
+
+
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rows = judge(documents.select("doc_id", "text"), fit(documents, table(spark, sf_dir, "labels")))

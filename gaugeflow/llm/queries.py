@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import bpe, langid, mixing, neardup, pii, quality, warc
+from gaugeflow.llm import bpe, langid, mixing, neardup, packing, pii, quality, topk, toxicity, warc
 from gaugeflow.llm.text import table
 
 
@@ -20,16 +20,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(table(spark, sf_dir, "documents"))
+    return mixing.mixed_documents(table(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc_pages": warc.pages_archive,
+    "op3_packed_rows": packing.document_packs,
+    "op4_toxicity": toxicity.document_toxicity,
     "op5_language_id": langid.document_languages,
     "op6_quality_rules": quality.document_quality,
     "op7_pii_spans": pii.document_pii,
     "op8_near_duplicates": neardup.document_near_duplicates,
+    "op9_top_k": topk.embedding_neighbours,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -61,4 +64,53 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (CASE WHEN size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(size, take % source_size - place)) END)::BIGINT AS taken
 FROM placed
 """
-ORACLE: dict[str, str] = {"op10_mix_sources": OP10_SQL}
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words WHERE len(w) > 0
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id) + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON r.y = e.x
+), smallest AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN smallest c USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+"""
+OP9_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+OP2_SQL = r"""
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), named AS (
+  SELECT page_id, payload_bytes, hex, min(page_id) OVER (PARTITION BY hex) AS first_id FROM payloads
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (substr(unhex(hex)::BIT::VARCHAR, (i * 5 + 1)::BIGINT, 5)::BIT::INTEGER + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM named
+"""
+ORACLE: dict[str, str] = {
+    "op2_warc_pages": OP2_SQL,
+    "op8_near_duplicates": OP8_SQL,
+    "op9_top_k": OP9_SQL,
+    "op10_mix_sources": OP10_SQL,
+}
