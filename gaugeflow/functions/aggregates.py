@@ -143,13 +143,8 @@ def pivot_shares(df: DataFrame, keys: list[str], label: str, value: str, labels:
     ])
 
 
-def label_vocabulary(df: DataFrame, label: str, limit: int = 10_000) -> list[str]:
-    """Distinct labels of a class column, for use as pivot columns.
-
-    Reads at most ``limit`` + 1 labels and refuses a column that has more, as a column that
-    large cannot become table columns.
-    """
-    rows = df.select(label).where(F.col(label).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{label} has more than {limit} classes; pass the list of classes")
-    return sorted(r[0] for r in rows)
+def long_shares(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
+    """Share of each label in the key's total as rows (keys, label, share), whatever the labels are."""
+    sums = df.groupBy(*keys, label).agg(F.sum(value).alias("_part"))
+    total = F.sum("_part").over(Window.partitionBy(*keys))
+    return sums.select(*keys, label, F.try_divide(F.col("_part"), total).alias("share"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.aggregates import label_vocabulary, pivot_shares
+from ..functions.aggregates import long_shares, pivot_shares
 from ..functions.columns import strip_decoration
 from ..functions.series import SITE
 
@@ -22,21 +22,23 @@ def class_proportions(
     label: str = "class",
     area: str = "area",
 ) -> DataFrame:
-    """Share of each land-cover class per (basin, year), one column per class.
+    """Share of each land-cover class per (basin, year).
 
-    Totals and shares come from one aggregation. Pass ``classes`` where they are known: it saves
-    the pass that lists them.
+    With ``classes`` one column each, from one aggregation; shares are of the whole total, so classes
+    that are not named leave the rest to 1. Without, rows (basin, year, class, share) of every class.
     """
     cover = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    classes = list(classes) if classes is not None else label_vocabulary(cover, label)
-    return pivot_shares(cover, [site, year], label, area, classes)
+    if classes is None:
+        return long_shares(cover, [site, year], label, area)
+    return pivot_shares(cover, [site, year], label, area, list(classes))
 
 
 def geology_proportions(
     geo: DataFrame, liths: Sequence[str] | None = None, site: str = SITE, label: str = "lith", value: str = "proportion"
 ) -> DataFrame:
-    """Summed proportion per lithology, one column each; absent lithologies are null."""
-    liths = list(liths) if liths is not None else label_vocabulary(geo, label)
+    """Summed proportion per lithology: with ``liths`` one column each, null where absent; without, as rows."""
+    if liths is None:
+        return geo.groupBy(site, label).agg(F.sum(value).alias(value))
     return geo.groupBy(site).agg(*[F.sum(F.when(F.col(label) == v, F.col(value))).alias(v) for v in liths])
 
 

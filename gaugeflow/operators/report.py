@@ -14,7 +14,6 @@ from ..functions.aggregates import (
     equal_bins,
     first_per_key,
     fixed_bins,
-    pivot_shares,
     share_table,
 )
 from ..functions.columns import drop_sites, relabel, safe_ln, sort_key
@@ -230,8 +229,7 @@ def gain_histogram(classes: DataFrame, width: float = 0.001, facet: str = "class
 
 
 def driver_correlation(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of the drivers; site drivers are taken from the first row of a site."""
+    """Pearson correlation of the drivers over sites: one row per site, its first year, with that year's climate."""
     columns = list(columns or DRIVER_SETS["full"])
-    years = Window.partitionBy(SITE).orderBy("water_year")
-    rows = frame.select(*[F.first(c).over(years).alias(c) if c in SITE_DRIVERS else F.col(c) for c in columns])
-    return correlation_pairs(rows, columns)
+    rows = first_per_key(frame.select(SITE, "water_year", *columns), [SITE], ["water_year"])
+    return correlation_pairs(rows.select(*columns), columns)

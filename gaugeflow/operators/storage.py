@@ -84,7 +84,8 @@ def storage_drawdown(
     highest smoothed day, and sum P - Q - ET in millimetres from there. Smoothing, share and peak
     do not depend on the unit of discharge and are taken before conversion. ``et`` is negative
     for losses, as in the gridded product; ``null_policy='propagate'`` drops a year whose smoothed
-    series has a null after the share filter.
+    series has a null after the share filter, and leaves ``ds_sum`` null from the first day without
+    rain or evaporation on, where ``skip`` leaves such a day out of the sum.
     """
     aligned = align_daily({
         "q": (daily, "date", "q"),
@@ -114,6 +115,9 @@ def storage_drawdown(
     )
     flux = after.join(basin, SITE, "left").withColumn("q_mm", depth)
     flux = flux.withColumn("ds", F.col("precip") * MM_PER_M - F.col("q_mm") - F.col("et") * -MM_PER_M)
+    so_far = F.sum("ds").over(running)
+    if null_policy == "propagate":
+        so_far = F.when(F.count("ds").over(running) == F.count(F.lit(1)).over(running), so_far)
     return flux.select(
-        SITE, "date", "q_mm", "water_year", "ds", F.sum("ds").over(running).alias("ds_sum"), water_year_day("date").alias("wy_day")
+        SITE, "date", "q_mm", "water_year", "ds", so_far.alias("ds_sum"), water_year_day("date").alias("wy_day")
     )

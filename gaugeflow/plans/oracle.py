@@ -15,6 +15,17 @@ def wy_day(d: str) -> str:
     return f"(({d}) - make_date(cast({wy(d)} - 1 as integer), 10, 1) + 1)"
 
 
+def filled(column: str) -> str:
+    """A daily column on the whole calendar of a site, interpolated linearly."""
+    return f"""select site_no, date, q, case when q is not null then q else q0 + (q1 - q0) * (date - d0) / (d1 - d0) end as filled_q,
+    case when q is null then 'yes' else 'no' end as interp_flag from (
+    select c.site_no, c.date, d.{column} as q, last_value(d.{column} ignore nulls) over b as q0, first_value(d.{column} ignore nulls) over f as q1,
+        last_value(d.date ignore nulls) over b as d0, first_value(d.date ignore nulls) over f as d1
+    from calendar c left join days d on c.site_no = d.site_no and c.date = d.date
+    window b as (partition by c.site_no order by c.date rows between unbounded preceding and current row),
+           f as (partition by c.site_no order by c.date rows between current row and unbounded following))"""
+
+
 CTES: dict[str, str] = {
     "shipments": "select p_brand as site_no, cast(l_shipdate as date) as date, p_type, l_quantity, l_extendedprice, l_tax, l_discount, l_returnflag from lineitem join part on l_partkey = p_partkey",
     "days": """select site_no, date, sum(l_quantity) as q, avg(floor(l_extendedprice / l_quantity * 1024) / 1024) as ratio,
@@ -22,10 +33,8 @@ CTES: dict[str, str] = {
         sum(floor(l_discount * 100 + 0.5)) as discount, avg(l_quantity) as mean_q, sum(l_quantity) filter (where l_returnflag = 'R') as r_q
         from shipments group by 1, 2""",
     "daily_q": "select site_no, date, q from days",
-    "daily_q_s": f"select * from daily_q where date >= date '1995-01-02' + 60 * {NUM}",
     "samples": "select site_no, date as sample_dt, a_ratio as result_va from days where a_ratio is not null",
     "daily_est": "select site_no, date, q, ratio as gen_conc from days",
-    "daily_est_s": f"select * from daily_est where date >= date '1995-01-02' + 60 * {NUM}",
     "et": "select site_no, date as dates, -tax / 131072 as value from days",
     "precip": "select site_no, date as dates, discount / 131072 as value from days",
     "temp": "select site_no, date as dates, floor(mean_q * 1024) / 1024 + 253.125 as value from days",
@@ -37,23 +46,18 @@ CTES: dict[str, str] = {
         cast(sum(p_size) as double) as drain_area_va, avg(floor(p_retailprice)) as mean_elevation, avg(p_size) as mean_slope from part group by 1)""",
     "zones": f"select site_no, r_name as zone from site_info join region on r_regionkey = {NUM} % 5",
     "land_cover": "select site_no, year(date) as year, p_type as class, sum(l_extendedprice) as area from shipments group by 1, 2, 3",
-    "geology": f"""select k.site_no, lith, size / total as proportion from
+    "geology": """select k.site_no, lith, size / total as proportion from
         (select p_brand as site_no, p_type as lith, sum(p_size) as size from part group by 1, 2) k
-        join (select p_brand as site_no, sum(p_size) as total from part group by 1) t on k.site_no = t.site_no
-        where lith <> 'PROMO' or {NUM.replace('site_no', 'k.site_no')} % 2 = 0""",
+        join (select p_brand as site_no, sum(p_size) as total from part group by 1) t on k.site_no = t.site_no""",
     "attributes": """select site_no, cast(case when s % 7 = 0 then -999 else s end as double) as a1,
         cast(case when n % 3 = 0 then -999 else n end as double) as a2
         from (select p_brand as site_no, sum(p_size) as s, count(*) as n from part group by 1)""",
     "site_catalog": """select distinct cast(c_custkey as varchar) as site_no, case when c_mktsegment = 'MACHINERY' then 'LK' else 'ST' end as site_tp_cd, parameter_cd
         from (select o_custkey, '00060' as parameter_cd from orders where o_orderpriority = '1-URGENT'
               union all select o_custkey, '00095' from orders where o_orderstatus = 'P') join customer on o_custkey = c_custkey""",
-    "filled": """select site_no, date, q, case when q is not null then q else q0 + (q1 - q0) * (date - d0) / (d1 - d0) end as filled_q,
-        case when q is null then 'yes' else 'no' end as interp_flag from (
-        select c.site_no, c.date, d.q, last_value(d.q ignore nulls) over b as q0, first_value(d.q ignore nulls) over f as q1,
-            last_value(d.date ignore nulls) over b as d0, first_value(d.date ignore nulls) over f as d1
-        from calendar c left join daily_q d on c.site_no = d.site_no and c.date = d.date
-        window b as (partition by c.site_no order by c.date rows between unbounded preceding and current row),
-               f as (partition by c.site_no order by c.date rows between current row and unbounded following))""",
+    "filled": filled("q"),
+    "filled_ratio": filled("ratio"),
+    "est_full": "select f.site_no, f.date, f.filled_q as q, r.filled_q as gen_conc from filled f join filled_ratio r on f.site_no = r.site_no and f.date = r.date",
     "runs": """select site_no, coalesce(max(n), 0) as max_run from (
         select site_no, interp_flag, count(*) as n from (select site_no, date, interp_flag,
             row_number() over (partition by site_no order by date) - row_number() over (partition by site_no, interp_flag order by date) as grp from filled)
@@ -63,15 +67,18 @@ CTES: dict[str, str] = {
         (select site_no, {wy('date')} as w from filled group by 1, 2 having count(distinct date) >= 365) k
         on f.site_no = k.site_no and {wy('f.date')} = k.w""",
     "q5_plain": "select site_no, year(date) as year, quantile_cont(q, 0.05) as q5 from complete where month(date) between 8 and 10 group by 1, 2",
+    "q5_long": "select site_no, year(date) as year, quantile_cont(q, 0.05) as q5 from complete where month(date) between 5 and 11 group by 1, 2",
     "q5": """select *, (q5 - min(q5) over (partition by site_no)) / nullif(max(q5) over (partition by site_no) - min(q5) over (partition by site_no), 0) as norm_q5 from q5_plain""",
     "members": "select site_no, quantile_cont(result_va, 0.01) as runoff, quantile_cont(result_va, 0.99) as gw from samples group by 1",
     "members_mid": "select site_no, quantile_cont(result_va, 0.4) as runoff, quantile_cont(result_va, 0.6) as gw from samples group by 1",
     "separated": """select e.site_no, date, q, gen_conc, q * ((gen_conc - runoff) / (gw - runoff)) as bf,
         q * ((gen_conc - runoff) / (gw - runoff)) / nullif(q, 0) as bf_percent from daily_est e join members m on e.site_no = m.site_no""",
-    "annual_all": f"select site_no, {wy('date')} as water_year, median(bf_percent) as median_bf from separated group by 1, 2",
+    "est_complete": f"""select e.*, {wy('e.date')} as water_year from est_full e join complete c on e.site_no = c.site_no and e.date = c.date""",
+    "annual_all": """select e.site_no, water_year, median(q * ((gen_conc - runoff) / (gw - runoff)) / nullif(q, 0)) as median_bf
+        from est_complete e join members m on e.site_no = m.site_no group by 1, 2""",
     "annual_bf": "select * from annual_all where site_no in (select site_no from annual_all group by 1 having count(*) >= 5)",
-    "annual_mid": f"""select e.site_no, {wy('date')} as water_year, median((gen_conc - runoff) / (gw - runoff)) as median_bf
-        from daily_est e join members_mid m on e.site_no = m.site_no group by 1, 2""",
+    "annual_mid": """select e.site_no, water_year, median(q * ((gen_conc - runoff) / (gw - runoff)) / nullif(q, 0)) as median_bf
+        from est_complete e join members_mid m on e.site_no = m.site_no group by 1, 2""",
     "mid_flags": "select site_no, count(*) filter (where median_bf < 0 or median_bf > 1) as n_outside, case when bool_or(median_bf < 0 or median_bf > 1) then 'flag' else 'fine' end as flag from annual_mid group by 1",
     "site_years": """select a.site_no, a.water_year, median_bf as bf_prop, q5, norm_q5 from annual_bf a
         left join q5 on a.site_no = q5.site_no and a.water_year = q5.year""",
@@ -79,7 +86,7 @@ CTES: dict[str, str] = {
         (lowflow - avg(lowflow) over s) / nullif(avg(lowflow) over s, 0) as diff_mean_lowflow,
         (lowflow - min(lowflow) over s) / nullif(max(lowflow) over s - min(lowflow) over s, 0) as norm_minmax,
         (lowflow - avg(lowflow) over s) / nullif(stddev_samp(lowflow) over s, 0) as norm_zscore, min(water_year) over s as min_year
-        from (select a.site_no, water_year, median_bf, q5 as lowflow from annual_bf a join q5 on a.site_no = q5.site_no and a.water_year = q5.year
+        from (select a.site_no, water_year, median_bf, q5 as lowflow from annual_bf a join q5_long on a.site_no = q5_long.site_no and a.water_year = q5_long.year
               where median_bf is not null and q5 is not null) window s as (partition by site_no)""",
     "changes": """select * from (select site_no, date, q, prev, q - prev as dq, (q - prev) / (date - day_before) as dq_dt from (
         select site_no, date, q, lag(q) over w as prev, lag(date) over w as day_before from daily_q window w as (partition by site_no order by date)))

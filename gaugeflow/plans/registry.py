@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .. import operators as op
 from ..functions.aggregates import null_counts
 from ..operators.harmonise import CLIMATE_DRIVERS, DRIVER_SETS, rows_per_site
-from ..operators.model import predict, residual_summary
 from ..operators.report import DRIVER_LABELS, flow_condition_counts, gain_histogram
 from ..session import cut_lineage
 from .oracle import with_ctes, wy
@@ -111,17 +110,16 @@ def segment_classes(v: Views) -> DataFrame:
 
 @query(
     "kind:s site_no:s day:d value:f4",
-    """select 'discharge' as kind, d.site_no, d.date as day, q as value from daily_q_s d join (select site_no, min(sample_dt) as f from samples
-        where sample_dt >= date '1996-06-01' group by 1 having count(distinct month(sample_dt)) >= 12) s on d.site_no = s.site_no where date >= f - 366
+    """select 'discharge' as kind, d.site_no, d.date as day, q as value from daily_q d join (select site_no, min(sample_dt) as f from samples
+        group by 1 having count(distinct month(sample_dt)) >= 12) s on d.site_no = s.site_no where date >= f - 366
     union all select 'sample', p.site_no, p.sample_dt, p.result_va from samples p join (
-        select d.site_no, min(date) as lo, max(case when date >= f - 366 then date end) as hi from daily_q_s d join (select site_no, min(sample_dt) as f from samples
-        where sample_dt >= date '1996-06-01' group by 1 having count(distinct month(sample_dt)) >= 12) s on d.site_no = s.site_no group by 1) w
-        on p.site_no = w.site_no where p.sample_dt >= date '1996-06-01' and p.sample_dt > lo and p.sample_dt < hi""",
+        select d.site_no, min(date) as lo, max(case when date >= f - 366 then date end) as hi from daily_q d join (select site_no, min(sample_dt) as f from samples
+        group by 1 having count(distinct month(sample_dt)) >= 12) s on d.site_no = s.site_no group by 1) w
+        on p.site_no = w.site_no where p.sample_dt > lo and p.sample_dt < hi""",
 )
 def model_window_inputs(v: Views) -> DataFrame:
     v.fan_out("q", "a_ratio")
-    later = v.samples.where(F.col("sample_dt") >= "1996-06-01")
-    daily, samples = op.model_window_inputs(later, v.daily_q_staggered, lead_years=1)
+    daily, samples = op.model_window_inputs(v.samples, v.daily_q, lead_years=1)
     return daily.select(F.lit("discharge").alias("kind"), "site_no", F.col("date").alias("day"), F.col("q").alias("value")).union(
         samples.select(F.lit("sample"), "site_no", "sample_dt", "result_va")
     )
@@ -217,18 +215,16 @@ def complete_water_years(v: Views) -> DataFrame:
 
 @query(
     "site_no:s water_year:i median_bf:f6",
-    f"""select a.* from (select e.site_no, {wy('date')} as water_year, median((gen_conc - runoff) / (gw - runoff)) as median_bf
-    from daily_est_s e join members m on e.site_no = m.site_no group by 1, 2) a join (select site_no from daily_est_s group by 1
-    having count(distinct {wy('date')}) >= 5) k on a.site_no = k.site_no""",
+    "select * from annual_bf",
 )
 def annual_baseflow(v: Views) -> DataFrame:
     v.fan_out("q", "ratio", "a_ratio")
-    return op.annual_baseflow(op.baseflow_separation(v.daily_est_staggered, v.members()), min_years=5)
+    return v.annual_bf
 
 
 def _mid_annual(v: Views) -> DataFrame:
     v.fan_out("q", "ratio", "a_ratio")
-    return op.annual_baseflow(op.baseflow_separation(v.daily_est, v.members(0.4, 0.6)), min_years=1)
+    return v.annual(v.members(0.4, 0.6), min_years=1)
 
 
 @query("site_no:s n_outside:i flag:s", "select * from mid_flags")
@@ -252,10 +248,10 @@ def low_flow_q5(v: Views) -> DataFrame:
 
 @query(
     "site_no:s year:i q5:f4",
-    "select site_no, year(date) as year, quantile_cont(q, 0.05) as q5 from complete where month(date) between 5 and 11 group by 1, 2",
+    "select * from q5_long",
 )
 def low_flow_q5_long_season(v: Views) -> DataFrame:
-    return op.low_flow_q5(v.complete, months=(5, 11))
+    return v.q5_long
 
 
 @query(
@@ -264,13 +260,13 @@ def low_flow_q5_long_season(v: Views) -> DataFrame:
 )
 def low_flow_normalised(v: Views) -> DataFrame:
     v.fan_out("q", "ratio", "a_ratio")
-    return op.low_flow_normalised(v.annual_bf, v.q5)
+    return op.low_flow_normalised(v.annual_bf, v.q5_long)
 
 
 @query("water_year:i n:i", "select water_year, count(*) as n from normalised where norm_minmax = 0 group by 1")
 def driest_year_tally(v: Views) -> DataFrame:
     v.fan_out("q", "ratio", "a_ratio")
-    return op.driest_year_tally(op.low_flow_normalised(v.annual_bf, v.q5))
+    return op.driest_year_tally(op.low_flow_normalised(v.annual_bf, v.q5_long))
 
 
 @query("site_no:s water_year:i bf_prop:f6 q5:f4 norm_q5:f6", "select * from site_years")
@@ -731,7 +727,7 @@ _PAIRS = [(a, b) for i, a in enumerate(DRIVER_SETS["full"]) for b in DRIVER_SETS
 
 @query(
     "var_1:s var_2:s r:f6",
-    " union all ".join(f"select '{a}' as var_1, '{b}' as var_2, corr({a}, {b}) as r from frame" for a, b in _PAIRS),
+    " union all ".join(f"select '{a}' as var_1, '{b}' as var_2, corr({a}, {b}) as r from {_SITE_ROWS}" for a, b in _PAIRS),
 )
 def driver_correlation(v: Views) -> DataFrame:
     panel = v.fan_out().panel

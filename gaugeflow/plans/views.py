@@ -22,7 +22,6 @@ from ..session import cut_lineage
 KEYS = ["site_no", "water_year"]
 LAND_CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 BRANDS = [f"Brand#{n}" for n in range(1, 26)]
-FIRST_DAY = "1995-01-02"
 
 
 class Views:
@@ -70,13 +69,6 @@ class Views:
     def daily_q(self) -> DataFrame:
         return self.days.select("site_no", "date", "q")
 
-    @property
-    def daily_q_staggered(self) -> DataFrame:
-        return self._staggered(self.daily_q)
-
-    def _staggered(self, df: DataFrame) -> DataFrame:
-        return df.where(F.col("date") >= F.date_add(F.lit(FIRST_DAY).cast("date"), 60 * self.number()))
-
     @property
     def samples(self) -> DataFrame:
         return self.days.where(F.col("a_ratio").isNotNull()).select(
@@ -87,10 +79,6 @@ class Views:
     def daily_est(self) -> DataFrame:
         return self.days.select("site_no", "date", "q", F.col("ratio").alias("gen_conc"))
 
-    @property
-    def daily_est_staggered(self) -> DataFrame:
-        return self._staggered(self.daily_est)
-
     @property
     def et(self) -> DataFrame:
         return self.days.select("site_no", F.col("date").alias("dates"), (-F.col("tax") / 131072).alias("value"))
@@ -155,8 +143,7 @@ class Views:
     def geology(self) -> DataFrame:
         part = self.table("part").select(F.col("p_brand").alias("site_no"), "p_type", "p_size")
         total = part.groupBy("site_no").agg(F.sum("p_size").alias("total"))
-        kept = part.where((F.col("p_type") != "PROMO") | (self.number() % 2 == 0))
-        liths = kept.groupBy("site_no", F.col("p_type").alias("lith")).agg(F.sum("p_size").alias("size"))
+        liths = part.groupBy("site_no", F.col("p_type").alias("lith")).agg(F.sum("p_size").alias("size"))
         return liths.join(total, "site_no").select("site_no", "lith", (F.col("size") / F.col("total")).alias("proportion"))
 
     @property
@@ -207,16 +194,28 @@ class Views:
     def q5(self) -> DataFrame:
         return op.low_flow_q5(self.complete)
 
+    @property
+    def q5_long(self) -> DataFrame:
+        """Low flow of the long season, May to November."""
+        return op.low_flow_q5(self.complete, months=(5, 11))
+
     def members(self, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
         return op.end_members(self.samples, lo, hi, one_per_day=True)
 
     @property
-    def separated(self) -> DataFrame:
-        return op.baseflow_separation(self.daily_est, self.members())
+    def est_filled(self) -> DataFrame:
+        """Estimate on the whole calendar of a site: discharge and concentration between known days."""
+        conc = op.fill_daily_gaps(self.days.select("site_no", "date", F.col("ratio").alias("q")))
+        return self.filled_q.join(conc.select("site_no", "date", F.col("filled_q").alias("gen_conc")), ["site_no", "date"])
+
+    def annual(self, members: DataFrame, min_years: int) -> DataFrame:
+        """Annual baseflow over complete water years of the filled estimate."""
+        separated = op.complete_water_years(op.baseflow_separation(self.est_filled, members)).drop("water_year")
+        return op.annual_baseflow(separated, min_years=min_years)
 
     @property
     def annual_bf(self) -> DataFrame:
-        return op.annual_baseflow(self.separated, min_years=5)
+        return self.annual(self.members(), min_years=5)
 
     @property
     def snow(self) -> DataFrame:

@@ -29,9 +29,12 @@ def local_session(app: str = "gaugeflow", cores: str = "8", partitions: int = 8)
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without one, as in tests, gets a folder of its own.
+    Only a local session without one, as in tests, gets a folder of its own; on a cluster that
+    would be a disk which the other machines do not see, so it is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if named is None:
         named = tempfile.mkdtemp(prefix="gaugeflow-")
         spark.sparkContext.setCheckpointDir(named)

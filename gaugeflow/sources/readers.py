@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from ..functions.columns import normalise_site_id
 
@@ -18,13 +20,57 @@ DAILY_EST = "site_no STRING, date DATE, q DOUBLE, gen_conc DOUBLE"
 SITE_INFO = "site_no STRING, drain_area_va DOUBLE, dec_lat_va DOUBLE, dec_long_va DOUBLE"
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | StructType | None = None) -> DataFrame:
-    """CSV with a header line. Without a schema every column is text: inference would read the
-    files twice and turn ids into numbers."""
-    reader = spark.read.option("header", True).option("nullValue", "NA")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+def header_groups(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files of a path, pattern or list of paths by their header line; one job for all of them."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    )
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():  # one short row per file
+        names = next(csv.reader([row.header.removeprefix("\ufeff")]), [])
+        groups.setdefault(tuple(n.strip() for n in names), []).append(row.file)
+    return groups
+
+
+def _fields(schema: str | StructType | None) -> dict[str, DataType] | None:
+    if schema is None:
+        return None
+    return {f.name: f.dataType for f in (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields}
+
+
+def _read_group(spark: SparkSession, names: Sequence[str], files: list[str], wanted: dict[str, DataType] | None, more: Sequence[Column]) -> DataFrame:
+    """One scan of files with one header; columns by name, an unnamed index column is left out."""
+    named = [n for n in names if n]
+    if len(set(named)) != len(named):
+        raise ValueError(f"{files[0]}: a column name occurs twice in {list(names)}")
+    if wanted is not None and (missing := [n for n in wanted if n not in named]):
+        raise ValueError(f"{files[0]}: no column {', '.join(missing)} in {list(names)}")
+    kinds = wanted or {}
+    layout = StructType([StructField(n or f"_unnamed_{k}", kinds.get(n, StringType())) for k, n in enumerate(names)])
+    df = spark.read.option("header", True).option("nullValue", "NA").schema(layout).csv(files)
+    return df.select(*more, *[F.col(f"`{n}`") for n in (wanted or named)])
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | StructType | None = None, more: Sequence[Column] = ()) -> DataFrame:
+    """CSV files with a header line, columns taken by name.
+
+    Files may have their columns in any order and further ones; a column of ``schema`` that a file
+    lacks is an error. A leading index column without a name is left out. Without a schema every
+    column is text (inference would turn ids into numbers), and a file without a column has nulls
+    there. Files are scanned in one plan branch per distinct header, whatever their number.
+    """
+    wanted = _fields(schema)
+    parts = [_read_group(spark, names, files, wanted, more) for names, files in header_groups(spark, path).items()]
+    if not parts:
+        if schema is None:
+            raise ValueError(f"no header line in {path}")
+        empty = spark.createDataFrame([], schema)
+        return empty.select(*[F.lit(None).cast("string").alias(f"_more_{k}") for k in range(len(more))], *empty.columns)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -36,20 +82,15 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
 
 
 def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Union by name of CSV files whose columns may differ."""
-    merged = None
-    for path in paths:
-        part = read_csv(spark, path)
-        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    return merged
+    """Union by name of CSV files whose columns may differ; thousands of files are one job and few scans."""
+    return read_csv(spark, list(paths))
 
 
 def read_per_site_files(
     spark: SparkSession, glob: str, pattern: str = r"_([^_/]+)\.csv$", schema: str | None = None
 ) -> DataFrame:
-    """One scan over files named by site; the id comes from the file name."""
-    df = read_csv(spark, glob, schema)
-    return df.select(F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).alias("site_no"), "*")
+    """Files named by site; the id comes from the file name, the columns are taken by name."""
+    return read_csv(spark, glob, schema, [F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).alias("site_no")])
 
 
 def repair_columns(

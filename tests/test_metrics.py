@@ -177,10 +177,14 @@ def test_snow(make):
 
 def test_landscape(make):
     cover = make([("a", 2000, "x", 1.0), ("a", 2000, "y", 3.0), ("b", 2000, "x", 2.0)], "site_no string, year int, class string, area double")
-    rows = collect(op.class_proportions([cover.where("site_no = 'a'"), cover.where("site_no = 'b'")]), "site_no")
+    parts = [cover.where("site_no = 'a'"), cover.where("site_no = 'b'")]
+    rows = collect(op.class_proportions(parts, ["x", "y"]), "site_no")
     assert rows == [{"site_no": "a", "year": 2000, "x": 0.25, "y": 0.75}, {"site_no": "b", "year": 2000, "x": 1.0, "y": None}]
     geo = make([("a", "l", 0.5), ("a", "l", 0.495), ("b", "l", 0.5), ("b", "m", None)], "site_no string, lith string, proportion double")
-    wide = op.geology_proportions(geo)
+    long = {(r["site_no"], r["class"]): r["share"] for r in op.class_proportions(parts).collect()}
+    assert long == {("a", "x"): 0.25, ("a", "y"): 0.75, ("b", "x"): 1.0}
+    assert {(r["site_no"], r["lith"]): r["proportion"] for r in op.geology_proportions(geo).collect()} == {("a", "l"): 0.995, ("b", "l"): 0.5, ("b", "m"): None}
+    wide = op.geology_proportions(geo, ["l", "m"])
     assert [r["site_no"] for r in op.complete_composition(wide, ["l", "m"]).collect()] == ["a"]
     sites = make([("a", 40.1, -110.3), ("far", 10.0, 10.0)], "site_no string, lat double, lon double")
     grid = make([(40.25, -110.25, 7)], "lat double, lon double, zone_code int")

@@ -110,11 +110,12 @@ def test_histograms_use_one_row_per_site_for_site_drivers(make):
     assert len(n) == 15
 
 
-def test_correlation_repeats_site_values_over_years(make):
-    rows = [panel_row(s, y, mean_slope=v, sdd=v * (y - 1999)) for s, v in (("a", 1.0), ("b", 2.0)) for y in (2000, 2001)]
+def test_correlation_takes_the_first_year_of_a_site(make):
+    first = {"a": 2.0, "b": 1.0, "c": 5.0}
+    rows = [panel_row(s, y, mean_slope=v, sdd=first[s] + 10 * (y - 2000)) for s, v in (("a", 1.0), ("b", 2.0), ("c", 3.0)) for y in (2000, 2001)]
     pairs = {(r["var_1"], r["var_2"]): r["r"] for r in op.driver_correlation(make(rows, PANEL_SCHEMA)).collect()}
     assert len(pairs) == 66 and pairs[("sdd", "sdd")] == pytest.approx(1)
-    x, y = [1, 1, 2, 2], [1, 2, 2, 4]
+    x, y = [1, 2, 3], [2, 1, 5]
     import numpy as np
 
     assert pairs[("sdd", "mean_slope")] == pytest.approx(np.corrcoef(x, y)[0, 1])

@@ -1,5 +1,7 @@
 from datetime import date
 
+import pytest
+
 from gaugeflow.sources import readers, writers
 
 DAY = date(2000, 10, 1)
@@ -37,3 +39,28 @@ def test_many_files_with_different_columns(spark, tmp_path):
     (tmp_path / "b.csv").write_text("dates,y\n3,4\n")
     df = readers.read_many(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     assert sorted(map(tuple, df.collect())) == [("1", "2", None), ("3", None, "4")]
+
+
+def test_an_index_column_is_left_out(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('"","site_no","sample_dt","result_va"\n"1","09380000","2000-10-01",2.5\n"2","09380001","2000-10-02",NA\n')
+    df = readers.read_table(spark, str(tmp_path / "s.csv"), readers.SAMPLES, fmt="csv")
+    assert df.columns == ["site_no", "sample_dt", "result_va"]
+    assert sorted((r["site_no"], str(r["sample_dt"]), r["result_va"]) for r in df.collect()) == [("09380000", "2000-10-01", 2.5), ("09380001", "2000-10-02", None)]
+    assert readers.read_csv(spark, str(tmp_path / "s.csv")).columns == ["site_no", "sample_dt", "result_va"]
+
+
+def test_columns_are_taken_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "E_01.csv").write_text("date,q,gen_conc\n2000-10-01,20,2\n")
+    (tmp_path / "E_02.csv").write_text('"",gen_conc,date,more,q\n1,2,2000-10-01,x,20\n')
+    for k in range(3, 30):
+        (tmp_path / f"E_{k:02}.csv").write_text("date,q,gen_conc\n2000-10-01,20,2\n")
+    schema = "date DATE, q DOUBLE, gen_conc DOUBLE"
+    df = readers.read_per_site_files(spark, str(tmp_path / "E_*.csv"), schema=schema)
+    assert {(r["site_no"], r["date"], r["q"], r["gen_conc"]) for r in df.collect()} == {(f"{k:02}", DAY, 20.0, 2.0) for k in range(1, 30)}
+    assert len(readers.header_groups(spark, str(tmp_path / "E_*.csv"))) == 2
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,flow\n2000-10-01,1\n")
+    with pytest.raises(ValueError, match="no column q"):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), "date DATE, q DOUBLE")
