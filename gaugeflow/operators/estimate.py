@@ -274,11 +274,12 @@ def residual_bridge(daily_est: DataFrame, samples: DataFrame, rho: float = 0.9)
     return days.select(*daily_est.columns, F.when(on_day, F.exp("_y")).otherwise(est).alias("gen_conc"))
 
 
-def estimate_errors(daily_est: DataFrame, samples: DataFrame, estimate: str = "gen_conc") -> DataFrame:
+def estimate_errors(daily_est: DataFrame, samples: DataFrame, estimate: str) -> DataFrame:
     """Error and flux-bias statistics per site on the sample days.
 
     Log-space R squared of concentration and of flux, RMSE of the log residuals and its percent
-    form, and the flux bias relative to the observed and to the estimated sum.
+    form, and the flux bias relative to the observed and to the estimated sum. ``estimate`` names the
+    column that is judged; one that already holds the samples, as after ``residual_bridge``, has no error.
     """
     met = daily_est.join(samples.withColumnRenamed("sample_dt", "date"), [SITE, "date"]).where(
         (F.col("result_va") > 0) & (F.col(estimate) > 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,21 +14,25 @@ from ..functions.series import SITE
 from ..session import task_count
 from .model import KEYS, drivers_of
 
-BACKGROUND_LIMIT = 10_000
 
+def background_rows(frame: DataFrame, drivers: list[str], seed: int) -> tuple[DataFrame, int]:
+    """All rows of the frame numbered from 0 in the order of a key hash (_i, _z), and their number.
 
-def background_rows(frame: DataFrame, drivers: list[str], size: int, seed: int) -> DataFrame:
-    """``size`` rows picked by key hash, numbered from 0; all rows of a smaller frame."""
-    if size > BACKGROUND_LIMIT:
-        raise ValueError(f"a background of more than {BACKGROUND_LIMIT} rows is not broadcast")
-    picked = frame.select(F.xxhash64(*KEYS, F.lit(seed)).alias("_h"), *KEYS, F.array(*drivers).alias("_z"))
-    picked = picked.orderBy("_h", *KEYS).limit(size)
-    ranked = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", *KEYS))
-    return picked.select((ranked - 1).alias("_i"), "_z", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("_size"))
+    The number has two levels, rows before the hash bucket and place inside it, with about as many
+    buckets as rows in one.
+    """
+    size = frame.count()
+    hashed = frame.select(F.xxhash64(*KEYS, F.lit(seed)).alias("_h"), *KEYS, F.array(*drivers).alias("_z"))
+    hashed = hashed.withColumn("_bucket", F.pmod("_h", F.lit(max(1, math.isqrt(size)))))
+    counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", *KEYS)) - 1
+    return hashed.withColumn("_place", inside).join(counts, "_bucket").select((F.col("_before") + F.col("_place")).alias("_i"), "_z"), size
 
 
 def shapley_sampling(
-    model, frame: DataFrame, samples: int = 100, seed: int = 123, background: int = 1000, label: str = "q5_norm"
+    model, frame: DataFrame, samples: int = 100, seed: int = 123, background: int | None = None, label: str = "q5_norm"
 ) -> DataFrame:
     """Sampling Shapley values (Strumbelj & Kononenko 2014), one row per (site, year, driver).
 
@@ -35,19 +41,20 @@ def shapley_sampling(
     change of the prediction at its step. p drivers need p + 1 predictions per draw, not 2 p.
     Orders and background picks are hashes of the keys, so reruns agree.
 
-    Rows are placed by key first: the draws of a row are made, predicted and averaged in one task
-    without a further exchange. The background is a bounded sample and is broadcast.
+    The background is the whole frame, or the first ``background`` rows in the order of a key hash.
+    Its rows are numbered, a draw is a number, and the two meet in an equi-join: no size of frame or
+    background is broadcast or refused.
     """
     drivers = drivers_of(frame, label)
     p = len(drivers)
-    pool = background_rows(frame, drivers, background, seed)
-    size = pool.agg(F.max("_size")).first()[0]
+    pool, size = background_rows(frame, drivers, seed)
     if not size:
         raise ValueError("the frame has no rows")
+    size = size if background is None else min(size, background)
     rows = frame.select(*KEYS, F.array(*drivers).alias("_x")).repartition(task_count(frame.sparkSession), *KEYS)
     draws = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(*KEYS, "_k", F.lit(seed)), F.lit(size)).cast("int"))
-    draws = draws.join(F.broadcast(pool.select("_i", "_z")), "_i")
+    draws = draws.withColumn("_i", F.pmod(F.xxhash64(*KEYS, "_k", F.lit(seed)), F.lit(size)))
+    draws = draws.join(pool, "_i")
     shuffled = F.array_sort(F.array(*[
         F.struct(F.xxhash64(*KEYS, "_k", F.lit(seed), F.lit(name)).alias("h"), F.lit(j).alias("j")) for j, name in enumerate(drivers)
     ]))

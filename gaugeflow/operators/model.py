@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -14,6 +16,7 @@ from ..functions.series import SITE
 
 KEYS = (SITE, "water_year")
 BUCKETS = 1_000_000
+FITS_AT_ONCE = 4
 
 
 def drivers_of(frame: DataFrame, label: str = "q5_norm") -> list[str]:
@@ -74,15 +77,17 @@ def forest_residuals(frame: DataFrame, folds: int = 10, trees: int = 400, seed:
     """Held-out prediction and residual of every row, from ``folds`` fits.
 
     Each row is predicted by a forest that has not seen its fold. Folds are a hash of the keys;
-    the number of fits does not grow with the data.
+    the number of fits does not grow with the data. Hand in a stored table: every fit reads it.
     """
     marked = frame.withColumn("_fold", F.floor(hash_fraction(seed) * folds))
-    scored = None
-    for fold in range(folds):
+
+    def held_out(fold: int) -> DataFrame:
         model = forest_fit(marked.where(F.col("_fold") != fold).drop("_fold"), trees, seed, **settings)
-        part = predict(model, marked.where(F.col("_fold") == fold).drop("_fold")).withColumn("fold", F.lit(fold))
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+        return predict(model, marked.where(F.col("_fold") == fold).drop("_fold")).withColumn("fold", F.lit(fold))
+
+    # The fits are jobs of their own that do not wait for each other.
+    with ThreadPool(min(folds, FITS_AT_ONCE)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(held_out, range(folds)))
 
 
 def residual_summary(residuals: DataFrame, label: str = "q5_norm") -> DataFrame:

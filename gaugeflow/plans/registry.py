@@ -528,7 +528,7 @@ def forest_fit(v: Views) -> DataFrame:
 
 @query("site_no:s water_year:i q5_norm:f4 pred:f4 residual:f4 fold:i")
 def forest_residuals(v: Views) -> DataFrame:
-    return op.forest_residuals(_stored_frame(v), folds=3, trees=TREES, max_depth=DEPTH)
+    return op.forest_residuals(_stored_frame(v), trees=TREES, max_depth=DEPTH)
 
 
 @query("part:s n:i rmse:f4 relative_rmse:f6 r2:f6")
@@ -538,8 +538,8 @@ def train_test_eval(v: Views) -> DataFrame:
 
 @query("site_no:s water_year:i feature:s phi:f6 phi_var:f6 feature_value:f4")
 def shapley_sampling(v: Views) -> DataFrame:
-    frame = _stored_frame(v, "climate")
-    return op.shapley_sampling(op.forest_fit(frame, trees=TREES, max_depth=DEPTH), frame, samples=20)
+    frame = _stored_frame(v)
+    return op.shapley_sampling(op.forest_fit(frame, trees=TREES, max_depth=DEPTH), frame)
 
 
 @query(
@@ -774,4 +774,4 @@ def residual_bridge(v: Views) -> DataFrame:
 )
 def estimate_errors(v: Views) -> DataFrame:
     v.fan_out("q", "ratio", "a_ratio")
-    return op.estimate_errors(v.daily_est, v.samples)
+    return op.estimate_errors(v.daily_est, v.samples, "gen_conc")

@@ -115,7 +115,7 @@ def test_bridge(make):
 def test_estimate_errors(make):
     est = make([("a", day(n), 2.0, float(v)) for n, v in enumerate([10, 20, 30])], "site_no string, date date, q double, gen_conc double")
     samples = make([("a", day(n), float(v)) for n, v in enumerate([11, 19, 33])], SAMPLES)
-    row = op.estimate_errors(est, samples).first()
+    row = op.estimate_errors(est, samples, "gen_conc").first()
     o, e = np.log([11, 19, 33]), np.log([10, 20, 30])
     assert row["rmse_log"] == pytest.approx(np.sqrt(((o - e) ** 2).mean()))
     assert row["r2_log_conc"] == pytest.approx(1 - ((o - e) ** 2).sum() / ((o - o.mean()) ** 2).sum())
