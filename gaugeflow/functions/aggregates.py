@@ -79,19 +79,23 @@ def bounded_rank(df: DataFrame, column: str, name: str = "display_rank", ascendi
     return df.join(ranks, column, "left")
 
 
-def fixed_bins(df: DataFrame, value: str, width: float, facet: list[str] | None = None) -> DataFrame:
-    """Histogram with bins of fixed width starting at 0."""
-    index = F.floor(F.col(value) / width)
+def fixed_bins(df: DataFrame, value: str, width: float, facet: list[str] | None = None, centred: bool = True) -> DataFrame:
+    """Histogram with bins of fixed width, centred on the multiples of it or else starting there."""
+    shift = 0.5 if centred else 0.0
+    index = F.floor(F.col(value) / width + shift)
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*(facet or []), index.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bin_start", F.col("bin") * width)
+        .withColumn("bin_start", (F.col("bin") - shift) * width)
     )
 
 
-def equal_bins(df: DataFrame, columns: list[str], bins: int = 30, label: str = "variable") -> DataFrame:
-    """Histogram of each column with ``bins`` equal bins between its own minimum and maximum.
+def equal_bins(df: DataFrame, columns: list[str], bins: int = 30, label: str = "variable", centred: bool = True) -> DataFrame:
+    """Histogram of each column with ``bins`` equal bins over its own range.
+
+    The first bin is centred on the minimum and the last on the maximum, so that a bin is the range
+    over ``bins`` - 1 wide; else bins start at the minimum and end at the maximum.
 
     Two passes that both combine map-side. The bounds are one row per column, so that side of
     the join is bounded by the number of columns.
@@ -102,14 +106,15 @@ def equal_bins(df: DataFrame, columns: list[str], bins: int = 30, label: str = "
         .select(label, "range.lo", "range.hi")
     )
     tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, label, "value")
-    width = (F.col("hi") - F.col("lo")) / bins
-    index = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1))
+    shift = 0.5 if centred and bins > 1 else 0.0
+    width = (F.col("hi") - F.col("lo")) / (bins - 1 if shift else bins)
+    index = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), width) + shift), F.lit(0)), F.lit(bins - 1))
     return (
         tall.where(F.col("value").isNotNull())
         .join(F.broadcast(bounds), label)
         .groupBy(label, index.cast("int").alias("bin"), F.col("lo"), width.alias("width"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(label, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_start"), "n")
+        .select(label, "bin", (F.col("lo") + (F.col("bin") - shift) * F.col("width")).alias("bin_start"), "n")
     )
 
 

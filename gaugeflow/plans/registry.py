@@ -693,7 +693,7 @@ def site_profile(v: Views) -> DataFrame:
 
 
 def _hist(column: str, source: str, label: str) -> str:
-    return f"""select '{label}' as variable, bin, count(*) as n from (select least(coalesce(floor((x - lo) / nullif((hi - lo) / 30, 0)), 0), 29) as bin
+    return f"""select '{label}' as variable, bin, count(*) as n from (select least(coalesce(floor((x - lo) / nullif((hi - lo) / 29, 0) + 0.5), 0), 29) as bin
         from (select cast({column} as double) as x, min(cast({column} as double)) over () as lo, max(cast({column} as double)) over () as hi from {source} where {column} is not null)) group by bin"""
 
 
@@ -716,7 +716,7 @@ def driver_histograms(v: Views) -> DataFrame:
 
 @query(
     "class_b:s bin:i bin_start:f4 n:i",
-    "select class_b, floor(res_diff / 0.5) as bin, floor(res_diff / 0.5) * 0.5 as bin_start, count(*) as n from classes group by 1, 2, 3",
+    "select class_b, floor(res_diff / 0.5 + 0.5) as bin, (floor(res_diff / 0.5 + 0.5) - 0.5) * 0.5 as bin_start, count(*) as n from classes group by 1, 2, 3",
 )
 def residual_gain_histogram(v: Views) -> DataFrame:
     return gain_histogram(v.fan_out("q").classes, width=0.5)

@@ -86,6 +86,11 @@ def test_bins(make):
     assert rows == {("x", 0): 1, ("x", 1): 1, ("x", 29): 1, ("flat", 0): 3}
     fixed = {r["bin"]: r["n"] for r in ag.fixed_bins(df, "x", 10.0).collect()}
     assert fixed == {0: 2, 3: 1}
+    starts = {r["bin"]: r["bin_start"] for r in ag.fixed_bins(df, "x", 10.0).collect()}
+    assert starts == {0: -5.0, 3: 25.0}
+    assert {r["bin"]: r["bin_start"] for r in ag.fixed_bins(df, "x", 10.0, centred=False).collect()} == {0: 0.0, 3: 30.0}
+    first = next(r for r in ag.equal_bins(df, ["x"]).collect() if r["bin"] == 0)
+    assert first["bin_start"] == pytest.approx(-15 / 29)
 
 
 def test_linear_fit_statistics(make):
