@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SHORT = 64  # bytes of a word up to which the rank array is scanned
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 300_000
 CACHED_CHARS = 48  # longer chunks are not kept
 SCANNED = 4096  # words scanned at once
 BATCH_CHARS = 2_000_000

@@ -35,7 +35,7 @@ TRUSTED = 20_000
 THRESHOLD = -0.1  # mean log ratio (nats) below which a document goes; no held-out trusted document fell below
 SMOOTHING = 10.0  # per bucket, so that few trusted documents decide little
 WINDOW = 5
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 # Fixed by the contract of the query: what separates words, and which characters are symbols.
 SPACES = " \t\n\v\f\r"
