@@ -110,9 +110,12 @@ def mean_abs_shap(shap: DataFrame, feature_classes: DataFrame | None = None, res
 
 
 def shap_dependence(shap: DataFrame, panel: DataFrame, feature: str, zone: str | None = "zone") -> DataFrame:
-    """Attribution of one driver next to its value (and zone) in the panel, row by row."""
-    values = panel.select(*KEYS, F.col(feature).alias("feature_value"), *([zone] if zone else []))
-    return shap.where(F.col("feature") == feature).select(*KEYS, "feature", "phi").join(values, list(KEYS), "left")
+    """Attribution of one driver next to its value in the panel, by site and year, and the zone of the site."""
+    values = panel.select(*KEYS, F.col(feature).alias("feature_value"))
+    rows = shap.where(F.col("feature") == feature).select(*KEYS, "feature", "phi").join(values, list(KEYS), "left")
+    if zone is None:
+        return rows
+    return rows.join(panel.groupBy(SITE).agg(F.min_by(zone, "water_year").alias(zone)), SITE, "left")
 
 
 def site_mean_filter(frame: DataFrame, column: str = "mean_slope", minimum: float = 13) -> DataFrame:
