@@ -149,20 +149,28 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     if not words:
         return Model({}, [50.0] * GRADES)
 
+    number = {word: k for k, word in enumerate(words)}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[number[w] for w in ws if w in number] for ws in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, toxic = [], []
+        found, toxic, marks = [], [], np.array([m for _, m in words.values()])
         for batch in batches:
-            toxic += batch.column(0).to_pylist()
-            found += [[words[w] for w in ws if w in words] for ws in batch.column(1).to_pylist()]
-        held = np.array([sum(marks for _, marks in f) for f in found])
+            toxic += batch.column(1).to_pylist()
+            found += batch.column(2).to_pylist()
+        held = np.array([int(marks[f].sum()) for f in found])
         label = np.array(toxic)
         cuts = np.quantile(held[label == 1], np.arange(1, GRADES) / GRADES)
         grades = np.where(label == 1, 1 + (held[:, None] > cuts).sum(axis=1), 0)
-        weights, thresholds = fit_ordinal([[k for k, _ in f] for f in found], grades, len(words))
+        weights, thresholds = fit_ordinal(found, grades, len(words))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()]), pa.array([thresholds.tolist()])], names=["weights", "thresholds"])
 
-    # The sample is bounded, so one task fits the model.
-    model = rows.orderBy("doc_id", "words").select("toxic", "words").coalesce(1).mapInArrow(run, "weights array<double>, thresholds array<double>").first()
+    # The sample is bounded, and short rows of numbers by now, so one task fits the model.
+    short = rows.select("doc_id", "toxic", "words").mapInArrow(numbered, "doc_id long, toxic int, found array<int>")
+    model = short.repartition(1).sortWithinPartitions("doc_id", "found").mapInArrow(run, "weights array<double>, thresholds array<double>").first()
     return Model(dict(zip(words, model.weights)), model.thresholds)
 
 
