@@ -127,6 +127,36 @@ def test_pii_base_spans(spark, awkward):
     assert pii.spans(df.limit(0), selector).count() == 0
 
 
+def redact_plainly(text, found):
+    """Spans merged where they overlap; the mark is that of the first, longest one."""
+    kinds = ["email", "ip", "card", "phone", "number", "address"]
+    out, end = "", 0
+    merged = []
+    for start, back, _, kind in sorted((s[0], -s[1], n, k) for n, k in enumerate(kinds) for s in found[k]):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], -back)
+        else:
+            merged.append([start, -back, kind])
+    for start, stop, kind in merged:
+        out, end = out + text[end:start] + f"[{kind.upper()}]", stop
+    return out + text[end:]
+
+
+def test_pii_redacts_every_span_of_the_original_text(spark):
+    texts = [
+        "ask jane+4915112345678@example.com now", "root@10.20.30.40", "x 4111 1111 1111 1 111.2.3.4 y", "1.2.3.4+49 151 12345678", "1234567@x.com 4111 1111 1111 1111+1 234 567 890",
+        "🙂" * 5000 + " a@b.co " + "é" * 9000 + "+1 (017) 555-7713", "1.2.3.4 " * 300, "a@b.c" * 200, "none", "", "4111111111111111" + "x" * 4096 + "a@b.c",
+    ]
+    rnd = random.Random(11)
+    texts += ["".join(rnd.choice(["1", "22", "345", "4111111111111111", "1.2.3.4", "+49151123", ".", " ", "-", "+", "(", "@", "a", "b.c", "é", "\n"]) for _ in range(30)) for _ in range(300)]
+    df = docs(spark, list(enumerate(texts)))
+    for selector in (pii.fit(df), pii.fit(df.limit(0))):
+        found, clean = by_id(pii.spans(df.select("doc_id", "text"), selector)), by_id(pii.redacted(df, selector))
+        assert all(clean[k].text == redact_plainly(t, found[k]) for k, t in enumerate(texts))
+        assert all(found[k][kind] == brute.base_spans(t)[kind] for k, t in enumerate(texts) for kind in pii.KINDS)
+        assert [clean[k].text for k in range(4)] == ["ask [EMAIL] now", "[EMAIL]", "x [CARD] y", "[IP][PHONE]"]
+
+
 def test_pii_selects_what_looks_like_the_fixed_formats(spark):
     rnd = random.Random(7)
 
