@@ -173,6 +173,22 @@ def test_pii_selects_what_looks_like_the_fixed_formats(spark):
     assert not any(found[k].number for k in range(200, 300))
 
 
+def test_pii_selects_numbers_in_formats_without_a_fixed_one(spark):
+    """Formats that no fixed span has, two in a run, and one beside a fixed span; long runs and codes teach what is none."""
+    rnd = random.Random(12)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    bad = lambda: next(c for c in iter(lambda: digits(16), None) if not brute.luhn(c))
+    rows = [(k, f"some words 4111 1111 1111 1111 and 4111111111111111 or +49 30 {digits(3)} {digits(4)} or +1 (017) 555-{digits(4)} or 10.20.30.{k} x") for k in range(100)]
+    rows += [(100 + k, f"sum {' '.join(digits(24))} y token a{digits(8)}b") for k in range(100)]
+    a, b = bad(), bad()
+    asked = {
+        "call (555) 123-4567 now": ["555) 123-4567"], "nr 078-05-1120 is": ["078-05-1120"], "from 0171 5557713 on": ["0171 5557713"], f"both {a} {b} there": [a, b],
+        f"by 10.20.30.40 {a} there": [a], "token a12345678b": [],
+    }
+    found = by_id(pii.spans(docs(spark, list(enumerate(asked))).select("doc_id", "text"), pii.fit(docs(spark, rows))))
+    assert {t: [t[s.start : s.end] for s in found[k].number] for k, t in enumerate(asked)} == asked
+
+
 def test_near_duplicates(spark, awkward):
     rnd = random.Random(8)
     words = [f"w{k}" for k in range(4000)]
