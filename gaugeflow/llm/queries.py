@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import bpe, langid, mixing, neardup, packing, pii, quality, topk, toxicity, warc
+from gaugeflow.llm import bpe, fim, langid, lexical, mixing, neardup, packing, pii, quality, simhash, topk, toxicity, warc
 from gaugeflow.llm.text import table
 
 
@@ -34,6 +34,9 @@ QUERIES = {
     "op8_near_duplicates": neardup.document_near_duplicates,
     "op9_top_k": topk.embedding_neighbours,
     "op10_mix_sources": op10_mix_sources,
+    "op11_fill_in_middle": fim.document_fill_in_middle,
+    "op12_near_fingerprints": simhash.document_near_fingerprints,
+    "op13_ranked_search": lexical.document_search,
 }
 
 OP10_SQL = r"""
@@ -108,9 +111,52 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM named
 """
+OP11_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, ('0x' || substr(hex, 1, 8))::BIGINT AS h1, ('0x' || substr(hex, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(hex, 25, 8))::BIGINT AS h4 FROM lines
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle,
+    coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+OP13_SQL = r"""
+WITH tokens AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM tokens GROUP BY doc_id
+), totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM sizes
+), held AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM tokens GROUP BY doc_id, t
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY t, docs
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN held USING (t) JOIN weights USING (t) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
 ORACLE: dict[str, str] = {
     "op2_warc_pages": OP2_SQL,
     "op8_near_duplicates": OP8_SQL,
     "op9_top_k": OP9_SQL,
     "op10_mix_sources": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
