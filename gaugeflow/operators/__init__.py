@@ -11,7 +11,7 @@ from .climate import (
     two_digit_year_fix,
 )
 from .daily import fill_daily_gaps, interpolated_runs, missing_day_sites, resolve_long_gaps, sample_overlay
-from .estimate import concentration_surface, daily_from_surface, estimate_errors, fit_surface, residual_bridge
+from .estimate import concentration_surface, daily_from_surface, estimate_errors, fit_surface, held_out_estimates, residual_bridge
 from .explain import mean_abs_shap, shap_dependence, shapley_sampling, site_mean_filter
 from .harmonise import harmonise, model_frame
 from .landscape import (

@@ -34,6 +34,10 @@ UPPER = np.triu_indices(5)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SURFACE = f"{SITE} string, ti int, li int, y_hat double, se double, n_obs double, growth int"
+HELD_OUT = f"{SITE} string, date date, q double, y_hat double, se double, conc double, n_obs double, growth int, leverage double"
+BLOCK_YEARS = 4  # nodes of so many years are fitted in one group
+NODES_AT_ONCE = 128
+CERTAIN = 1e-9  # what a day leaves of its own leverage at least for the closed form
 
 
 def _with_ln_q(daily: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def _sample_days(samples: DataFrame, days: DataFrame, grid: DataFrame) -> DataFr
         (F.col("d_hi") >= F.col("_s_hi")) | (day < F.col("d_hi"))
     )
     kept = folded.join(bounds, SITE).where(inside).drop("_s_lo", "_s_hi")
-    return kept.join(days.select(SITE, "date", "t", "ln_q"), [SITE, "date"]).where(F.col("ln_q").isNotNull())
+    return kept.join(days.select(SITE, "date", "q", "t", "ln_q"), [SITE, "date"]).where(F.col("ln_q").isNotNull())
 
 
 def _tricube(u: np.ndarray) -> np.ndarray:
@@ -95,14 +99,15 @@ def _tricube(u: np.ndarray) -> np.ndarray:
 def _growth_steps(entry: np.ndarray, m: np.ndarray, min_obs: float) -> np.ndarray:
     """Window growth per level: the least step at which ``min_obs`` samples have entered.
 
-    ``entry`` (levels x points) is the window size, relative to the base, a point needs. A level
-    that never gets there takes all points.
+    ``entry`` (levels x points) is the window size, relative to the base, a point needs; infinite
+    if it can never enter. A level that never gets there takes all points that can.
     """
     steps = np.zeros(len(entry), dtype=int)
     for level in np.flatnonzero((entry < 1) @ m < min_obs):
         order = np.argsort(entry[level])
+        order = order[np.isfinite(entry[level][order])]
         at = min(np.searchsorted(np.cumsum(m[order]), min_obs), len(order) - 1)
-        need = entry[level][order][at]
+        need = entry[level][order][at] if len(order) else 0
         if need >= 1:
             steps[level] = int(np.floor(np.log(need) / np.log(GROWTH))) + 1
     return steps
@@ -161,6 +166,60 @@ def _block_fitter(half_s: float, half_y: float, half_q: float, min_obs: int, edg
     return fit
 
 
+def _reach(half_s: float, half_y: float, half_q: float, min_obs: int, edge_adjust: bool, block_years: int):
+    """Range of sample blocks that the nodes of each block of years may use, from the counts of a site.
+
+    A cell is a block of sample days and a level of ln Q. All of a cell has entered a node's windows
+    once they have grown to the largest distance between the two, so running counts over cells bound
+    the growth of every node of a block from above, and with it the time span its windows can reach.
+    """
+
+    def reach(cells: pd.DataFrame) -> pd.DataFrame:
+        g = cells.iloc[0]
+        block, level, m = (cells[c].to_numpy(dtype=float) for c in ("sample_block", "level", "m"))
+        apart = (np.abs(level[None, :] - np.arange(LEVELS)[:, None]) + 1) * g["step"] / half_q
+        need = min_obs + cells["m_day"].max()  # the day of a node itself may be taken out
+        rows = []
+        for b in range(int((g["nt"] - 1) // (STEPS_PER_YEAR * block_years)) + 1):
+            time = (np.abs(block - b) + 1) * block_years / half_y
+            entry = np.maximum(np.maximum(time, 0.5 / half_s)[None, :], apart)
+            order = np.argsort(entry, axis=1)
+            enough = np.cumsum(m[order], axis=1) >= need
+            at = np.take_along_axis(entry, np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1), 1)[:, 0]
+            grow = max(1.0, np.where(enough.any(axis=1), at, np.inf).max()) * GROWTH
+            start = g["t0"] + b * block_years
+            at_edge = edge_adjust and min(start - g["t_lo"], g["t_hi"] - start - block_years) <= half_y
+            span = (2 * half_y + 1 if at_edge else half_y) * grow / block_years
+            near = block[np.abs(block - b) - 1 <= span]
+            if len(near):
+                rows.append((g[SITE], b, int(near.min()), int(near.max())))
+        return pd.DataFrame(rows, columns=[SITE, "block", "lo", "hi"])
+
+    return reach
+
+
+def _placed(points: DataFrame, half_s: float, half_y: float, half_q: float, min_obs: int, edge_adjust: bool, block_years: int) -> DataFrame:
+    """Sample days laid out by the blocks of years whose nodes may use them.
+
+    A day goes to the blocks that windows can reach from, however long the record is.
+    """
+    points = points.withColumn("sample_block", F.floor((F.col("t") - F.col("t0")) / block_years).cast("int"))
+    level = F.least(F.coalesce(F.floor(F.try_divide(F.col("ln_q") - F.col("l0"), F.col("step"))), F.lit(0)), F.lit(LEVELS - 2))
+    # A node half a year away from a date never takes it: the fullest date of a cell is not counted on.
+    dates = points.groupBy(SITE, "sample_block", level.cast("int").alias("level"), (F.col("t") - F.floor("t")).alias("_date")).agg(
+        F.sum("m").alias("_m"), F.max("m").alias("_day"), *[F.first(c).alias(c) for c in ("t0", "t_lo", "t_hi", "step", "nt")]
+    )
+    cells = dates.groupBy(SITE, "sample_block", "level").agg(
+        (F.sum("_m") - F.max("_m")).alias("m"), F.max("_day").alias("m_day"), *[F.first(c).alias(c) for c in ("t0", "t_lo", "t_hi", "step", "nt")]
+    )
+    ranges = cells.groupBy(SITE).applyInPandas(
+        _reach(half_s, half_y, half_q, min_obs, edge_adjust, block_years), f"{SITE} string, block int, lo int, hi int"
+    )
+    wanted = ranges.select(SITE, "block", F.explode(F.sequence("lo", "hi")).alias("sample_block"))
+    placed = points.join(wanted, [SITE, "sample_block"])
+    return placed.repartition(task_count(points.sparkSession), SITE, "block")
+
+
 def fit_surface(
     samples: DataFrame,
     daily: DataFrame,
@@ -169,25 +228,100 @@ def fit_surface(
     half_q: float = 2,
     min_obs: int = 45,
     edge_adjust: bool = True,
-    block_years: int = 4,
+    block_years: int = BLOCK_YEARS,
 ) -> DataFrame:
     """Regression at every grid node: y_hat, se, number of samples and window growth.
 
     A node with fewer than ``min_obs`` samples in its base windows widens all three by steps of
-    1.1 until it has enough; which may take any sample of the site, so every block of years gets
-    all sample days of its site. There are at most as many as calendar days, and blocks spread a
-    long record over many tasks. A site without samples in its discharge record has no surface.
+    1.1 until it has enough. A group is the nodes of a block of years with the sample days that
+    their windows can reach, as far as they may have to grow. A site without samples in its
+    discharge record has no surface.
     """
     days = _with_ln_q(daily)
     points = _sample_days(samples, days, _grid(days))
-    last = F.floor((F.col("nt") - 1) / (STEPS_PER_YEAR * block_years)).cast("int")
-    placed = points.select(
-        SITE, "t0", "t_lo", "t_hi", "l0", "l1", "step", "nt", "t", "ln_q", "m", "sy", "sy2",
-        F.explode(F.sequence(F.lit(0), last)).alias("block"),
-    )
-    placed = placed.repartition(task_count(daily.sparkSession), SITE, "block")
-    fitter = _block_fitter(half_s, half_y, half_q, min_obs, edge_adjust, block_years)
-    return placed.groupBy(SITE, "block").applyInPandas(fitter, SURFACE)
+    settings = (half_s, half_y, half_q, min_obs, edge_adjust, block_years)
+    return _placed(points, *settings).groupBy(SITE, "block").applyInPandas(_block_fitter(*settings), SURFACE)
+
+
+def _held_out_fitter(half_s: float, half_y: float, half_q: float, min_obs: int, edge_adjust: bool, block_years: int):
+    """Estimates at the sample days of one (site, block of years), each without its own day."""
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        g = group.iloc[0]
+        t, lq, m, sy, sy2 = (group[c].to_numpy(dtype=float) for c in ("t", "ln_q", "m", "sy", "sy2"))
+        x = np.stack([np.ones_like(t), t - t.mean(), lq - lq.mean(), np.sin(2 * np.pi * t), np.cos(2 * np.pi * t)], axis=1)
+        products = x[:, UPPER[0]] * x[:, UPPER[1]] * m[:, None]
+        nodes = np.flatnonzero(group["sample_block"].to_numpy() == g["block"])
+        out = []
+        for chunk in np.split(nodes, range(NODES_AT_ONCE, len(nodes), NODES_AT_ONCE)):
+            here = np.arange(len(chunk))
+            edge = np.minimum(t[chunk] - g["t_lo"], g["t_hi"] - t[chunk])
+            hy = np.where((edge <= half_y) & edge_adjust, 2 * half_y - edge, half_y)[:, None]
+            dt, dl = np.abs(t[None, :] - t[chunk][:, None]), np.abs(lq[None, :] - lq[chunk][:, None])
+            season = np.abs(dt - np.round(dt))
+            entry = np.maximum(np.maximum(dt / hy, season / half_s), dl / half_q)
+            entry[season >= max(half_s, 0.5)] = np.inf
+            entry[here, chunk] = np.inf  # the day itself is no sample of its node
+            steps = _growth_steps(entry, m, min_obs)
+            grow = (GROWTH**steps)[:, None]
+            half_season = np.minimum(half_s * grow, 0.5) if half_s <= 0.5 else half_s
+            w = _tricube(dt / (hy * grow)) * _tricube(season / half_season) * _tricube(dl / (half_q * grow))
+            a = np.zeros((len(chunk), 5, 5))
+            a[:, UPPER[0], UPPER[1]] = w @ products
+            a[:, UPPER[1], UPPER[0]] = a[:, UPPER[0], UPPER[1]]
+            r = w @ (x * sy[:, None])
+            own, m_own, mean_own = x[chunk], m[chunk], sy[chunk] / m[chunk]
+            # The day has weight 1 at its own node; its leverage says what the fit owes to it.
+            inverse = np.linalg.pinv(a, rcond=1e-12, hermitian=True)
+            b = np.einsum("nij,nj->ni", inverse, r)
+            pull = np.einsum("nij,nj->ni", inverse, own)
+            leverage = m_own * np.einsum("ni,ni->n", own, pull)
+            left = 1 - leverage
+            error = mean_own - np.einsum("ni,ni->n", own, b)
+            without = b - pull * (m_own * error / np.where(left > CERTAIN, left, 1.0))[:, None]
+            r_without = r - own * sy[chunk][:, None]
+            for k in np.flatnonzero(left <= CERTAIN):  # only this day speaks for some direction: refit
+                rest = a[k] - m_own[k] * np.outer(own[k], own[k])
+                without[k] = np.linalg.pinv(rest, rcond=1e-9, hermitian=True) @ r_without[k]
+            total = a[:, 0, 0] - m_own
+            n_obs = (w > 0) @ m - m_own
+            rss = np.maximum(w @ sy2 - sy2[chunk] - np.einsum("ni,ni->n", without, r_without), 0.0)
+            se = np.sqrt(rss / np.where(n_obs > 0, total, np.nan))
+            y_hat = np.where(n_obs > 0, np.einsum("ni,ni->n", without, own), np.nan)
+            out.append(pd.DataFrame({
+                SITE: g[SITE], "date": group["date"].to_numpy()[chunk], "q": group["q"].to_numpy()[chunk], "y_hat": y_hat, "se": se,
+                "conc": np.exp(y_hat + se * se / 2), "n_obs": n_obs, "growth": steps, "leverage": leverage,
+            }))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[c.split(" ")[0] for c in HELD_OUT.split(", ")])
+
+    return fit
+
+
+def held_out_estimates(
+    samples: DataFrame,
+    daily: DataFrame,
+    half_s: float = 0.5,
+    half_y: float = 7,
+    half_q: float = 2,
+    min_obs: int = 45,
+    edge_adjust: bool = True,
+    block_years: int = BLOCK_YEARS,
+) -> DataFrame:
+    """Estimate at every sample day from the samples of all other days.
+
+    The regression is fitted at the day's own time and ln Q with windows that hold ``min_obs`` samples
+    besides its own. Its normal matrix is inverted once with the day inside; the day's weight is then
+    taken out in closed form: with leverage h the estimate without it is (fit - h * observed) / (1 - h).
+    Returns site_no, date, q, y_hat, se, conc, n_obs, growth and leverage; ``estimate_errors`` judges
+    ``conc``. A day that no other sample reaches has null estimates.
+    """
+    days = _with_ln_q(daily)
+    points = _sample_days(samples, days, _grid(days))
+    settings = (half_s, half_y, half_q, min_obs, edge_adjust, block_years)
+    found = _placed(points, *settings).groupBy(SITE, "block").applyInPandas(_held_out_fitter(*settings), HELD_OUT)
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return found.select(SITE, "date", "q", number("y_hat"), number("se"), number("conc"), "n_obs", "growth", "leverage")
 
 
 def daily_from_surface(daily: DataFrame, surface: DataFrame) -> DataFrame:

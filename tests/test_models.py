@@ -188,3 +188,94 @@ def test_shap_tables(make):
     dep = collect(op.shap_dependence(shap, panel, "f"), "water_year")
     assert [(r["phi"], r["feature_value"], r["zone"]) for r in dep] == [(-2.0, 7.0, "Arid"), (4.0, None, "Arid")]
     assert [r["site_no"] for r in op.site_mean_filter(panel, "f", 5).collect()] == ["a"]
+
+
+# --- estimates that have not seen the sample
+
+
+def brute_without(t, lq, y, days, k, t_lo, t_hi, min_obs, half_y, half_q, half_s):
+    """Refit at day k from all samples of other days."""
+    other = days != days[k]
+    tri = lambda u: np.where(np.abs(u) < 1, (1 - np.abs(u) ** 3) ** 3, 0)
+    edge = min(t[k] - t_lo, t_hi - t[k])
+    hy, hq, hs = (2 * half_y - edge if edge <= half_y else half_y), half_q, half_s
+    to, lo, yo = t[other], lq[other], y[other]
+    growth = 0
+    while True:
+        d = np.abs(to - t[k])
+        season = np.minimum(np.ceil(d) - d, d - np.floor(d))
+        w = tri(d / hy) * tri((lo - lq[k]) / hq) * tri(season / hs)
+        if (w > 0).sum() >= min_obs or growth > 80:
+            break
+        hy, hq, hs, growth = hy * 1.1, hq * 1.1, min(hs * 1.1, 0.5), growth + 1
+    x = np.stack([np.ones_like(to), to - t[k], lo - lq[k], np.sin(2 * np.pi * to), np.cos(2 * np.pi * to)], axis=1)
+    b, *_ = np.linalg.lstsq(x * np.sqrt(w)[:, None], yo * np.sqrt(w), rcond=None)
+    at = np.array([1, 0, 0, np.sin(2 * np.pi * t[k]), np.cos(2 * np.pi * t[k])])
+    return b @ at, np.sqrt((w * (yo - x @ b) ** 2).sum() / w.sum()), (w > 0).sum(), growth
+
+
+@pytest.mark.parametrize("half_s, half_y, half_q", [(0.5, 7.0, 2.0), (0.3, 1.0, 0.5)])
+def test_held_out_estimates_equal_refits(record, make, half_s, half_y, half_q):
+    daily, _, known = record
+    rng = np.random.default_rng(12)
+    picked = known.iloc[np.sort(rng.choice(len(known) - 2, size=150, replace=False)) + 1]
+    picked = picked.loc[picked.index.repeat(1 + (np.arange(len(picked)) % 10 == 0))]  # some days have two samples
+    y = picked["truth"].to_numpy() + 0.3 * rng.normal(size=len(picked))
+    samples = make([("a", d, float(np.exp(v))) for d, v in zip(picked["date"], y)], SAMPLES)
+    found = op.held_out_estimates(samples, daily, half_s=half_s, half_y=half_y, half_q=half_q)
+    t, lq, days = picked["t"].to_numpy(), np.log(picked["q"].to_numpy()), picked["date"].to_numpy()
+    rows = {r["date"]: r for r in found.collect()}
+    assert len(rows) == 150
+    for k in range(len(picked)):
+        row = rows[days[k]]
+        want = brute_without(t, lq, y, days, k, known["t"].min(), known["t"].max(), 45, half_y, half_q, half_s)
+        assert (row["n_obs"], row["growth"]) == want[2:]
+        assert (row["y_hat"], row["se"]) == pytest.approx(want[:2], rel=1e-6, abs=1e-8)
+        assert row["conc"] == pytest.approx(np.exp(want[0] + want[1] ** 2 / 2)) and 0 < row["leverage"] < 1
+    # The errors of estimates that have seen the samples are too small.
+    seen = op.estimate_errors(op.concentration_surface(samples, daily, half_s, half_y, half_q), samples, "conc").first()
+    honest = op.estimate_errors(found, samples, "conc").first()
+    assert honest["n"] == len(picked) and honest["rmse_log"] > seen["rmse_log"]
+    assert honest["r2_log_conc"] < seen["r2_log_conc"]
+
+
+def test_held_out_estimates_of_short_records(make):
+    """Fewer samples than wanted, a lone sample, a sample that alone has its discharge."""
+    days = [day(n) for n in range(1500)]
+    flow = lambda i: 2.0 + i % 13
+    daily = make([(s, d, flow(i) if s != "c" or i != 700 else 1e9) for s in "abc" for i, d in enumerate(days)], DAILY)
+    rows = [("a", days[i], 10.0 + i % 7) for i in range(100, 1400, 60)] + [("b", days[700], 5.0)]
+    rows += [("c", days[i], 10.0 + i % 7) for i in range(100, 1400, 30)]
+    found = op.held_out_estimates(make(rows, SAMPLES), daily).toPandas()
+    assert sorted(found.groupby("site_no").size().items()) == [("a", 22), ("b", 1), ("c", 44)]
+    assert found[found.site_no != "b"]["y_hat"].notna().all()
+    assert found[found.site_no == "b"][["y_hat", "se", "conc"]].isna().all(axis=None)
+    assert op.held_out_estimates(make([], SAMPLES), daily).count() == 0
+
+
+def test_placement_is_linear_in_the_record(spark, make, monkeypatch):
+    """Windows of two years: a sample day goes to a few blocks, and no node changes by it."""
+    from gaugeflow.operators import estimate
+
+    rng = np.random.default_rng(5)
+    first = date(1950, 1, 1)
+    kept = {}
+    for years in (20, 60):
+        days = [first + timedelta(days=n) for n in range(365 * years)]
+        q = np.exp(rng.normal(size=len(days)))
+        daily = make([("a", d, float(v)) for d, v in zip(days, q)], DAILY)
+        samples = make([("a", d, float(np.exp(rng.normal()))) for d in days[3::9]], SAMPLES)
+        with_ln = estimate._with_ln_q(daily)
+        points = estimate._sample_days(samples, with_ln, estimate._grid(with_ln))
+        settings = (0.5, 2.0, 2.0, 45, True, 4)
+        kept[years] = estimate._placed(points, *settings).count() / points.count()
+        if years == 20:
+            local = op.fit_surface(samples, daily, half_y=2.0)
+            monkeypatch.setattr(estimate, "_reach", lambda *a: lambda cells: pd.DataFrame(
+                [("a", b, 0, int(cells["sample_block"].max())) for b in range(6)], columns=["site_no", "block", "lo", "hi"]))
+            whole = op.fit_surface(samples, daily, half_y=2.0)
+            a, b = (s.toPandas().sort_values(["ti", "li"], ignore_index=True) for s in (local, whole))
+            assert (a[["ti", "li", "n_obs", "growth"]] == b[["ti", "li", "n_obs", "growth"]]).all(axis=None)
+            assert np.allclose(a[["y_hat", "se"]], b[["y_hat", "se"]], rtol=1e-7)
+            monkeypatch.undo()
+    assert kept[60] < 1.4 * kept[20] and kept[60] < 8
