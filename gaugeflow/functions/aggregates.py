@@ -140,12 +140,27 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def pivot_shares(df: DataFrame, keys: list[str], label: str, value: str, labels: list[str], prefix: str = "") -> DataFrame:
-    """Share of each label in the key's total, one column per label, from a single aggregation."""
+def pivot_shares(
+    df: DataFrame, keys: list[str], label: str, value: str, labels: list[str], prefix: str = "", other: str | None = None
+) -> DataFrame:
+    """Share of each label in the key's total, one column per label, from a single aggregation.
+
+    ``other`` names a column for the share of all further labels and of null, so that a row adds up to 1.
+    """
     total = F.sum(value)
-    return df.groupBy(*keys).agg(*[
-        F.try_divide(F.sum(F.when(F.col(label) == v, F.col(value))), total).alias(prefix + v) for v in labels
-    ])
+    columns = [F.try_divide(F.sum(F.when(F.col(label) == v, F.col(value))), total).alias(prefix + v) for v in labels]
+    if other is not None:
+        rest = F.when(~F.coalesce(F.col(label).isin(list(labels)), F.lit(False)), F.col(value))
+        columns.append(F.try_divide(F.sum(rest), total).alias(prefix + other))
+    return df.groupBy(*keys).agg(*columns)
+
+
+def vocabulary(df: DataFrame, label: str, most: int = 1000) -> list[str]:
+    """The labels that occur, in order; an error beyond ``most``, where rows (``long_shares``) fit better than columns."""
+    found = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} distinct values of {label}")
+    return sorted(found)
 
 
 def long_shares(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:

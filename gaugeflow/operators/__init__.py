@@ -1,6 +1,7 @@
 """User-level operators. Every one takes DataFrames and returns DataFrames."""
 
 from .climate import (
+    annual_climate,
     annual_evaporation,
     annual_precipitation,
     annual_temperature,
@@ -13,6 +14,7 @@ from .climate import (
 from .daily import fill_daily_gaps, interpolated_runs, missing_day_sites, resolve_long_gaps, sample_overlay
 from .estimate import concentration_surface, daily_from_surface, estimate_errors, fit_surface, held_out_estimates, residual_bridge
 from .explain import mean_abs_shap, shap_dependence, shapley_sampling, site_mean_filter
+from .forest import exact_forest, out_of_bag_residuals, train_test_errors
 from .harmonise import harmonise, model_frame
 from .landscape import (
     backfill_series,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,25 @@ def annual_temperature(long: DataFrame, null_policy: str = "skip") -> DataFrame:
     return _annual(long, F.avg("value") - KELVIN_OFFSET, "mean_temp_c", null_policy)
 
 
+def annual_climate(evaporation: DataFrame, precipitation: DataFrame, temperature: DataFrame, null_policy: str = "skip") -> DataFrame:
+    """The three annual tables side by side from one aggregation of the stacked daily tables.
+
+    A (site, water year) that a table lacks is null there. Daily tables meet in one exchange of partial
+    sums in place of an exchange each and two joins.
+    """
+    tables = {"annual_evap_mm": evaporation, "annual_precip_mm": precipitation, "mean_temp_c": temperature}
+    stacked = reduce(DataFrame.unionByName, [t.select(SITE, "dates", "value", F.lit(name).alias("_measure")) for name, t in tables.items()])
+    own = {name: F.when(F.col("_measure") == name, F.col("value")) for name in tables}
+    values = {
+        "annual_evap_mm": F.sum(own["annual_evap_mm"]) * -MM_PER_M,
+        "annual_precip_mm": F.sum(own["annual_precip_mm"]) * MM_PER_M,
+        "mean_temp_c": F.avg(own["mean_temp_c"]) - KELVIN_OFFSET,
+    }
+    if null_policy != "skip":
+        values = {name: with_nulls(agg, F.coalesce(own[name], F.when(F.col("_measure") != name, 0.0)), null_policy) for name, agg in values.items()}
+    return stacked.groupBy(SITE, water_year("dates").alias("water_year")).agg(*[agg.alias(name) for name, agg in values.items()])
+
+
 def two_digit_year_fix(df: DataFrame, date: str = "dates", pivot: int = 2023) -> DataFrame:
     """Dates past ``pivot`` move back a century."""
     return df.withColumn(date, century_fix(date, pivot))

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from ..functions.columns import drop_sites, to_double
 from ..functions.series import SITE
+from .landscape import backfill_series
 
 # Driver columns in the order of the harmonised panel.
 CLIMATE_DRIVERS = (
@@ -37,6 +38,7 @@ def harmonise(
     facts: DataFrame,
     annual: Sequence[DataFrame] = (),
     static: Sequence[DataFrame] = (),
+    backfill: Sequence[str] = (),
 ) -> DataFrame:
     """Site-year facts left-joined to annual tables and to site attributes.
 
@@ -44,11 +46,14 @@ def harmonise(
     on their key. The mean baseflow of a site over its years is added as ``mean_bf``. Annual
     tables go first and share one placement by (site, year); the mean and the attributes share the
     one by site. Broadcasting attributes is left to the planner, which broadcasts those it knows to be small and no others.
+    Columns named in ``backfill`` take, where null, the value of the site's next year that has one.
     """
     panel = facts
     for table in annual:
         panel = panel.join(table, [SITE, "water_year"], "left")
     panel = panel.withColumn("mean_bf", F.avg("bf_prop").over(Window.partitionBy(SITE)))
+    if backfill:
+        panel = backfill_series(panel, backfill)
     for table in static:
         panel = panel.join(table, SITE, "left")
     return panel

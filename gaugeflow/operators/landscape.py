@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.aggregates import long_shares, pivot_shares
+from ..functions.aggregates import long_shares, pivot_shares, vocabulary
 from ..functions.columns import strip_decoration
 from ..functions.series import SITE
 
@@ -21,25 +21,33 @@ def class_proportions(
     year: str = "year",
     label: str = "class",
     area: str = "area",
+    prefix: str = "",
+    other: str | None = None,
 ) -> DataFrame:
     """Share of each land-cover class per (basin, year).
 
-    With ``classes`` one column each, from one aggregation; shares are of the whole total, so classes
-    that are not named leave the rest to 1. Without, rows (basin, year, class, share) of every class.
+    With ``classes`` one column each, from one aggregation; ``"all"`` takes those that occur in the data.
+    Shares are of the whole total, so classes that are not named leave the rest to 1, which ``other``
+    gives a column of its own. Without ``classes`` rows (basin, year, class, share) of every class.
     """
     cover = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if classes is None:
         return long_shares(cover, [site, year], label, area)
-    return pivot_shares(cover, [site, year], label, area, list(classes))
+    named = vocabulary(cover, label) if classes == "all" else list(classes)
+    return pivot_shares(cover, [site, year], label, area, named, prefix, other)
 
 
 def geology_proportions(
-    geo: DataFrame, liths: Sequence[str] | None = None, site: str = SITE, label: str = "lith", value: str = "proportion"
+    geo: DataFrame, liths: Sequence[str] | None = None, site: str = SITE, label: str = "lith", value: str = "proportion", prefix: str = ""
 ) -> DataFrame:
-    """Summed proportion per lithology: with ``liths`` one column each, null where absent; without, as rows."""
+    """Summed proportion per lithology: with ``liths`` one column each, null where absent; without, as rows.
+
+    ``"all"`` takes the lithologies that occur in the data.
+    """
     if liths is None:
         return geo.groupBy(site, label).agg(F.sum(value).alias(value))
-    return geo.groupBy(site).agg(*[F.sum(F.when(F.col(label) == v, F.col(value))).alias(v) for v in liths])
+    named = vocabulary(geo, label) if liths == "all" else list(liths)
+    return geo.groupBy(site).agg(*[F.sum(F.when(F.col(label) == v, F.col(value))).alias(prefix + v) for v in named])
 
 
 def complete_composition(wide: DataFrame, columns: Sequence[str], min_sum: float = 0.99) -> DataFrame:

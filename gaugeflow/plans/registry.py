@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .. import operators as op
 from ..functions.aggregates import null_counts
@@ -19,14 +20,11 @@ from ..operators.harmonise import CLIMATE_DRIVERS, DRIVER_SETS, rows_per_site
 from ..operators.report import DRIVER_LABELS, flow_condition_counts, gain_histogram
 from ..session import cut_lineage
 from .oracle import with_ctes, wy
-from .views import BRANDS, KEYS, LAND_CLASSES, Views
+from .views import KEYS, LAND_CLASSES, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-TREES = 20  # forests of the registered queries; the library's own default is 400
-DEPTH = 10
-
 
 def _spark_shape(df: DataFrame, shape: str) -> DataFrame:
     kinds = {"s": lambda c: c.cast("string"), "i": lambda c: c.cast("bigint"), "d": lambda c: c.cast("string")}
@@ -336,7 +334,7 @@ def storage_drawdown(v: Views) -> DataFrame:
 @query(
     "site_no:s dates:d value:f6",
     """select case when length(b) < 8 then '0' || b else b end as site_no, d.dates, e.value from (select distinct dates from et) d
-    cross join (select 'Brand#' || unnest(generate_series(1, 25)) as b) s left join et e on e.dates = d.dates and e.site_no = s.b""",
+    cross join (select distinct site_no as b from et) s left join et e on e.dates = d.dates and e.site_no = s.b""",
 )
 def climate_wide_to_long(v: Views) -> DataFrame:
     return op.climate_wide_to_long(v.wide(v.et))
@@ -345,19 +343,18 @@ def climate_wide_to_long(v: Views) -> DataFrame:
 @query(
     "site_no:s dates:d value:f6",
     """select case when length(site_no) < 8 then '0' || site_no else site_no end as site_no, dates, value from (
-    select b as site_no, d.dates, e.value from (select distinct dates from et) d cross join (select 'Brand#' || unnest(generate_series(1, 25)) as b) s
-    left join et e on e.dates = d.dates and e.site_no = s.b where d.dates < date '1998-01-01'
-    union all select b, d.dates, p.value from (select distinct dates from precip) d cross join (select 'Brand#' || unnest(generate_series(1, 24)) as b) s
-    left join precip p on p.dates = d.dates and p.site_no = s.b where d.dates >= date '1998-01-01'
-    union all select 'Brand#25', d.dates, null from (select distinct dates from precip) d where d.dates >= date '1998-01-01')""",
+    select b as site_no, d.dates, e.value from (select distinct dates from et) d cross join (select distinct site_no as b from et) s
+    left join et e on e.dates = d.dates and e.site_no = s.b
+    union all select b, d.dates, p.value from (select distinct dates from precip) d cross join (select distinct site_no as b from precip) s
+    left join precip p on p.dates = d.dates and p.site_no = s.b)""",
 )
 def climate_files_merge(v: Views) -> DataFrame:
-    early = v.wide(v.et).where(F.col("dates") < "1998-01-01")
-    late = v.wide(v.precip, BRANDS[:24]).where(F.col("dates") >= "1998-01-01")
-    late = late.withColumn("dates", F.date_format("dates", "M/d/yy")).withColumnRenamed("XBrand#7..", "drifted")
+    """Two whole files; the second has two-digit years and a column name that drifted."""
+    first, second = v.wide(v.et), v.wide(v.precip)
+    second = second.withColumn("dates", F.date_format("dates", "M/d/yy")).withColumnRenamed("XBrand#7..", "drifted")
     fixes = {1: {"rename": {"drifted": "XBrand#7.."}, "date_format": "M/d/yy"}}
     # Two-digit years read as 20xx; the century fix moves those past 2023 back.
-    merged = op.two_digit_year_fix(op.climate_files_merge([early, late], fixes))
+    merged = op.two_digit_year_fix(op.climate_files_merge([first, second], fixes))
     return op.climate_wide_to_long(merged)
 
 
@@ -401,11 +398,29 @@ def snow_disappearance(v: Views) -> DataFrame:
 _CLASS_SHARES = ", ".join(f"sum(area) filter (where class = '{c}') / sum(area) as \"{c}\"" for c in LAND_CLASSES)
 
 
-@query("site_no:s year:i " + " ".join(f"{c}:f6" for c in LAND_CLASSES), f"select site_no, year, {_CLASS_SHARES} from land_cover group by 1, 2")
+_OTHER = f"class is null or class not in ({', '.join(repr(c) for c in LAND_CLASSES)})"
+
+
+@query(
+    "site_no:s year:i " + " ".join(f"{c}:f6" for c in LAND_CLASSES) + " other:f6",
+    f"select site_no, year, {_CLASS_SHARES}, sum(area) filter (where {_OTHER}) / sum(area) as other from land_cover group by 1, 2",
+)
 def class_proportions(v: Views) -> DataFrame:
     cover = v.land_cover
     coarse = F.col("year").isin(1995, 2000)
-    return op.class_proportions([cover.where(coarse), cover.where(~coarse)], LAND_CLASSES)
+    return op.class_proportions([cover.where(coarse), cover.where(~coarse)], LAND_CLASSES, other="other")
+
+
+@query("site_no:s year:i class:s share:f6", "select site_no, year, class, sum(area) / sum(sum(area)) over (partition by site_no, year) as share from land_cover group by 1, 2, 3")
+def class_shares(v: Views) -> DataFrame:
+    """Every class that occurs, as rows."""
+    return op.class_proportions([v.land_cover])
+
+
+@query("site_no:s lith:s proportion:f6", "select site_no, lith, sum(proportion) as proportion from geology group by 1, 2")
+def geology_shares(v: Views) -> DataFrame:
+    """Every lithology that occurs, as rows."""
+    return op.geology_proportions(v.geology)
 
 
 _LITHS = ", ".join(f"sum(proportion) filter (where lith = '{c}') as \"{c}\"" for c in LAND_CLASSES)
@@ -435,26 +450,21 @@ def sentinel_to_null(v: Views) -> DataFrame:
     return op.sentinel_to_null(v.attributes, ["a1", "a2"])
 
 
+_KNOWN = 0.16  # a share below this counts as not known, so that there is something to fill
 _BACK = ", ".join(
-    f"first_value(\"{c}\" ignore nulls) over (partition by site_no order by water_year rows between current row and unbounded following) as \"{c}\""
+    f"first_value(case when \"{c}\" >= {_KNOWN} then \"{c}\" end ignore nulls) over (partition by site_no order by year rows between current row and unbounded following) as \"{c}\""
     for c in LAND_CLASSES
 )
 
 
 @query(
     "site_no:s water_year:i " + " ".join(f"{c}:f6" for c in LAND_CLASSES),
-    f"""select site_no, water_year, {_BACK} from (select k.site_no, k.year as water_year, {', '.join(f'"{c}"' for c in LAND_CLASSES)}
-    from (select distinct site_no, year from land_cover) k left join (select site_no, year, {_CLASS_SHARES} from land_cover
-    where year in (1995, 1998, 2000) or (year = 2001 and cast(regexp_extract(site_no, '(\\d+)', 1) as integer) % 2 = 0) group by 1, 2) s
-    on k.site_no = s.site_no and k.year = s.year)""",
+    f"select site_no, year as water_year, {_BACK} from (select site_no, year, {_CLASS_SHARES} from land_cover group by 1, 2)",
 )
 def backfill_series(v: Views) -> DataFrame:
-    cover = v.land_cover
-    known = F.col("year").isin(1995, 1998, 2000) | ((F.col("year") == 2001) & (v.number() % 2 == 0))
-    shares = op.class_proportions([cover.where(known)], LAND_CLASSES)
-    years = cover.select("site_no", "year").distinct()
-    panel = years.join(shares, ["site_no", "year"], "left").withColumnRenamed("year", "water_year")
-    return op.backfill_series(panel, LAND_CLASSES)
+    shares = op.class_proportions([v.land_cover], LAND_CLASSES).withColumnRenamed("year", "water_year")
+    known = shares.withColumns({c: F.when(F.col(c) >= _KNOWN, F.col(c)) for c in LAND_CLASSES})
+    return op.backfill_series(known, LAND_CLASSES)
 
 
 # --- panel and models ----------------------------------------------------------------------------
@@ -465,19 +475,28 @@ _PANEL = (
 )
 
 
+_LITH_COLUMNS = ", ".join(f"sum(proportion) filter (where lith = '{c}') as \"lith_{c}\"" for c in LAND_CLASSES)
+_COVER_COLUMNS = ", ".join(f"sum(area) filter (where class = '{c}') / sum(area) as \"cover_{c}\"" for c in LAND_CLASSES)
+_COVER_BACK = ", ".join(
+    f"first_value(\"cover_{c}\" ignore nulls) over (partition by p.site_no order by p.water_year rows between current row and unbounded following) as \"cover_{c}\""
+    for c in LAND_CLASSES
+)
+
+
 @query(
-    _PANEL + " a1:f2 PROMO:f6 SMALL:f6",
-    """select p.*, nullif(a1, -999) as a1, g."PROMO", l."SMALL" from panel p left join attributes t on p.site_no = t.site_no
-    left join (select site_no, sum(proportion) filter (where lith = 'PROMO') as "PROMO" from geology group by 1 having sum(proportion) > 0.99) g on p.site_no = g.site_no
-    left join (select site_no, year, sum(area) filter (where class = 'SMALL') / sum(area) as "SMALL" from land_cover group by 1, 2) l
-    on p.site_no = l.site_no and p.water_year = l.year""",
+    _PANEL + " a1:f2 a2:f2 " + " ".join(f"lith_{c}:f6" for c in LAND_CLASSES) + " " + " ".join(f"cover_{c}:f6" for c in LAND_CLASSES),
+    f"""select p.*, nullif(a1, -999) as a1, nullif(a2, -999) as a2, g.* exclude (site_no), {_COVER_BACK} from panel p left join attributes t on p.site_no = t.site_no
+    left join (select site_no, {_LITH_COLUMNS} from geology group by 1 having sum(proportion) > 0.99) g on p.site_no = g.site_no
+    left join (select site_no, year, {_COVER_COLUMNS} from land_cover group by 1, 2) l on p.site_no = l.site_no and p.water_year = l.year""",
 )
 def harmonise(v: Views) -> DataFrame:
+    """The panel with every land-cover class and lithology; land cover is filled from the next year that has it."""
     v.fan_out()
-    geology = op.complete_composition(op.geology_proportions(v.geology, LAND_CLASSES), LAND_CLASSES).select("site_no", "PROMO")
-    cover = op.class_proportions([v.land_cover], LAND_CLASSES).select("site_no", F.col("year").alias("water_year"), "SMALL")
+    names = [f"lith_{c}" for c in LAND_CLASSES]
+    geology = op.complete_composition(op.geology_proportions(v.geology, LAND_CLASSES, prefix="lith_"), names).drop("total")
+    cover = op.class_proportions([v.land_cover], LAND_CLASSES, prefix="cover_").withColumnRenamed("year", "water_year")
     attributes = op.sentinel_to_null(v.attributes, ["a1", "a2"])
-    return op.harmonise(v.panel.drop("mean_bf"), annual=[cover], static=[attributes, geology])
+    return op.harmonise(v.panel.drop("mean_bf"), annual=[cover], static=[attributes, geology], backfill=[f"cover_{c}" for c in LAND_CLASSES])
 
 
 _DRIVERS = {
@@ -520,26 +539,49 @@ def _stored_frame(v: Views, drivers: str = "full") -> DataFrame:
     return cut_lineage(op.model_frame(v.fan_out().panel, drivers=drivers))
 
 
-@query("feature:s importance:f6")
+@query("feature:s importance:f6 mse_increase:f9 mse_increase_sd:f9 mse_increase_scaled:f6")
 def forest_fit(v: Views) -> DataFrame:
-    frame = _stored_frame(v)
-    return op.forest_importance(op.forest_fit(frame, trees=TREES, max_depth=DEPTH), frame)
+    """Importance of the drivers in a forest of 400 trees: share of the gain and rise of the out-of-bag error."""
+    found = op.exact_forest(_stored_frame(v)).importance()
+    total = F.sum("node_purity").over(Window.partitionBy(F.lit(0)))  # one row per driver
+    return found.withColumn("importance", F.try_divide(F.col("node_purity"), total))
 
 
-@query("site_no:s water_year:i q5_norm:f4 pred:f4 residual:f4 fold:i")
+@query("site_no:s water_year:i q5_norm:f4 pred:f4 residual:f4 n_trees:i")
 def forest_residuals(v: Views) -> DataFrame:
-    return op.forest_residuals(_stored_frame(v), trees=TREES, max_depth=DEPTH)
+    """Out-of-bag predictions of one forest."""
+    return op.out_of_bag_residuals(op.exact_forest(_stored_frame(v)))
+
+
+@query("site_no:s water_year:i q5_norm:f4 pred:f4 residual:f4 fold:i")
+def cross_validated_residuals(v: Views) -> DataFrame:
+    """Predictions of binned forests that have not seen a row's fold."""
+    return op.forest_residuals(_stored_frame(v), folds=3, trees=100)
 
 
 @query("part:s n:i rmse:f4 relative_rmse:f6 r2:f6")
 def train_test_eval(v: Views) -> DataFrame:
-    return op.train_test_eval(_stored_frame(v), trees=TREES, max_depth=DEPTH)
+    return op.train_test_errors(_stored_frame(v))
 
 
 @query("site_no:s water_year:i feature:s phi:f6 phi_var:f6 feature_value:f4")
 def shapley_sampling(v: Views) -> DataFrame:
     frame = _stored_frame(v)
-    return op.shapley_sampling(op.forest_fit(frame, trees=TREES, max_depth=DEPTH), frame)
+    return op.shapley_sampling(op.forest_fit(frame), frame)
+
+
+@query("feature:s class_a:s mean_abs_shap:f4 mean_abs_shap_all:f4 display_rank:i class:s")
+def attribution_report(v: Views) -> DataFrame:
+    """Attributions of the fitted forest by driver and class of its out-of-bag residuals."""
+    frame = _stored_frame(v)
+    residuals = cut_lineage(op.out_of_bag_residuals(op.exact_forest(frame)))
+    means = residuals.groupBy("site_no").agg(F.avg("q5_norm").alias("pred"))
+    plain = residuals.drop("pred", "residual").join(means, "site_no").withColumn("residual", F.col("q5_norm") - F.col("pred"))
+    columns = ["site_no", "water_year", "q5_norm", "pred", "residual"]
+    classes = op.residual_classes(residuals.select(columns), plain.select(columns))
+    shap = op.shapley_sampling(op.forest_fit(frame), frame)
+    kinds = v.spark.createDataFrame([(c, "Climate" if c in CLIMATE_DRIVERS else "Site") for c in DRIVER_SETS["full"]], "feature string, class string")
+    return op.mean_abs_shap(shap, kinds, classes)
 
 
 @query(
@@ -743,6 +785,19 @@ def concentration_surface(v: Views) -> DataFrame:
     return op.concentration_surface(v.samples, v.daily_q)
 
 
+@query("site_no:s date:d q:f4 y_hat:f4 se:f4 conc:f2 n_obs:i growth:i leverage:f4")
+def held_out_estimates(v: Views) -> DataFrame:
+    v.fan_out("q", "a_ratio")
+    return op.held_out_estimates(v.samples, v.daily_q)
+
+
+@query("site_no:s n:i r2_log_conc:f4 r2_log_flux:f4 rmse_log:f4 sep_percent:f3 flux_bias:f4 flux_bias_of_estimate:f4")
+def held_out_errors(v: Views) -> DataFrame:
+    """Errors of estimates that have not seen the sample they are held against."""
+    v.fan_out("q", "a_ratio")
+    return op.estimate_errors(op.held_out_estimates(v.samples, v.daily_q), v.samples, "conc")
+
+
 _BRIDGE_EST = "(select site_no, date, q, ln(ratio) as y_hat, 0.25 as se from days)"
 _BRIDGE = f"""select site_no, date, q, y_hat, se, case when z is not null then exp(y)
         else exp(y_hat + se * (case when za is not null and zb is not null then (pow(0.9, s) * (1 - pow(0.9, 2 * u)) * za + pow(0.9, u) * (1 - pow(0.9, 2 * s)) * zb) / (1 - pow(0.9, 2 * (s + u)))

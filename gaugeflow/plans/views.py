@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as op
+from ..functions.aggregates import vocabulary
 from ..functions.series import by_site
 from ..session import cut_lineage
 
 KEYS = ["site_no", "water_year"]
+# Columns of the registered composition tables; what a table holds besides goes into a column of its own.
 LAND_CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-BRANDS = [f"Brand#{n}" for n in range(1, 26)]
 
 
 class Views:
@@ -169,9 +170,9 @@ class Views:
             F.col("c_custkey").cast("string").alias("site_no"), "site_tp_cd", "parameter_cd"
         )
 
-    def wide(self, long: DataFrame, brands: list[str] | None = None) -> DataFrame:
-        """One column per site with decorated names, as the gridded product has it."""
-        brands = brands or BRANDS
+    def wide(self, long: DataFrame) -> DataFrame:
+        """One column per site of the table with decorated names, as the gridded product has it."""
+        brands = vocabulary(long, "site_no", most=10_000)
         return long.groupBy("dates").agg(*[
             F.max(F.when(F.col("site_no") == b, F.col("value"))).alias(f"X{b}..") for b in brands
         ])
@@ -226,12 +227,7 @@ class Views:
     def panel(self) -> DataFrame:
         return op.harmonise(
             op.site_year_stats(self.annual_bf, self.q5),
-            annual=[
-                op.annual_evaporation(self.et),
-                op.annual_precipitation(self.precip),
-                op.annual_temperature(self.temp),
-                self.snow,
-            ],
+            annual=[op.annual_climate(self.et, self.precip, self.temp), self.snow],
             static=[
                 self.site_info,
                 self.zones,
