@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import cut_lineage
 from .columns import as_column
 
 
@@ -71,9 +70,8 @@ def bounded_rank(df: DataFrame, column: str, name: str = "display_rank", ascendi
     """Dense rank over the whole table by a column with few distinct values (days, years, labels).
 
     Only the distinct values meet in one task: a century of days is 36,525 rows however many
-    sites there are. The table is read twice and therefore stored first.
+    sites there are. Building the plan starts no job; the exchanges of ``df`` serve both readings.
     """
-    df = cut_lineage(df)
     order = F.col(column).asc() if ascending else F.col(column).desc()
     ranks = df.select(column).distinct().withColumn(name, F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(order)))
     return df.join(ranks, column, "left")

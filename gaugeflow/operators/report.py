@@ -19,7 +19,6 @@ from ..functions.aggregates import (
 from ..functions.columns import drop_sites, relabel, safe_ln, sort_key
 from ..functions.quantiles import quantile, unbounded_quantiles
 from ..functions.series import SITE
-from ..session import cut_lineage
 from .harmonise import CLIMATE_DRIVERS, DRIVER_SETS, SITE_DRIVERS
 
 # Report labels and their order.
@@ -162,11 +161,10 @@ def improvement_by_zone_flow(joined: DataFrame, zone: str = "zone") -> DataFrame
 def relative_improvement(joined: DataFrame, zone: str = "zone") -> DataFrame:
     """Median relative gain among improved poor rows, and the ratio of mean gain to mean flow, by zone.
 
-    A zone can hold any share of the rows, so the median is taken without gathering it. The few
-    columns needed are stored, as that takes several passes.
+    A zone can hold any share of the rows, so the median is taken without gathering it.
     """
     relative = F.when(_improved(), F.try_divide("res_diff", "q5_norm"))
-    rows = cut_lineage(joined.select(zone, "res_diff", "q5_norm", relative.alias("_rel")))
+    rows = joined.select(zone, "res_diff", "q5_norm", relative.alias("_rel"))
     medians = unbounded_quantiles(rows, [zone], "_rel", {"median_rel_gain": 0.5})
     ratios = rows.groupBy(zone).agg(F.try_divide(F.avg("res_diff"), F.avg("q5_norm")).alias("mean_ratio"))
     medians = medians.withColumnRenamed(zone, "_zone")

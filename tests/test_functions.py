@@ -151,3 +151,48 @@ def test_correlation_pairs_and_null_counts(make):
     assert pairs[("a", "b")] == pytest.approx(1.0) and pairs[("a", "a")] == 1.0
     assert pairs[("a", "c")] is None and pairs[("c", "c")] is None
     assert {r["column_name"]: r["n_null"] for r in ag.null_counts(df).collect()} == {"a": 0, "b": 1, "c": 0}
+
+
+def test_quantiles_of_a_hot_group_are_spread(spark, make):
+    """Nearly all rows in one site, no broadcast: no task reads more than its share of them."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.lognormal(size=60_000), np.full(3000, 1.0), [-1e300, 1e300, -0.0]])
+    df = make([("hot", float(v)) for v in values] + [(f"s{k}", float(k % 7)) for k in range(600)], "site_no string, v double")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        probs = {"lo": 0.01, "mid": 0.5, "hi": 0.995}
+        got = {r["site_no"]: r for r in unbounded_quantiles(df, ["site_no"], "v", probs).collect()}
+        for name, p in probs.items():
+            assert got["hot"][name] == pytest.approx(np.quantile(values, p), rel=1e-12)
+        assert len(got) == 601
+        # Rows of the hot site in the tasks of the widest step, the one that meets them with their group.
+        from gaugeflow.functions import quantiles
+
+        data = df.select("site_no", F.col("v").alias("_v")).groupBy("site_no", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        met = quantiles._meet(data, data.groupBy("site_no").agg(F.max("_v").alias("_high")), ["site_no"])
+        share = met.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert share[0] < 0.2 * share[1]
+        # The last ordering sees few rows.
+        assert quantiles.RANGES**quantiles.PASSES > 10**7
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_ranks_and_medians_start_no_job(spark, make):
+    from gaugeflow import operators as op
+
+    started = []
+    tracker = spark.sparkContext.statusTracker()
+    samples = make([("a", day(0), 1.0), ("b", day(3), 2.0)], "site_no string, sample_dt date, result_va double")
+    daily = make([("a", day(0), 1.0), ("b", day(1), 2.0)], "site_no string, date date, q double")
+    spark.sparkContext.setJobGroup("plan-only", "plans")
+    op.record_summary(samples, daily)
+    op.end_members(samples)
+    op.mean_abs_shap(make([("a", 1, "f", -2.0)], "site_no string, water_year int, feature string, phi double"))
+    started += tracker.getJobIdsForGroup("plan-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not started
