@@ -13,7 +13,10 @@ Candidates share a band. They are thinned by set sizes and by the sketch, and co
    heads, most members are similar to some, and the heads are members too.
 2. Connected classes become components. In bands that still hold several components, all pairs
    across components are thinned and confirmed, each in the first band the two have in common. Pairs
-   inside a component can change nothing.
+   inside a component can change nothing. Here sets of up to ``SMALL`` shingles are thinned by an odd
+   sketch of the whole set: the ones in the XOR of two such bitmaps never exceed the symmetric
+   difference, so a group whose members are all a little too far apart yields hardly any pairs, and
+   none that is a link is lost.
 
 So no link that joins two groups is left out, whatever the size of a band, and no group's pairs are
 listed. With ``BANDS`` bands of ``ROWS`` samples a pair at similarity 0.8 shares no band with probability
@@ -47,9 +50,11 @@ HEADS = 2
 SURE = 0.676  # estimate five standard deviations (12.8 bits each) below that of a pair at 0.8
 CACHED_WORDS = 150_000
 SHINGLES_AT_ONCE = 2048
+SMALL, WHOLE_LONGS = 1400, 32  # shingles of a set that an odd sketch of all of it, of so many longs, tells apart
 
 SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
-SIGNED = f"doc_id long, n_shingles long, digest string, bands array<long>, {', '.join(f'{s} long' for s in SKETCH)}"
+WHOLE = [f"w{k}" for k in range(WHOLE_LONGS)]
+SIGNED = f"doc_id long, n_shingles long, digest string, bands array<long>, {', '.join(f'{s} long' for s in SKETCH + WHOLE)}"
 
 
 class Shingler:
@@ -114,8 +119,17 @@ class Signer:
         return bands.view(np.int64).tolist(), sketch.tolist()
 
 
+def whole_sketch(hashes: np.ndarray) -> list[int | None]:
+    """Odd sketch of all hashes of a small set; nulls for a larger one."""
+    if len(hashes) > SMALL:
+        return [None] * WHOLE_LONGS
+    bits = 64 * WHOLE_LONGS
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def signatures(documents: DataFrame, words: int = 2) -> DataFrame:
-    """doc_id, n_shingles, digest, bands and the sketch; digest and the rest are null for an empty set."""
+    """doc_id, n_shingles, digest, bands and the sketches; digest and the rest are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(words), Signer()
@@ -125,10 +139,10 @@ def signatures(documents: DataFrame, words: int = 2) -> DataFrame:
                 found = shingler.shingles(text.as_py())
                 if len(found):
                     bands, sketch = signer.sign(found)
-                    rows.append((len(found), set_digest(found), bands, *sketch))
+                    rows.append((len(found), set_digest(found), bands, *sketch, *whole_sketch(found)))
                 else:
-                    rows.append((0, None, None, *[None] * SKETCH_LONGS))
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64())] + [pa.int64()] * SKETCH_LONGS
+                    rows.append((0, None, None, *[None] * (SKETCH_LONGS + WHOLE_LONGS)))
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64())] + [pa.int64()] * (SKETCH_LONGS + WHOLE_LONGS)
             arrays = [batch.column(0)] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split(" ")[0] for f in SIGNED.split(", ")])
 
@@ -144,9 +158,9 @@ def differing_bits(similarity: float, samples: int = BANDS * ROWS) -> int:
     return math.ceil(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * samples * (1 - similarity))))
 
 
-def differing(left: str, right: str) -> Column:
+def differing(left: str, right: str, sketch: list[str] = SKETCH) -> Column:
     """Ones in the XOR of two sketches."""
-    return reduce(Column.__add__, [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH])
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in sketch])
 
 
 def may_be_similar(left: str, right: str) -> Column:
@@ -156,13 +170,23 @@ def may_be_similar(left: str, right: str) -> Column:
     return sizes & (differing(left, right) <= differing_bits(SURE))
 
 
+def cannot_be_similar(left: str, right: str) -> Column:
+    """The whole sets, where both are small, are known to differ too much.
+
+    Similarity s leaves a symmetric difference of (1 - s) / (1 + s) of both sizes together.
+    """
+    n = F.col(f"{left}.n") + F.col(f"{right}.n")
+    too_far = (100 + SIMILAR_PERCENT) * differing(left, right, WHOLE) > (100 - SIMILAR_PERCENT) * n
+    return F.coalesce(too_far, F.lit(False))
+
+
 def set_classes(signed: DataFrame) -> DataFrame:
     """One row per distinct set: node (its smallest doc_id), digest, n, bands and sketch."""
     same = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal signatures
     return (
         signed.filter("digest is not null and doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), same("bands"), *map(same, SKETCH))
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), same("bands"), *map(same, SKETCH + WHOLE))
     )
 
 
@@ -194,10 +218,10 @@ def pairs_across(members: DataFrame, classes: DataFrame, components: DataFrame)
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
     # Half of each band hash is enough to see a common one (a chance hit on 64 bands: 1e-8).
     halves = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("halves")
-    rows = cut_lineage(placed.join(mixed, "band").join(classes.select("node", "n", *SKETCH, halves), "node"))
+    rows = cut_lineage(placed.join(mixed, "band").join(classes.select("node", "n", *SKETCH, *WHOLE, halves), "node"))
     before = F.zip_with(F.slice("a.halves", F.lit(1), F.col("a.no")), F.slice("b.halves", F.lit(1), F.col("b.no")), lambda x, y: x == y)
     first = ~F.exists(before, lambda same: same)
-    pair = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & may_be_similar("a", "b") & first
+    pair = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & may_be_similar("a", "b") & ~cannot_be_similar("a", "b") & first
     return rows.alias("a").join(rows.alias("b"), pair).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
 
 
