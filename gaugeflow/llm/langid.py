@@ -5,17 +5,21 @@ each dictionary, block by block, and belongs to the language that makes it small
 smallest sizes lie within a narrow margin the text is marked as rejected. Nothing but the text is an
 input of a prediction.
 
-Learning takes a bounded sample, ``SAMPLE`` documents of each language at most, picked by a hash of
-the row; prediction reads every whole text in blocks, so memory does not grow with a text.
+Learning takes a bounded sample, ``SAMPLE`` distinct texts of each language at most, picked by a hash of
+the text. A dictionary is made of blocks from all over these texts, in an order drawn by hash: the first
+block of every text, then the second of every text, until it is full. So neither an opening that texts
+share nor a few long texts fill it, and few texts give as many blocks as they have. Prediction reads every whole text in blocks, so memory does not grow with a text.
 
 A null text, or one without a letter, is ``und`` with score 0. So is every text if nothing could be
 learned. Equal sizes go to the language with more rows, then the first in code-point order. Rows whose language is
-null teach nothing. Repeated rows count as they come. Columns named like the added ones
+null teach nothing. A passage that the samples of one language hold and those of another do not speaks for
+the first, be it of either language. Repeated rows count as they come. Columns named like the added ones
 are replaced; others are passed through.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +35,7 @@ from gaugeflow.llm.text import table
 SAMPLE = 256  # documents of a language
 DICTIONARY_BYTES = 256 << 10
 BLOCK_BYTES = 4096
+DRAWN_CHARS = 256  # of a block of a dictionary
 LEVEL = 7
 MARGIN = 0.01  # of the second smallest size
 UNKNOWN = "und"
@@ -44,23 +49,35 @@ def language_samples(labelled: DataFrame, text: str = "text", lang: str = "lang"
     """
     rows = labelled.filter(F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("draw", F.xxhash64(F.lit(11), "text"))
-    counts = rows.groupBy("lang").count().collect()  # a row per language
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("draw", 0.02).alias("texts")).collect()  # a row per language
     if not counts:
         return rows.select("lang", F.lit(0).alias("rows"), "text")
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, 2.0 * sample / r["count"] * (1 << 20))])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, 2.0 * sample / max(r["texts"], 1) * (1 << 20))])
     size = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, r["count"])])
     chosen = rows.filter(F.pmod("draw", F.lit(1 << 20)) < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "draw"])
     place = Window.partitionBy("lang").orderBy("draw", "text")
     return chosen.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= sample).select("lang", F.element_at(size, F.col("lang")).alias("rows"), "text")
 
 
-def dictionaries(samples: DataFrame, size: int = DICTIONARY_BYTES, sample: int = SAMPLE) -> dict[str, bytes]:
-    """Dictionary content of each language, an equal part of every sample text; the most frequent language first."""
+def drawn_blocks(samples: DataFrame, size: int = DICTIONARY_BYTES) -> DataFrame:
+    """lang, rows, place, block: at most ``size`` characters of each language in the order of their draw."""
+    most = math.ceil(size / DRAWN_CHARS) + 1  # blocks of one text; its last may be short
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / DRAWN_CHARS).cast("int"))).alias("k")
+    cut = samples.filter(F.length("text") > 0).select("lang", "rows", F.xxhash64(F.lit(11), "text").alias("draw"), "text", number)
+    cut = cut.withColumn("order", F.xxhash64("draw", "k"))
+    of_text = F.row_number().over(Window.partitionBy("lang", "draw").orderBy("order", "k"))
+    turns = cut.select("lang", "rows", "draw", "order", of_text.alias("turn"), F.substring("text", F.col("k") * DRAWN_CHARS + 1, F.lit(DRAWN_CHARS)).alias("block"))
+    before = Window.partitionBy("lang").orderBy("turn", "order", "draw").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.filter(F.col("turn") <= most).withColumn("place", F.coalesce(F.sum(F.length("block")).over(before), F.lit(0)))
+    return placed.filter(F.col("place") < size).select("lang", "rows", "place", "block")
+
+
+def dictionaries(samples: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """Dictionary content of each language, blocks of its sample texts; the most frequent language first."""
     found: dict[tuple[int, str], list[bytes]] = {}
-    part = F.substring("text", 1, 4 * max(size // sample, 1))
-    for row in samples.select("lang", "rows", part.alias("text")).orderBy("lang", "text").toLocalIterator():
-        found.setdefault((-row.rows, row.lang), []).append(row.text.encode())
-    return {lang: b"\n".join(t[: max(size // len(texts), size // sample)] for t in texts)[:size] for (_, lang), texts in sorted(found.items())}
+    for row in drawn_blocks(samples, size).orderBy("lang", "place").toLocalIterator():
+        found.setdefault((-row.rows, row.lang), []).append(row.block.encode())
+    return {lang: b"".join(blocks)[:size] for (_, lang), blocks in sorted(found.items())}
 
 
 class Compressors:

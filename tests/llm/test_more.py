@@ -38,8 +38,9 @@ def test_packing_loses_nothing(spark):
     found = packing.packed(df, context=context, group_tokens=20_000).collect()
     for r in found:
         ids = np.frombuffer(r.ids, np.uint16)
-        assert len(ids) == context and r.cu_seqlens[-1] == r.n_tokens and r.position_resets == r.cu_seqlens[:-1]
-        assert not ids[r.n_tokens :].any() and len(r.doc_ids) == len(r.doc_offsets) == len(r.cu_seqlens) - 1
+        n_tokens = r.cu_seqlens[-1]
+        assert len(ids) == context and r.position_resets == r.cu_seqlens[:-1]
+        assert not ids[n_tokens :].any() and len(r.doc_ids) == len(r.doc_offsets) == len(r.cu_seqlens) - 1
         for doc_id, offset, a, b in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
             parts.setdefault(doc_id, []).append((offset, ids[a:b]))
     assert len({r.pack for r in found}) == len(found)

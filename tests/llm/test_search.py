@@ -9,11 +9,12 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import brute
-from gaugeflow.llm import fim, lexical, simhash
-from gaugeflow.llm.queries import QUERIES
+from gaugeflow.llm import bpe, fim, langid, lexical, packing, simhash
+from gaugeflow.llm.queries import QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,6 +82,86 @@ def test_marks_that_cannot_be_told_apart():
             fim.check_marks(marks)
 
 
+# --- written matrices
+
+
+def test_matrices_are_written_and_read_back(spark, awkward, tmp_path):
+    rows = awkward + [(None, "null id"), (9000, "again and again"), (9000, "again and again")]
+    df = docs(spark, rows).withColumns({"ids": F.lit("clash"), "pack": F.lit(-1), "n_tokens": F.lit("x")})
+    path = str(tmp_path / "matrices")
+    packing.write_matrices(df, path, context=128, group_tokens=5000)
+    found = packing.read_matrices(spark, path).collect()
+    assert len({r.pack for r in found}) == len(found)
+    parts = Counter()
+    for r in found:
+        ids = np.frombuffer(r.ids, np.uint16)
+        assert len(ids) == 128 and r.n_tokens == r.cu_seqlens[-1] <= 128 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
+        assert r.position_resets == r.cu_seqlens[:-1] and not ids[r.n_tokens :].any()
+        for doc_id, offset, a, b in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
+            parts[doc_id, offset, ids[a:b].tobytes()] += 1
+    want = Counter((i, k, packing.byte_ids(t)[k : k + 128].tobytes()) for i, t in rows for k in range(0, len(packing.byte_ids(t)), 128))
+    assert parts == want
+
+
+def test_wide_ids_and_ids_outside_the_vocabulary(spark):
+    wide = [(1, np.array([70000, 5, 2**31])), (2, np.array([], np.int64))]
+    ((segments, row),) = packing.pack_rows(wide, 8, vocabulary=2**32)
+    assert row.dtype == np.uint32 and row.tolist() == [70000, 5, 2**31, 0, 0, 0, 0, 0] and segments == [(1, 0, 3)]
+    for ids, vocabulary in (([70000], 65536), ([-1], 65536), ([300], 259)):
+        with pytest.raises(OverflowError):
+            list(packing.pack_rows([(1, np.array(ids))], 8, vocabulary))
+    with pytest.raises(OverflowError):
+        packing.id_type(2**33)
+    path, text = tokenizer_path(), docs(spark, [(1, "the cat sat on the mat"), (2, None)])
+    made = packing.packed(text, 16, encode=lambda t: np.array(bpe.vocabulary(path).encode(t), np.int64), vocabulary=50304).first()
+    assert bpe.vocabulary(path).decode(np.frombuffer(made.ids, np.uint16)[: made.cu_seqlens[-1]].tolist()) == "the cat sat on the mat"
+
+
+# --- languages
+
+
+def test_dictionaries_of_headed_texts(spark):
+    """Texts that all open alike, far longer than what a prefix would take; a language of copies; few long texts."""
+    rnd = random.Random(9)
+    words = {lang: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(400)] for lang in ("aa", "bb", "cc")}
+    header = " ".join("".join(rnd.choice("xyzw") for _ in range(6)) for _ in range(800))
+    text = lambda lang, n: header + " ".join(rnd.choice(words[lang]) for _ in range(n))
+    rows = [(k, text(lang, 300), lang, "s") for k, lang in enumerate(["aa", "bb"] * 300)]
+    rows += [(1000 + k, rows[0][1], "aa", "s") for k in range(3000)]  # copies
+    rows += [(5000 + k, " ".join(rnd.choice(words["cc"]) for _ in range(20_000)), "cc", "s") for k in range(3)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], DOCS).repartition(4)
+    learned = langid.dictionaries(langid.language_samples(df))
+    assert list(learned) == ["aa", "bb", "cc"] and all(len(d) == langid.DICTIONARY_BYTES for d in learned.values())
+    test = [(k, header * (lang != "cc") + " ".join(rnd.choice(words[lang]) for _ in range(60)), lang, "s", 1) for k, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    found = langid.predict(spark.createDataFrame(test, DOCS), learned).collect()
+    assert sum(r.lang == r.lang_pred and not r.rejected for r in found) > 0.95 * len(test)
+    # The choice is the dictionary that makes the blocks of a text smallest.
+    for _, value, _, _, _ in test[:20]:
+        sizes = {}
+        for lang, data in learned.items():
+            book = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=book, write_content_size=False, write_dict_id=False)
+            raw = value.encode()
+            sizes[lang] = sum(len(packer.compress(raw[k : k + langid.BLOCK_BYTES])) for k in range(0, len(raw), langid.BLOCK_BYTES))
+        low, second = sorted(sizes.values())[:2]
+        got = langid.compressors(tuple(learned.items())).predict(value)
+        assert sizes[got[0]] <= low * 1.001 and got[1] == pytest.approx(1 - low / second, abs=2e-3)
+
+
+def test_languages_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, "abc def", "aa", "s", 1), (1, "abc def", "aa", "s", 1), (2, None, "bb", "s", 1), (3, "...", None, "s", 1)], DOCS)
+    learned = langid.dictionaries(langid.language_samples(df))
+    assert list(learned) == ["aa"]
+    clash = df.withColumns({"lang_pred": F.lit(1), "score": F.lit("x"), "draw": F.lit(0)})
+    found = langid.predict(clash, learned)
+    assert found.columns == ["doc_id", "lang", "source", "n_chars", "draw", "lang_pred", "score", "rejected"]
+    assert Counter((r.doc_id, r.lang_pred) for r in found.collect()) == Counter([(1, "aa"), (1, "aa"), (2, "und"), (3, "und")])
+    empty = langid.dictionaries(langid.language_samples(df.limit(0)))
+    assert empty == {} and langid.predict(df.limit(0), empty).count() == 0
+    same = {"first": b"abcdefgh " * 20, "second": b"abcdefgh " * 20}  # equal sizes
+    assert {r.lang_pred for r in langid.predict(df.filter("doc_id = 1"), same).collect()} == {"first"}
+
+
 # --- SimHash
 
 
