@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array per short word.
 
 A text is cut at special tokens, then before every space that a non-space follows (no piece of the
-vocabulary's pattern crosses such a place), and the resulting chunks are looked up in a bounded cache.
-Chunks met for the first time in a batch are cut into words by the pattern. A short word is a row of
+vocabulary's pattern crosses such a place), and the resulting chunks are looked up in a bounded cache
+of two generations, so that frequent chunks stay when it is full. Chunks met for the first time in a batch are cut into words by the pattern. A short word is a row of
 two contiguous arrays, its parts and the ranks of adjacent parts: the smallest rank is scanned for, its
 boundary deleted and the two ranks beside it refreshed, until no pair can merge. The rows of a batch
 take these steps together (numpy). The scan is quadratic, so a word of more than ``SHORT`` bytes keeps
@@ -18,10 +18,10 @@ column is replaced by it. Empty tables give no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -55,17 +55,9 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
-def newer_characters() -> regex.Pattern:
-    """Matches code points that this Python's Unicode tables do not know."""
-    parts, start = [], None
-    for c in range(0x80, 0x110001):
-        unknown = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if unknown and start is None:
-            start = c
-        elif not unknown and start is not None:
-            parts.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(parts)}]")
+def has_newer(text: str) -> bool:
+    """Whether a text has a code point that this Python's Unicode tables do not know."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
 class Vocabulary:
@@ -95,8 +87,8 @@ class Vocabulary:
         self._piece = regex.compile(PIECES)
         self._spaces = regex.compile(rf" [{WHITE}]| $")
         self._chunk = regex.compile(rf" (?=[^{WHITE}])")
-        self._newer = newer_characters()
         self._chunks: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         keys = sorted(self.merge)
         self._keys = np.array(keys, np.int64)
         self._rank = np.array([self.merge[k][0] for k in keys], np.int32)
@@ -208,17 +200,21 @@ class Vocabulary:
     def _learn(self, chunks: set[str], lead: str, into: dict[str, tuple[int, ...]]) -> None:
         """Ids of chunks with ``lead`` before them, into a cache."""
         findall = self._piece.findall
-        if self._newer.search("".join(chunks)):
+        if has_newer("".join(chunks)):
             # Characters newer than this Python: their class is the one the tokenizers library has.
             if self._library is None:
                 from tokenizers import Tokenizer
 
                 self._library = Tokenizer.from_file(self._path).pre_tokenizer
             cut = self._library.pre_tokenize_str
-            findall = lambda c: [c[a:b] for _, (a, b) in cut(c)] if self._newer.search(c) else self._piece.findall(c)
-        words_of = [findall(lead + chunk) for chunk in chunks]
-        ids = self.words_ids(list(set(chain.from_iterable(words_of))))
-        for chunk, words in zip(chunks, words_of):
+            findall = lambda c: [c[a:b] for _, (a, b) in cut(c)] if has_newer(c) else self._piece.findall(c)
+        # Letters alone are one word of the pattern.
+        whole = {chunk: lead + chunk for chunk in chunks if chunk.isalpha()}
+        words_of = {chunk: findall(lead + chunk) for chunk in chunks if chunk not in whole}
+        ids = self.words_ids(list({*whole.values(), *chain.from_iterable(words_of.values())}))
+        for chunk, word in whole.items():
+            into[chunk] = ids[word]
+        for chunk, words in words_of.items():
             into[chunk] = ids[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, words)))
 
     def _chunks_of(self, text: str) -> list[str]:
@@ -226,13 +222,26 @@ class Vocabulary:
         return self._chunk.split(text) if self._spaces.search(text) else text.split(" ")
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of every text. Nothing made here refers back to itself, so cycles need not be looked for."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         # Pieces between special tokens (even places) and the special tokens (odd places).
         pieces = [self._special.split(t) if t and self._special is not None and self._special.search(t) else [t or ""] for t in texts]
         cut = [[self._chunks_of(p) if k % 2 == 0 else p for k, p in enumerate(ps)] for ps in pieces]
-        if len(self._chunks) > CACHED_CHUNKS:
-            self._chunks.clear()
+        if len(self._chunks) > CACHED_CHUNKS // 2:
+            self._older, self._chunks = self._chunks, {}
         needed = set(chain.from_iterable(c[1:] for cs in cut for c in cs[::2]))
         needed.difference_update(self._chunks)
+        kept = needed.intersection(self._older)
+        self._chunks.update(zip(kept, map(self._older.__getitem__, kept)))
+        needed -= kept
         long = {c for c in needed if len(c) > CACHED_CHARS}
         self._learn(needed, " ", self._chunks)
         first: dict[str, tuple[int, ...]] = {"": ()}
