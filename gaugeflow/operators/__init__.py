@@ -6,6 +6,7 @@ from .climate import (
     annual_precipitation,
     annual_temperature,
     climate_files_merge,
+    climate_folder,
     climate_wide_to_long,
     peak_snow,
     snow_disappearance,

@@ -20,7 +20,7 @@ from ..functions.columns import (
     water_year_day,
 )
 from ..functions.series import SITE
-from ..sources.readers import read_csv, repair_columns
+from ..sources.readers import read_csv, repair_columns, wide_file_rows
 
 MM_PER_M = 1000
 KELVIN_OFFSET = 273.15
@@ -82,6 +82,42 @@ def climate_files_merge(
     return merged
 
 
+def climate_folder(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    date: str = "dates",
+    head: int = 1,
+    tail: int = 2,
+    formats: Sequence[str] = DATE_FORMATS,
+    rename: Mapping[str, str] | None = None,
+    names_from: Mapping[str, str] | None = None,
+    drop: Iterable[str] = (),
+) -> DataFrame:
+    """One row per (site, day) of all wide CSV files of a folder, pattern or list, however many.
+
+    Files may differ in sites, column order, index columns and date format. Names that drifted are
+    repaired by ``rename`` and ``names_from`` (see ``wide_file_rows``). A file's date format is the
+    first of ``formats`` that reads most of its dates: ``3/4/01`` alone says nothing, but the other days of
+    its file do. The plan has the same size for any number of files. A file without a date column is
+    an error; a date or value that cannot be read is null.
+    """
+    rows = wide_file_rows(spark, path, rename, names_from)
+    at = F.array_position("names", F.lit(date)).cast("int")
+    missing = F.raise_error(F.concat(F.lit(f"no column {date} in "), F.col("file")))
+    rows = rows.withColumn("_date", F.get("cells", F.when(at > 0, at - 1).otherwise(missing)))
+    if len(formats) > 1:
+        votes = rows.groupBy("file").agg(F.array(*[F.count(F.try_to_date("_date", f)) for f in formats]).alias("_votes"))
+        chosen = votes.select("file", F.array_position("_votes", F.array_max("_votes")).alias("_format"))
+        rows = rows.join(chosen, "file")
+        parsed = F.coalesce(*[F.when(F.col("_format") == k, F.try_to_date("_date", f)) for k, f in enumerate(formats, 1)])
+    else:
+        parsed = F.try_to_date("_date", formats[0])
+    cells = rows.select(parsed.alias("dates"), F.inline(F.arrays_zip("names", "cells")))
+    cells = cells.where(F.col("names").isNotNull() & ~F.col("names").isin([date, *drop]))
+    site = F.substring("names", F.lit(head + 1), F.greatest(F.length("names") - (head + tail), F.lit(0)))
+    return cells.select(normalise_site_id(site).alias(SITE), "dates", F.col("cells").try_cast("double").alias("value"))
+
+
 def _annual(long: DataFrame, agg: Column, name: str, null_policy: str) -> DataFrame:
     return long.groupBy(SITE, water_year("dates").alias("water_year")).agg(
         with_nulls(agg, "value", null_policy).alias(name)

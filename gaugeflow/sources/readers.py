@@ -89,8 +89,62 @@ def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def read_per_site_files(
     spark: SparkSession, glob: str, pattern: str = r"_([^_/]+)\.csv$", schema: str | None = None
 ) -> DataFrame:
-    """Files named by site; the id comes from the file name, the columns are taken by name."""
-    return read_csv(spark, glob, schema, [F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).alias("site_no")])
+    """Files named by site; the id comes from the path of the file, the columns are taken by name."""
+    return read_csv(spark, glob, schema, [F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("site_no")])
+
+
+def wide_file_rows(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    rename: Mapping[str, str] | None = None,
+    names_from: Mapping[str, str] | None = None,
+    salts: int = 32,
+) -> DataFrame:
+    """file, names, cells of every line of CSV files with a header line each, whatever their columns.
+
+    Headers are data: they sit in a table with a row per file that the lines meet on the file, so that
+    the plan has the same size for three files or thousands, with one header or all different. ``cells``
+    and ``names`` are as long as the widest header and null past the end of a line; an unnamed column
+    has a null name. ``rename`` maps drifted names to the right ones in every file; ``names_from`` maps the name of
+    a file with a broken header to that of the file in the same folder whose names it takes by position.
+    A name that occurs twice in a header is an error. Lines of a file meet its header dealt to ``salts``
+    tasks, so a file with most of the lines is spread. Files without a line give nothing.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+    )
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    width = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1  # quoted commas only make it larger
+    layout = StructType([StructField(f"c{k}", StringType()) for k in range(width)])
+    cells = [F.col(f"c{k}") for k in range(width)]
+    named = F.from_csv("header", ", ".join(f"c{k} STRING" for k in range(width)), {"nullValue": ""})
+    right = _lookup(rename or {})
+    headers = first.select("file", F.array(*[F.trim(named[f"c{k}"]) for k in range(width)]).alias("names"))
+    headers = headers.withColumn("names", F.transform("names", lambda n: F.when(n != "", right(n))))
+    if names_from:
+        folder, own = F.regexp_extract("file", "^(.*/)[^/]*$", 1), F.regexp_extract("file", "([^/]*)$", 1)
+        given = headers.select(F.col("file").alias("_like"), F.col("names").alias("_given"))
+        headers = headers.withColumn("_like", F.concat(folder, _lookup(names_from)(own)))
+        headers = headers.join(given, "_like", "left").select("file", F.coalesce("_given", "names").alias("names"))
+    once = F.size(F.array_distinct(F.array_compact("names"))) == F.size(F.array_compact("names"))
+    twice = F.raise_error(F.concat(F.lit("a column name occurs twice in "), F.col("file")))
+    headers = headers.withColumn("names", F.when(once, F.col("names")).otherwise(twice))
+    scan = spark.read.option("header", True).option("nullValue", "NA").schema(layout).csv(path)
+    rows = scan.select(F.col("_metadata.file_path").alias("file"), F.array(*cells).alias("cells"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("cells"), F.lit(salts)))
+    dealt = headers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.join(dealt, ["file", "_salt"]).select("file", "names", "cells")
+
+
+def _lookup(names: Mapping[str, str]):
+    """Function from a name to the one it maps to, itself where it maps to none."""
+    if not names:
+        return lambda name: name
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return lambda name: F.coalesce(F.try_element_at(known, name), name)
 
 
 def repair_columns(

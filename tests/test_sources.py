@@ -1,7 +1,10 @@
-from datetime import date
+import csv
+import io
+from datetime import date, timedelta
 
 import pytest
 
+from gaugeflow.operators import climate_folder
 from gaugeflow.sources import readers, writers
 
 DAY = date(2000, 10, 1)
@@ -64,3 +67,57 @@ def test_a_missing_column_is_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("date,flow\n2000-10-01,1\n")
     with pytest.raises(ValueError, match="no column q"):
         readers.read_csv(spark, str(tmp_path / "a.csv"), "date DATE, q DOUBLE")
+
+
+def _wide_file(path, sites, days, date_format, index=False, date="dates"):
+    """A wide file; returns its (site, day, value) rows."""
+    out, rows = io.StringIO(), []
+    writer = csv.writer(out, quoting=csv.QUOTE_NONNUMERIC if index else csv.QUOTE_MINIMAL)
+    writer.writerow(([""] if index else []) + [date] + [f"X{s}.." for s in sites])
+    for n, d in enumerate(days):
+        values = [None if (n + k) % 5 == 0 else n + k / 8 for k in range(len(sites))]
+        writer.writerow(([n] if index else []) + [d.strftime(date_format)] + ["NA" if v is None else v for v in values])
+        rows += [(s, d, v) for s, v in zip(sites, values)]
+    path.write_text(out.getvalue())
+    return rows
+
+
+def test_two_thousand_files_of_three_layouts_are_one_plan(spark, tmp_path):
+    few, many = tmp_path / "few", tmp_path / "many"
+    few.mkdir(), many.mkdir()
+    want = []
+    for k in range(2000):
+        days = [DAY + timedelta(days=10 * k % 300 + n) for n in range(14)]
+        sites = [f"{k:04}{j:04}" for j in range(1 + k % 3)]
+        layout = [("%Y-%m-%d", False), ("%m/%d/%y", True), ("%d/%m/%y", False)][k % 3]
+        for folder in [many] + ([few] if k < 3 else []):
+            rows = _wide_file(folder / f"f{k:04}.csv", sites, days, *layout)
+        want += rows
+    formats = ("yyyy-MM-dd", "M/d/yy", "d/M/yy")
+    df = climate_folder(spark, str(many), formats=formats)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    nodes = [climate_folder(spark, str(f), formats=formats)._jdf.queryExecution().optimizedPlan().treeString().count("\n") for f in (few, many)]
+    assert nodes[0] == nodes[1]
+
+
+def test_drift_of_names_in_a_folder(spark, tmp_path):
+    days = [DAY + timedelta(days=n) for n in range(20)]
+    want = _wide_file(tmp_path / "a.csv", ["09380000", "09380001"], days, "%Y-%m-%d")
+    want += _wide_file(tmp_path / "b.csv", ["09380002", "09380003"], days, "%m/%d/%y", date="Date")
+    broken = "V1,V2,V3\n" + "\n".join(f"{d},{n},{n + 0.5}" for n, d in enumerate(days))
+    (tmp_path / "c.csv").write_text(broken + "\n")
+    want += [(s, d, n + h) for n, d in enumerate(days) for s, h in (("09380000", 0.0), ("09380001", 0.5))]
+    (tmp_path / "d.csv").write_text("dates,X9380009..\n")
+    (tmp_path / "e.csv").write_text("")
+    df = climate_folder(spark, str(tmp_path), rename={"Date": "dates"}, names_from={"c.csv": "a.csv"})
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    assert climate_folder(spark, str(tmp_path / "e.csv")).collect() == []
+
+
+def test_bad_headers_of_a_folder_are_errors(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("day,X09380000..\n2000-10-01,1\n")
+    with pytest.raises(Exception, match="no column dates in .*a.csv"):
+        climate_folder(spark, str(tmp_path / "a.csv")).collect()
+    (tmp_path / "b.csv").write_text("dates,x,x\n2000-10-01,1,2\n")
+    with pytest.raises(Exception, match="a column name occurs twice in .*b.csv"):
+        climate_folder(spark, str(tmp_path / "b.csv")).collect()
