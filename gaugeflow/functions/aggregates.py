@@ -166,3 +166,35 @@ def long_shares(df: DataFrame, keys: list[str], label: str, value: str) -> DataF
     sums = df.groupBy(*keys, label).agg(F.sum(value).alias("_part"))
     total = F.sum("_part").over(Window.partitionBy(*keys))
     return sums.select(*keys, label, F.try_divide(F.col("_part"), total).alias("share"))
+
+
+def share_map(df: DataFrame, keys: list[str], label: str, value: str, name: str = "shares") -> DataFrame:
+    """Share of each label in the key's total as one map per key, whatever the labels are.
+
+    Sums combine map-side by (key, label), so a map is built from one entry per label. A null label is
+    the entry ``""``; a share of an empty or null total is null.
+    """
+    sums = df.groupBy(*keys, F.coalesce(F.col(label), F.lit("")).alias("_label")).agg(F.sum(value).alias("_part"))
+    entries = F.sort_array(F.collect_list(F.struct("_label", "_part")))
+    whole = sums.groupBy(*keys).agg(entries.alias("_entries"), F.sum("_part").alias("_total"))
+    share = lambda e: F.struct(e["_label"].alias("key"), F.try_divide(e["_part"], F.col("_total")).alias("value"))
+    return whole.select(*keys, F.map_from_entries(F.transform("_entries", share)).alias(name))
+
+
+def bind_map(df: DataFrame, column: str, names: list[str], prefix: str = "", other: str | None = None) -> DataFrame:
+    """Entries of a map column as columns, bound as late as this; the map itself goes.
+
+    A name that a map lacks is null. ``other`` names a column for the sum of all further entries, null where
+    there is none, so that nothing the map holds is lost to a list that does not know it.
+    """
+    columns = [F.try_element_at(column, F.lit(n)).alias(prefix + n) for n in names]
+    if other is not None:
+        rest = F.map_values(F.map_filter(column, lambda k, v: ~k.isin(list(names)) & v.isNotNull()))
+        total = F.aggregate(rest, F.lit(0.0), lambda a, v: a + v.cast("double"))
+        columns.append(F.when(F.size(rest) > 0, total).alias(prefix + other))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != column], *columns)
+
+
+def map_names(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The names that occur in a map column, in order; an error beyond ``most``."""
+    return vocabulary(df.select(F.explode(F.map_keys(column)).alias("_name")), "_name", most)

@@ -12,14 +12,16 @@ from .climate import (
     snow_disappearance,
     two_digit_year_fix,
 )
-from .daily import fill_daily_gaps, interpolated_runs, missing_day_sites, resolve_long_gaps, sample_overlay
+from .daily import fill_daily_columns, fill_daily_gaps, interpolated_runs, missing_day_sites, resolve_long_gaps, sample_overlay
 from .estimate import concentration_surface, daily_from_surface, estimate_errors, fit_surface, held_out_estimates, residual_bridge
 from .explain import mean_abs_shap, shap_dependence, shapley_sampling, site_mean_filter
 from .forest import exact_forest, out_of_bag_residuals, train_test_errors
 from .harmonise import harmonise, model_frame
 from .landscape import (
+    backfill_maps,
     backfill_series,
     basin_attribute,
+    class_maps,
     class_proportions,
     climate_zone_lookup,
     complete_composition,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.columns import drop_sites
 from ..functions.series import SITE, by_site, date_bounds, longest_missing_run, with_longest_run
@@ -48,6 +49,34 @@ def fill_daily_gaps(daily: DataFrame) -> DataFrame:
     )
 
 
+def fill_daily_columns(daily: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Complete calendar per site with several columns interpolated, each between its own known days.
+
+    The same values as ``fill_daily_gaps`` gives for each column alone, from one placement by site: every
+    row carries the known days around it and expands into the days up to the next row. Frames
+    grow from the front in both directions, so a long record costs two sorts and no rescan.
+    """
+    past = by_site().rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(SITE).orderBy(F.col("date").desc())
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("date").alias("d"), F.col(c).alias("v"))) for c in columns}
+    rows = daily.select(
+        SITE,
+        "date",
+        *[F.last(k, ignorenulls=True).over(past).alias(f"_p{n}") for n, k in enumerate(known.values())],
+        *[F.last(k, ignorenulls=True).over(later).alias(f"_n{n}") for n, k in enumerate(known.values())],
+        F.coalesce(F.date_sub(F.lag("date").over(back), 1), F.col("date")).alias("_until"),
+    )
+    days = rows.withColumn("_day", F.explode(F.sequence("date", "_until")))
+
+    def value(n: int) -> Column:
+        p, q = F.col(f"_p{n}"), F.col(f"_n{n}")
+        steps = F.datediff("_day", p["d"])
+        return F.when(steps == 0, p["v"]).otherwise(p["v"] + (q["v"] - p["v"]) * steps / F.datediff(q["d"], p["d"]))
+
+    return days.select(SITE, F.col("_day").alias("date"), *[value(n).alias(c) for n, c in enumerate(columns)])
+
+
 def interpolated_runs(filled: DataFrame) -> DataFrame:
     """Longest run of interpolated days per site; 0 for a complete record."""
     return longest_missing_run(filled, F.col("interp_flag") == "no")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.aggregates import long_shares, pivot_shares, vocabulary
+from ..functions.aggregates import long_shares, pivot_shares, share_map, vocabulary
 from ..functions.columns import strip_decoration
 from ..functions.series import SITE
 
@@ -37,6 +37,31 @@ def class_proportions(
     return pivot_shares(cover, [site, year], label, area, named, prefix, other)
 
 
+def class_maps(parts: Sequence[DataFrame], site: str = SITE, year: str = "year", label: str = "class", area: str = "area", name: str = "shares") -> DataFrame:
+    """Shares of all classes of a (basin, year) as one map, so that a class no list knows stays in every join.
+
+    Columns are bound where they are needed, with ``bind_map``.
+    """
+    return share_map(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), [site, year], label, area, name)
+
+
+def backfill_maps(df: DataFrame, column: str, year: str = "water_year") -> DataFrame:
+    """Each entry of a map column from its year or else the next year that has the entry, per site.
+
+    Runs backwards in time over one value per class: the map so far is kept in the order of the years
+    and an entry of an earlier year replaces that of a later one. A site has one row per year.
+    """
+    back = Window.partitionBy(SITE).orderBy(F.col(year).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    later = F.collect_list(F.coalesce(F.col(column), F.create_map().cast("map<string,double>"))).over(back)
+
+    def newer(held: Column, own: Column) -> Column:
+        known = F.map_filter(own, lambda k, v: v.isNotNull())
+        return F.map_concat(F.map_filter(held, lambda k, v: ~F.map_contains_key(known, k)), known)
+
+    empty = F.create_map().cast("map<string,double>")
+    return df.withColumn("_later", later).withColumn(column, F.aggregate("_later", empty, newer)).drop("_later")
+
+
 def geology_proportions(
     geo: DataFrame, liths: Sequence[str] | None = None, site: str = SITE, label: str = "lith", value: str = "proportion", prefix: str = ""
 ) -> DataFrame:

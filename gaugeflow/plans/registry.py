@@ -9,16 +9,20 @@ so that each filter keeps some rows and drops some.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .. import operators as op
-from ..functions.aggregates import null_counts
+from ..functions.aggregates import bind_map, error_summary, null_counts
+from ..functions.columns import site_year_key, sort_key
 from ..operators.harmonise import CLIMATE_DRIVERS, DRIVER_SETS, rows_per_site
 from ..operators.report import DRIVER_LABELS, flow_condition_counts, gain_histogram
-from ..session import cut_lineage
+from ..session import cut_lineage, new_folder
+from ..sources.readers import SAMPLES, read_many, read_per_site_files, read_table
+from ..sources.writers import write_by_site, write_csv, write_parquet
 from .oracle import with_ctes, wy
 from .views import KEYS, LAND_CLASSES, Views
 
@@ -358,6 +362,58 @@ def climate_files_merge(v: Views) -> DataFrame:
     return op.climate_wide_to_long(merged)
 
 
+_REGION = "cast(regexp_extract(site_no, '(\\d+)', 1) as int) % 3"
+
+
+@query(
+    "site_no:s dates:d value:f6",
+    f"""select case when length(b) < 8 then '0' || b else b end as site_no, d.dates, p.value from (select distinct {_REGION} as g, dates from precip) d
+    join (select distinct {_REGION} as g, site_no as b from precip) s on s.g = d.g left join precip p on p.dates = d.dates and p.site_no = s.b""",
+)
+def climate_folder(v: Views) -> DataFrame:
+    """Wide CSV files of three regions, each with its own sites, date format and drift, from one folder."""
+    v.fan_out("discount")
+    path = new_folder(v.spark)
+    for region, (form, date) in enumerate([("yyyy-MM-dd", "dates"), ("M/d/yy", "Date"), ("dd.MM.yyyy", "dates")]):
+        wide = v.wide(v.precip.where(v.number() % 3 == region))
+        wide = wide.withColumn("dates", F.date_format("dates", form)).withColumnRenamed("dates", date)
+        write_csv(wide, f"{path}/region{region}")
+    formats = ("yyyy-MM-dd", "M/d/yy", "dd.MM.yyyy")
+    return op.two_digit_year_fix(op.climate_folder(v.spark, f"{path}/*", formats=formats, rename={"Date": "dates"}))
+
+
+_ID = "regexp_extract(site_no, '(\\d+)', 1)"
+
+
+@query(
+    "kind:s site_no:s date:d value:f4",
+    f"""select kind, '0' || {_ID} as site_no, date, value from (select 'sample' as kind, site_no, sample_dt as date, result_va as value from samples
+    union all select 'daily', site_no, date, q from daily_q) union all
+    select 'site file' as kind, {_ID} as site_no, date, q as value from daily_q union all
+    select 'bucket' as kind, {_ID} as site_no, date, q as value from daily_q""",
+)
+def landed_files(v: Views) -> DataFrame:
+    """Samples and daily values written as files (whole, by site, by bucket of sites) and read back."""
+    v.fan_out("q", "a_ratio")
+    path, own = new_folder(v.spark), v.number().cast("string")
+    daily = v.daily_q.withColumn("site_no", own)
+    write_csv(v.samples.withColumn("site_no", own), f"{path}/samples")
+    write_parquet(daily, f"{path}/daily")
+    write_by_site(daily, f"{path}/sites", fmt="csv")
+    write_by_site(daily, f"{path}/buckets", buckets=8, fmt="csv")
+    samples = read_table(v.spark, f"{path}/samples", SAMPLES, fmt="csv")
+    whole = read_table(v.spark, f"{path}/daily")
+    by_site = read_per_site_files(v.spark, f"{path}/sites/*/*.csv", r"/site_no=([^/]+)/[^/]+$", "date DATE, q DOUBLE")
+    buckets = read_many(v.spark, [f"{path}/buckets/*/*.csv"])
+    parts = [
+        samples.select(F.lit("sample").alias("kind"), "site_no", F.col("sample_dt").alias("date"), F.col("result_va").alias("value")),
+        whole.select(F.lit("daily").alias("kind"), "site_no", "date", F.col("q").alias("value")),
+        by_site.select(F.lit("site file").alias("kind"), "site_no", "date", F.col("q").alias("value")),
+        buckets.select(F.lit("bucket").alias("kind"), "site_no", F.to_date("date").alias("date"), F.col("q").cast("double").alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("site_no:s water_year:i annual_evap_mm:f4", "select * from evap")
 def annual_evaporation(v: Views) -> DataFrame:
     return op.annual_evaporation(v.et)
@@ -423,6 +479,32 @@ def geology_shares(v: Views) -> DataFrame:
     return op.geology_proportions(v.geology)
 
 
+@query(
+    "site_no:s year:i class:s share:f6",
+    """select q.site_no, q.year, c.class, first_value(area / total ignore nulls) over (partition by q.site_no, c.class order by q.year rows between current row and unbounded following) as share
+    from q5 q join (select distinct class from land_cover) c on true
+    left join (select *, sum(area) over (partition by site_no, year) as total from land_cover) l on l.site_no = q.site_no and l.year = q.year and l.class = c.class
+    qualify share is not null""",
+)
+def cover_of_site_years(v: Views) -> DataFrame:
+    """Every class of every site-year of the low-flow table, carried through the panel join as one map and filled from later years."""
+    v.fan_out("q")
+    cover = op.class_maps([v.land_cover]).withColumnRenamed("year", "water_year")
+    facts = v.q5.withColumnRenamed("year", "water_year").withColumn("bf_prop", F.lit(None).cast("double"))
+    panel = op.backfill_maps(op.harmonise(facts, annual=[cover]), "shares")
+    return panel.select("site_no", F.col("water_year").alias("year"), F.explode("shares").alias("class", "share"))
+
+
+@query(
+    "site_no:s year:i " + " ".join(f"{c}:f6" for c in LAND_CLASSES[:2]) + " other:f6",
+    f"""select site_no, year, {_CLASS_SHARES.split(", sum")[0]}, sum{_CLASS_SHARES.split(", sum")[1]},
+    sum(area) filter (where class is null or class not in ({", ".join(repr(c) for c in LAND_CLASSES[:2])})) / sum(area) as other from land_cover group by 1, 2""",
+)
+def cover_bound_late(v: Views) -> DataFrame:
+    """Two classes as columns bound from the map; all that the list does not name is in ``other``."""
+    return bind_map(op.class_maps([v.land_cover]), "shares", LAND_CLASSES[:2], other="other")
+
+
 _LITHS = ", ".join(f"sum(proportion) filter (where lith = '{c}') as \"{c}\"" for c in LAND_CLASSES)
 _LITH_SUM = " + ".join(f'coalesce("{c}", 0)' for c in LAND_CLASSES)
 
@@ -640,6 +722,28 @@ def residual_class_counts(v: Views) -> DataFrame:
     return op.residual_class_counts(v.fan_out("q").classes)
 
 
+@query(
+    "class_a:s place:i n:i rmse:f4 relative_rmse:f6 r2:f6",
+    """select class_a, case class_a when 'good prediction' then 1 when 'poor prediction' then 2 end as place, count(*) as n,
+    sqrt(avg(pow(q5_norm - pred_b, 2))) as rmse, sqrt(avg(pow(q5_norm - pred_b, 2))) / avg(q5_norm) as relative_rmse, regr_r2(pred_b, q5_norm) as r2
+    from classes group by 1, 2""",
+)
+def errors_by_class(v: Views) -> DataFrame:
+    """Error summary of the second model in each class of the first, with the place of the class in display order."""
+    rows = v.fan_out("q").classes.withColumn("place", sort_key("class_a", ["good prediction", "poor prediction"]))
+    return rows.groupBy("class_a", "place").agg(*error_summary("q5_norm", "pred_b"))
+
+
+@query(
+    "site_year:s place:i residual_a:f4",
+    """select site_no || '_' || water_year as site_year, case pos_neg when 'positive' then 1 when 'negative' then 2 end as place, residual_a from classes""",
+)
+def keyed_residuals(v: Views) -> DataFrame:
+    """Residuals under the composite key of site and year, with the place of their sign in display order."""
+    rows = v.fan_out("q").classes
+    return rows.select(site_year_key().alias("site_year"), sort_key("pos_neg", ["positive", "negative"]).alias("place"), "residual_a")
+
+
 @query(
     "model:s mean_abs_residual:f4",
     """select 'a' as model, avg(abs(residual_a)) filter (where class_a = 'poor prediction') as mean_abs_residual from classes

@@ -206,8 +206,7 @@ class Views:
     @property
     def est_filled(self) -> DataFrame:
         """Estimate on the whole calendar of a site: discharge and concentration between known days."""
-        conc = op.fill_daily_gaps(self.days.select("site_no", "date", F.col("ratio").alias("q")))
-        return self.filled_q.join(conc.select("site_no", "date", F.col("filled_q").alias("gen_conc")), ["site_no", "date"])
+        return op.fill_daily_columns(self.daily_est, ["q", "gen_conc"])
 
     def annual(self, members: DataFrame, min_years: int) -> DataFrame:
         """Annual baseflow over complete water years of the filled estimate."""

@@ -50,6 +50,11 @@ def task_count(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/gaugeflow-tables/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -57,6 +62,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     survives lost executors, is pruned by column in each pass, and gives the planner its true
     size, so that it broadcasts what is small and only that.
     """
-    path = f"{shared_folder(df.sparkSession)}/gaugeflow-tables/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import collect, day
 from gaugeflow import operators as op
+from gaugeflow.functions.aggregates import bind_map, map_names
 
 DAILY = "site_no string, date date, q double"
 LONG = "site_no string, dates date, value double"
@@ -202,3 +203,35 @@ def test_sentinel_and_backfill(make):
     assert [r["n"] for r in rows] == [None, 4, None, 5]
     rows = collect(op.backfill_series(df, ["v"]), "site_no", "water_year")
     assert [r["v"] for r in rows] == [2.0, 2.0, None, None]
+
+
+def test_a_class_no_list_knows_survives_to_the_panel(make):
+    cover = make(
+        [("a", 2000, "x", 1.0), ("a", 2000, "new", 3.0), ("a", 2002, "x", 2.0), ("a", 2002, "y", 2.0), ("b", 2001, None, 4.0), ("b", 2002, "x", 0.0)],
+        "site_no string, year int, class string, area double",
+    )
+    facts = make([(s, y, None) for s in "ab" for y in range(2000, 2004)], "site_no string, water_year int, bf_prop double")
+    maps = op.class_maps([cover]).withColumnRenamed("year", "water_year")
+    panel = op.harmonise(facts, annual=[maps])
+    rows = {(r["site_no"], r["water_year"]): r["shares"] for r in panel.collect()}
+    assert rows[("a", 2000)] == {"new": 0.75, "x": 0.25} and rows[("b", 2001)] == {"": 1.0}
+    assert rows[("b", 2002)] == {"x": None} and rows[("a", 2003)] is None
+    filled = op.backfill_maps(panel, "shares")
+    rows = {(r["site_no"], r["water_year"]): r["shares"] for r in filled.collect()}
+    assert rows[("a", 2000)] == {"new": 0.75, "x": 0.25, "y": 0.5} and rows[("a", 2001)] == {"x": 0.5, "y": 0.5}
+    assert rows[("a", 2003)] == {} and rows[("b", 2000)] == {"": 1.0} and rows[("b", 2002)] == {}
+    bound = {(r["site_no"], r["water_year"]): (r["c_x"], r["c_other"]) for r in bind_map(filled, "shares", ["x"], "c_", other="other").collect()}
+    assert bound[("a", 2000)] == (0.25, 1.25) and bound[("a", 2003)] == (None, None) and bound[("b", 2001)] == (None, 1.0)
+    assert map_names(filled, "shares") == ["", "new", "x", "y"]
+    with pytest.raises(ValueError, match="more than 2"):
+        map_names(filled, "shares", most=2)
+    assert op.class_maps([cover.limit(0)]).collect() == []
+
+
+def test_several_daily_columns_are_filled_like_each_alone(make):
+    rows = [("a", day(0), None, 1.0), ("a", day(3), 3.0, None), ("a", day(4), None, 9.0), ("a", day(9), 15.0, None), ("a", day(11), None, 2.0), ("b", day(5), None, None)]
+    df = make(rows, "site_no string, date date, q double, c double")
+    both = {(r["site_no"], r["date"]): (r["q"], r["c"]) for r in op.fill_daily_columns(df, ["q", "c"]).collect()}
+    for place, name in enumerate("qc"):
+        alone = op.fill_daily_gaps(df.select("site_no", "date", df[name].alias("q")))
+        assert {(r["site_no"], r["date"]): r["filled_q"] for r in alone.collect()} == {k: v[place] for k, v in both.items()}
