@@ -10,7 +10,8 @@ win the tie. The best of all blocks are merged per query, at most k from each.
 
 Vectors that are null, or hold a null or non-finite component, take no part; nor do rows whose vec_id is
 null. Vectors meet only those of the same length. A query row is not its own candidate, other rows with
-the same vec_id are; repeated query rows have results each. Scores beyond 64 bits fail the job. An empty
+the same vec_id are; repeated query rows have results each. Components and scores beyond 64 bits take the
+largest or smallest 64-bit number; blocks where they could occur are computed in whole numbers of any size. An empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -27,9 +28,17 @@ from gaugeflow.llm.text import cut_lineage, table
 
 CANDIDATES, QUERIES = 4096, 1024  # rows of a block
 FIRST_DEPTH, DEEPER = 8, 8
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
+def within_64_bits(numbers):
+    """Whole numbers of any size cut to 64 bits; 64-bit ones stay as they are."""
+    if getattr(numbers, "dtype", None) == np.int64:
+        return numbers
+    return np.array([max(LOWEST, min(HIGHEST, int(n))) for n in np.atleast_1d(numbers)], np.int64)
+
+
 class Lists:
     """A block of candidates with a sorted list for every dimension."""
 
@@ -57,12 +66,12 @@ class Lists:
             seen |= met
             new = new[self.rows[new] != row]
             places = np.concatenate([places, new])
-            scores = np.concatenate([scores, self.vectors[new] @ query])
+            scores = np.concatenate([scores, within_64_bits(self.vectors[new] @ query)])
             if len(places) > k:
-                kept = np.lexsort((places, -scores))[:k]
+                kept = np.lexsort((places, ~scores))[:k]  # ~x falls as x rises, the lowest number included
                 places, scores = places[kept], scores[kept]
             bound = self.values[end - 1, up] @ query[up] + self.values[n - end, down] @ query[down]
-            if len(places) == k and bound < scores.min():
+            if len(places) == k and within_64_bits(bound).max() < scores.min():
                 break
             start, depth = end, depth * DEEPER
         return places, scores
@@ -75,9 +84,9 @@ def _search(key, queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
         matrix = lambda t: np.asarray(t.column("vector").combine_chunks().flatten(), np.int64).reshape(t.num_rows, -1)
         number = lambda t, c: t.column(c).to_numpy()
         asked, held = matrix(queries), matrix(candidates)
-        limit = float(np.abs(asked).max(initial=0)) * float(np.abs(held).max(initial=0)) * max(asked.shape[1], 1)
-        if limit >= 2**63:
-            raise OverflowError("scores beyond 64 bits")
+        largest = lambda m: max(-int(m.min(initial=0)), int(m.max(initial=0)))
+        if largest(asked) * largest(held) * max(asked.shape[1], 1) > HIGHEST:
+            asked, held = asked.astype(object), held.astype(object)
         lists = Lists(number(candidates, "vec_id"), number(candidates, "row"), held)
         for query, row, query_id in zip(asked, number(queries, "row").tolist(), number(queries, "vec_id").tolist()):
             places, scores = lists.best(query, row, k)
