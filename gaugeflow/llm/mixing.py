@@ -13,7 +13,8 @@ about as many parts as rows in a part. No source, however large, meets in one ta
 Nulls and ties: a null text has size 0, a null source is a source of its own (last), a null doc_id is
 carried through. Repeated rows are separate documents with separate places; where one doc_id comes
 with several sizes the smaller has the earlier place. Documents without a word are returned with
-``taken`` 0. An empty table gives no rows. Other columns are ignored.
+``taken`` 0. An empty table gives no rows. Other columns are ignored or, by ``mixed_texts``, passed through whatever
+their names.
 """
 
 from __future__ import annotations
@@ -195,12 +196,13 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
 def mixed_texts(documents: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them, with all columns; a document cut by a target's end keeps its first words."""
-    numbered = documents.withColumn("_row", F.monotonically_increasing_id())
-    taken = mixed_documents(numbered.select("_row", "doc_id", "source", "text"), row="_row", **options)
+    numbered = documents.select(F.struct(*documents.columns).alias("_document"), F.monotonically_increasing_id().alias("_row"))
+    field = lambda c: F.col("_document").getField(c)
+    taken = mixed_documents(numbered.select("_row", *[field(c).alias(c) for c in ("doc_id", "source", "text")]), row="_row", **options)
     taken = taken.filter("taken > 0").select(F.col("row").alias("_row"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size"))))
     rows = numbered.join(taken.withColumn("_copy", copy), "_row")
     rows = rows.withColumn("_words", F.least(F.col("_size"), F.col("_taken") - F.col("_copy") * F.col("_size")))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
-    text = F.when(F.col("_words") < F.col("_size"), words).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*documents.columns)
+    words = F.array_join(F.slice(F.regexp_extract_all(field("text"), F.lit(WORD), F.lit(0)), 1, F.col("_words").cast("int")), " ")
+    text = F.when(F.col("_words") < F.col("_size"), words).otherwise(field("text"))
+    return rows.select(*[(text if c == "text" else field(c)).alias(c) for c in documents.columns])

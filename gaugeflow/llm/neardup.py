@@ -305,11 +305,19 @@ def near_duplicates(documents: DataFrame, words: int = 2) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame, words: int = 2) -> DataFrame:
-    """One document of each group, with all columns; documents without words or without doc_id stay."""
-    found = near_duplicates(documents, words)
-    # Rows whose doc_id is repeated count once.
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    """One document of each group, with all columns whatever their names: the one with the smallest doc_id.
+
+    Rows are told apart by number, so of rows with one doc_id, or without any, one of a group stays as well: a null
+    doc_id comes after all others and equal ones are taken in the order of the stored table. Documents without words stay.
+    """
+    held = documents.select(F.struct(*documents.columns).alias("_document"), F.monotonically_increasing_id().alias("_row"))
+    field = lambda c: F.col("_document").getField(c)
+    found = near_duplicates(held.select(F.col("_row").alias("doc_id"), field("text").alias("text")), words)
+    grouped = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    ids = held.select("_row", field("doc_id").alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
+    stays = ids.join(grouped, "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_row"))
+    return held.join(stays.select("_row"), "_row", "left_semi").select(*[field(c).alias(c) for c in documents.columns])
 
 
 def document_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
