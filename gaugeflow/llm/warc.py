@@ -155,8 +155,10 @@ def write_archive(df: DataFrame, path: str, id_column: str = "page_id", url: str
         .groupBy("digest")
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "record")).record.alias("original"))
     )
-    chunks = chunk_table(df, id_column, url, payload, chunk_bytes).join(first, "digest", "left")
-    revisit = F.col("original").isNotNull() & (F.col("original") != F.col("record"))
+    # Copies meet by digest without their payload; payloads go by record, of which there is one each.
+    again = seen.select("record", "digest", "bytes").filter(F.col("bytes") >= revisit_bytes).join(first, "digest").filter("original <> record")
+    chunks = chunk_table(df, id_column, url, payload, chunk_bytes).join(again.select("record", "original"), "record", "left")
+    revisit = F.col("original").isNotNull()
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(END))
     head = F.concat(
         F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END + END)
