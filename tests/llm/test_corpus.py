@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,39 @@ def test_pii_selects_numbers_in_formats_without_a_fixed_one(spark):
     assert {t: [t[s.start : s.end] for s in found[k].number] for k, t in enumerate(asked)} == asked
 
 
+def test_pii_overlaps_and_places_equal_plain_versions(spark):
+    rnd = random.Random(15)
+    cases = []
+    for _ in range(200):
+        spans = list({(a, a + rnd.randint(1, 9)) for a in (rnd.randrange(60) for _ in range(rnd.randint(1, 40)))})
+        rnd.shuffle(spans)
+        cases.append((sorted(rnd.sample(range(70), 20)), [(7 + a, 7 + b) for a, b in spans]))
+    df = spark.createDataFrame(cases, "places array<int>, spans array<struct<start:int,end:int>>")
+    got = df.select("places", "spans", pii.best_first(F.col("spans")).alias("best"), pii.inside_spans(F.col("places"), F.col("spans")).alias("inside")).collect()
+    assert len(got) == 200
+    for r in got:
+        taken = []
+        for a, b in r.spans:
+            if all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+        assert [tuple(x) for x in r.best] == sorted(taken)
+        assert r.inside == [any(a <= p < b for a, b in r.spans) for p in r.places]
+
+
+def test_pii_of_very_long_lists_of_numbers(spark):
+    rnd = random.Random(16)
+    ips = " ".join(f"10.{rnd.randrange(256)}.{rnd.randrange(256)}.7" for _ in range(85_000))
+    numbers = " ".join(str(rnd.randrange(10**6, 10**7)) for _ in range(16_000))
+    selector = pii.fit(docs(spark, [(k, f"call +49 30 12{k:06} or 10.2.3.{k} or 12 {k}") for k in range(200)]))
+    selector.thresholds[False] = -1.0  # every proposal counts
+    start = time.time()
+    found = by_id(pii.spans(docs(spark, [(1, ips), (2, numbers)]).select("doc_id", "text"), selector))
+    assert len(ips) > 1_000_000 and len(found[1].ip) == 85_000 and not found[1].number
+    covered = sum(s.end - s.start for s in found[2].number)
+    # Each number is in a span, joined to others or alone.
+    assert covered >= 7 * 16_000 and time.time() - start < 120
+
+
 def test_near_duplicates(spark, awkward):
     rnd = random.Random(8)
     words = [f"w{k}" for k in range(4000)]
@@ -211,6 +245,17 @@ def test_near_duplicates(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_one_of_a_group_stays_with_repeated_and_missing_ids(spark):
+    rows = [(5, "one and the same text"), (1, "one and the same text"), (1, "one and the same text"), (None, "one and the same text"), (None, "one and the same text")]
+    rows += [(1, "quite another text here"), (None, "alone without any id"), (None, "twice without an id"), (None, "twice without an id"), (8, None), (8, ""), (None, None)]
+    df = docs(spark, rows).withColumns({c: F.lit(c) for c in ("_row", "_document", "node", "_id", "component_id")})
+    kept = neardup.kept_documents(df)
+    assert kept.columns == df.columns and {r._row for r in kept.collect()} == {"_row"}
+    want = [(1, "one and the same text"), (1, "quite another text here"), (None, "alone without any id"), (None, "twice without an id"), (8, None), (8, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert neardup.kept_documents(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
@@ -282,6 +327,16 @@ def test_mixing(spark):
     assert [r.taken for r in mixing.mixed_documents(docs(spark, [(1, ""), (2, None)])).collect()] == [0, 0]
 
 
+def test_mixed_texts_with_clashing_names(spark):
+    rows = [(k, " ".join(f"w{k}" for _ in range(30)), None, "ab"[k % 2]) for k in range(40)]
+    plain = docs(spark, rows)
+    clashing = plain.withColumns({c: F.lit(c) for c in ("_row", "_size", "_taken", "_copy", "_words", "_document", "row", "size")})
+    want = sorted((r.doc_id, r.text) for r in mixing.mixed_texts(plain).collect())
+    found = mixing.mixed_texts(clashing)
+    assert found.columns == clashing.columns and sorted((r.doc_id, r.text) for r in found.collect()) == want and len(want) > 40
+    assert {tuple(r[c] for c in ("_row", "_size", "_words", "size")) for r in found.collect()} == {("_row", "_size", "_words", "size")}
+
+
 def test_schedule_is_even_in_every_stretch(spark):
     sources = spark.createDataFrame([(0, 500), (1, 300), (2, 199), (3, 1), (4, 0)], "source_no int, slots long")
     order = [r.source_no for r in mixing.slot_schedule(sources, 1000).orderBy("slot").collect()]

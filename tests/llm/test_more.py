@@ -110,6 +110,20 @@ def test_top_k(spark, monkeypatch, scale):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_vectors_beyond_64_bits(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 4)
+    vectors = [(0, [1e300, 1.0]), (1, [-1e300, 1.0]), (2, [1e300, -2.0]), (3, [2.0**40, 1.0]), (4, [1.0, 1.0]), (20, [1.0, 0.0]), (5, [0.0, 0.0]), (6, [-3.0, 2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    held = [(i, [max(-(1 << 63), min((1 << 63) - 1, int(np.floor(64 * x)))) for x in v]) for i, v in vectors]
+    want = []
+    for i, q in held:
+        if i % 20 == 0:
+            score = lambda v: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v))))
+            best = sorted((-score(v), j) for j, v in held if j != i)[:4]
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=4).collect())) == sorted(want)
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
 
