@@ -316,8 +316,9 @@ def kept_documents(documents: DataFrame, words: int = 2) -> DataFrame:
     grouped = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     ids = held.select("_row", field("doc_id").alias("_id"))
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
-    stays = ids.join(grouped, "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_row"))
-    return held.join(stays.select("_row"), "_row", "left_semi").select(*[field(c).alias(c) for c in documents.columns])
+    first = ids.join(grouped, "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    gone = grouped.join(first, "_group").filter("_row <> _first").select("_row")
+    return held.join(gone, "_row", "left_anti").select(*[field(c).alias(c) for c in documents.columns])
 
 
 def document_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
