@@ -312,9 +312,11 @@ def kept_documents(documents: DataFrame, words: int = 2) -> DataFrame:
     """
     held = documents.select(F.struct(*documents.columns).alias("_document"), F.monotonically_increasing_id().alias("_row"))
     field = lambda c: F.col("_document").getField(c)
-    found = near_duplicates(held.select(F.col("_row").alias("doc_id"), field("text").alias("text")), words)
+    # The same numbers without the other columns, so that scans for them read no more than they need.
+    number = F.monotonically_increasing_id()
+    found = near_duplicates(documents.select(number.alias("doc_id"), "text"), words)
     grouped = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    ids = held.select("_row", field("doc_id").alias("_id"))
+    ids = documents.select(number.alias("_row"), F.col("doc_id").alias("_id"))
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
     first = ids.join(grouped, "_row").groupBy("_group").agg(F.min(order)["_row"].alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     gone = grouped.join(first, "_group").filter("_row <> _first").select("_row")
