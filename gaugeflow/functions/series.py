@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SITE = "site_no"
+DEAL = "_deal"
+DEALS = 32  # tasks that the rows of one site are dealt to where they meet its one row
 
 
 def by_site(date: str = "date") -> WindowSpec:
@@ -31,6 +33,16 @@ def date_bounds(df: DataFrame, date: str, first: str, last: str) -> DataFrame:
     return df.groupBy(SITE).agg(F.min(date).alias(first), F.max(date).alias(last))
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with the number of their deal, a hash of columns that vary inside a site."""
+    return rows.withColumn(DEAL, F.pmod(F.xxhash64(*by), F.lit(DEALS)).cast("int"))
+
+
+def for_dealt(sites: DataFrame) -> DataFrame:
+    """One row per site, repeated for every deal; joined on (site_no, deal) it meets every row of the site once."""
+    return sites.withColumn(DEAL, F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+
+
 def gap_days(date: str) -> Column:
     """Days since the previous row of the site, null on its first row."""
     return F.datediff(F.col(date), F.lag(date).over(by_site(date)))

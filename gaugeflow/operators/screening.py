@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from ..functions.aggregates import bounded_rank
 from ..functions.columns import water_year
 from ..functions.quantiles import quantile
-from ..functions.series import SITE, by_site, date_bounds, gap_days, longest_missing_run, segment_id
+from ..functions.series import DEAL, SITE, by_site, date_bounds, dealt, for_dealt, gap_days, longest_missing_run, segment_id
 
 
 def site_screen_coavailable(
@@ -166,7 +166,9 @@ def final_record_filter(
     Inputs prepared apart (records with one break) are added with ``more_*``. Samples above mean
     plus ``sd_k`` standard deviations of their site go; the date crop of samples is deliberately
     not applied, only this one. Sites left with fewer than ``min_obs`` samples or ``min_years``
-    distinct water years go from both tables. Returns (samples, daily).
+    distinct water years go from both tables. Returns (samples, daily). Where rows meet their site's
+    one row they are dealt to many tasks by day and value, so a site with most of the rows is spread,
+    and the samples move once for both meetings.
     """
     for extra in more_samples:
         samples = samples.unionByName(extra, allowMissingColumns=True)
@@ -177,17 +179,20 @@ def final_record_filter(
         F.max("sample_dt").alias("_last"),
         (F.avg("result_va") + sd_k * F.stddev_samp("result_va")).alias("_cutoff"),
     )
-    usual = samples.join(sites, SITE).where(F.col("result_va") <= F.col("_cutoff"))
-    long_enough = usual.groupBy(SITE).agg(
-        F.first("_first").alias("_first"),
-        F.first("_last").alias("_last"),
-        F.first("_cutoff").alias("_cutoff"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count_distinct(water_year("sample_dt")).alias("_years"),
-    ).where((F.col("_n") >= min_obs) & (F.col("_years") >= min_years))
-    kept_samples = samples.join(long_enough, SITE).where(F.col("result_va") <= F.col("_cutoff"))
+    met = [SITE, DEAL]
+    usual = dealt(samples, "sample_dt", "result_va").join(for_dealt(sites), met).where(F.col("result_va") <= F.col("_cutoff"))
+    # A site has as many cells as years, so distinct years need no rows of their own.
+    cells = usual.groupBy(SITE, water_year("sample_dt").alias("_year")).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first"), F.first("_last").alias("_last")
+    )
+    long_enough = (
+        cells.groupBy(SITE)
+        .agg(F.sum("_n").alias("_n"), F.count("_year").alias("_years"), F.first("_first").alias("_first"), F.first("_last").alias("_last"))
+        .where((F.col("_n") >= min_obs) & (F.col("_years") >= min_years))
+    )
+    kept_samples = usual.join(for_dealt(long_enough.select(SITE)), met, "left_semi")
     in_window = F.col("date").between(F.date_sub("_first", _lead_days(lead_years, True)), F.col("_last"))
-    kept_daily = daily.join(long_enough, SITE).where(in_window)
+    kept_daily = dealt(daily, "date").join(for_dealt(long_enough), met).where(in_window)
     return kept_samples.select(*samples.columns), kept_daily.select(*daily.columns)
 
 

@@ -1,3 +1,5 @@
+import random
+import statistics
 from datetime import date, timedelta
 
 import pytest
@@ -100,6 +102,38 @@ def test_final_filter_removes_outliers_then_short_sites(make):
     assert sorted(r["date"] for r in flow.collect()) == [day(-3653), day(0)]
 
 
+def test_final_filter_spreads_a_site_with_most_rows(spark, make):
+    rng = random.Random(4)
+    rows = [("hot", day(rng.randrange(9000)), rng.choice([None, 1.0, 2.0, rng.random(), 400.0])) for _ in range(4000)]
+    rows += [(f"s{i % 9}", day(rng.randrange(9000)), rng.random()) for i in range(900)] + [("same", day(5), 1.0)] * 80 + [(None, day(1), 1.0)]
+    flow = [(s, day(rng.randrange(-5000, 12000)), 1.0) for s in ("hot", "s1", "same", "gone") for _ in range(300)]
+    # The rules once more, row by row.
+    sites, want = {}, []
+    for r in rows:
+        sites.setdefault(r[0], []).append(r)
+    span = {}
+    for site, own in sites.items():
+        values = [v for _, _, v in own if v is not None]
+        cutoff = statistics.mean(values) + 2 * statistics.stdev(values) if len(values) > 1 else float("-inf")
+        kept = [r for r in own if r[2] is not None and r[2] <= cutoff]
+        if site is not None and len(kept) >= 60 and len({d.year + (d.month >= 10) for _, d, _ in kept}) >= 2:
+            want += kept
+            span[site] = (min(d for _, d, _ in own) - timedelta(days=3653), max(d for _, d, _ in own))
+    assert {"hot", "s1"} <= set(span) and "same" not in span
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        samples, daily = op.final_record_filter(make(rows, SAMPLES), make(flow, DAILY), sd_k=2, min_years=2)
+        assert sorted(map(tuple, samples.collect())) == sorted(want)
+        assert sorted(map(tuple, daily.collect())) == sorted(r for r in flow if r[0] in span and span[r[0]][0] <= r[1] <= span[r[0]][1])
+        tasks = samples.where("site_no = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in tasks) < 0.5 * sum(r["count"] for r in tasks)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_extra_inputs_are_added_by_name(make):
     a, b = make(series("a", range(3)), SAMPLES), make([("b", day(0), 2.0, "x")], SAMPLES + ", note string")
     daily = make(series("a", [0]) + series("b", [0]), DAILY)
