@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .columns import as_column
 
 
-def with_nulls(agg: Column, value: str | Column, null_policy: str = "skip") -> Column:
-    """``skip`` ignores nulls; ``propagate`` gives null as soon as one input value is null."""
+def with_nulls(agg: Column, value: str | Column, null_policy: str = "skip", over: WindowSpec | None = None) -> Column:
+    """``skip`` ignores nulls; ``propagate`` gives null as soon as one input value is null. ``over``: a whole window partition."""
+    placed = (lambda c: c) if over is None else (lambda c: c.over(over))
     if null_policy == "skip":
-        return agg
+        return placed(agg)
     if null_policy != "propagate":
         raise ValueError(f"null_policy must be 'skip' or 'propagate', not {null_policy!r}")
-    return F.when(F.count(as_column(value)) == F.count(F.lit(1)), agg)
+    return F.when(placed(F.count(as_column(value))) == placed(F.count(F.lit(1))), placed(agg))
 
 
 def linear_fit(y: str, x: str) -> list[Column]:

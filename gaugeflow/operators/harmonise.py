@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.aggregates import with_nulls
 from ..functions.columns import drop_sites, to_double
 from ..functions.series import SITE
 from .landscape import backfill_series
@@ -39,6 +40,7 @@ def harmonise(
     annual: Sequence[DataFrame] = (),
     static: Sequence[DataFrame] = (),
     backfill: Sequence[str] = (),
+    null_policy: str = "skip",
 ) -> DataFrame:
     """Site-year facts left-joined to annual tables and to site attributes.
 
@@ -47,11 +49,12 @@ def harmonise(
     tables go first and share one placement by (site, year); the mean and the attributes share the
     one by site. Broadcasting attributes is left to the planner, which broadcasts those it knows to be small and no others.
     Columns named in ``backfill`` take, where null, the value of the site's next year that has one.
+    With ``null_policy='propagate'`` a year without baseflow leaves its site without a mean.
     """
     panel = facts
     for table in annual:
         panel = panel.join(table, [SITE, "water_year"], "left")
-    panel = panel.withColumn("mean_bf", F.avg("bf_prop").over(Window.partitionBy(SITE)))
+    panel = panel.withColumn("mean_bf", with_nulls(F.avg("bf_prop"), "bf_prop", null_policy, Window.partitionBy(SITE)))
     if backfill:
         panel = backfill_series(panel, backfill)
     for table in static:

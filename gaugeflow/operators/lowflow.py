@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -47,23 +47,24 @@ def in_range_sites(df: DataFrame, flags: DataFrame) -> DataFrame:
     return df.join(flags.where(F.col("flag") == "flag"), SITE, "left_anti")
 
 
-def low_flow_q5(daily: DataFrame, months: tuple[int, int] = (8, 10), q: float = 0.05) -> DataFrame:
+def low_flow_q5(daily: DataFrame, months: tuple[int, int] = (8, 10), q: float = 0.05, null_policy: str = "skip") -> DataFrame:
     """Low quantile of discharge over a season of each calendar year, and its min-max score.
 
     ``daily`` holds complete water years. A record that starts on 1 October gets its first value
-    from October alone, as calendar year and water year differ there.
+    from October alone, as calendar year and water year differ there. With ``propagate`` a day without
+    discharge leaves its season without a value, and such a season its site without scores.
     """
     annual = (
         daily.where(month_between("date", months))
         .groupBy(SITE, F.year("date").alias("year"))
-        .agg(quantile("q", q).alias("q5"))
+        .agg(with_nulls(quantile("q", q), "q", null_policy).alias("q5"))
     )
-    return annual.withColumn("norm_q5", _min_max("q5"))
+    return annual.withColumn("norm_q5", _min_max("q5", null_policy))
 
 
-def _min_max(column: str):
+def _min_max(column: str, null_policy: str = "skip") -> Column:
     site = Window.partitionBy(SITE)
-    low, high = F.min(column).over(site), F.max(column).over(site)
+    low, high = (with_nulls(end(column), column, null_policy, site) for end in (F.min, F.max))
     return F.try_divide(F.col(column) - low, high - low)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.aggregates import bounded_rank
+from ..functions.aggregates import bounded_rank, with_nulls
 from ..functions.columns import water_year
 from ..functions.quantiles import quantile
 from ..functions.series import DEAL, SITE, by_site, date_bounds, dealt, for_dealt, gap_days, longest_missing_run, segment_id
@@ -196,12 +196,12 @@ def final_record_filter(
     return kept_samples.select(*samples.columns), kept_daily.select(*daily.columns)
 
 
-def record_summary(samples: DataFrame, daily: DataFrame) -> DataFrame:
+def record_summary(samples: DataFrame, daily: DataFrame, null_policy: str = "skip") -> DataFrame:
     """First and last sample, years of record, median discharge, display rank by first date."""
     spans = date_bounds(samples, "sample_dt", "min_date", "max_date").withColumn(
         "num_years", F.datediff("max_date", "min_date") / 7 / 52.25
     )
-    flow = daily.groupBy(SITE).agg(quantile("q", 0.5).alias("median_q"))
+    flow = daily.groupBy(SITE).agg(with_nulls(quantile("q", 0.5), "q", null_policy).alias("median_q"))
     summary = spans.join(flow, SITE).withColumn("ln_median_q", F.when(F.col("median_q") > 0, F.ln("median_q")))
     return bounded_rank(summary, "min_date").select(
         SITE, "min_date", "max_date", "num_years", "median_q", "ln_median_q", "display_rank"

@@ -248,6 +248,19 @@ def low_flow_q5(v: Views) -> DataFrame:
     return v.q5
 
 
+@query(
+    "site_no:s year:i q5:f4 norm_q5:f6",
+    """select site_no, year, q5, case when count(*) over s = count(q5) over s then (q5 - min(q5) over s) / nullif(max(q5) over s - min(q5) over s, 0) end as norm_q5
+    from (select site_no, year(date) as year, case when count(*) = count(m) then quantile_cont(m, 0.05) end as q5
+        from (select site_no, date, case when q > 1 then q end as m from daily_q) where month(date) between 8 and 10 group by 1, 2)
+    window s as (partition by site_no)""",
+)
+def low_flow_q5_whole_seasons(v: Views) -> DataFrame:
+    """A day of one unit or less counts as not measured, and leaves its season without a low flow."""
+    measured = v.daily_q.withColumn("q", F.when(F.col("q") > 1, F.col("q")))
+    return op.low_flow_q5(measured, null_policy="propagate")
+
+
 @query(
     "site_no:s year:i q5:f4",
     "select * from q5_long",
@@ -532,6 +545,17 @@ def sentinel_to_null(v: Views) -> DataFrame:
     return op.sentinel_to_null(v.attributes, ["a1", "a2"])
 
 
+@query(
+    "site_no:s mean_elevation:f4 mean_slope:f4",
+    "select site_no, mean_elevation, mean_slope from site_info where site_no is not null",
+)
+def basin_attribute(v: Views) -> DataFrame:
+    """Two one-row tables with a decorated column per site, turned into rows and joined."""
+    decorated = v.site_info.where("site_no is not null").withColumn("column", F.concat(F.lit("X"), "site_no", F.lit(".1")))
+    elevation, slope = (op.basin_attribute(decorated.groupBy().pivot("column").agg(F.first(c)), c) for c in ("mean_elevation", "mean_slope"))
+    return elevation.join(slope, "site_no")
+
+
 _KNOWN = 0.16  # a share below this counts as not known, so that there is something to fill
 _BACK = ", ".join(
     f"first_value(case when \"{c}\" >= {_KNOWN} then \"{c}\" end ignore nulls) over (partition by site_no order by year rows between current row and unbounded following) as \"{c}\""

@@ -26,6 +26,28 @@ def test_complete_years_count_distinct_days(make):
     assert "_days" not in kept.columns
 
 
+def test_low_flow_with_null_policy(make):
+    rows = [("a", date(y, 9, d), float(y - 1999 + d)) for y in (2000, 2001) for d in (1, 2)] + [("a", date(2001, 9, 3), None)]
+    rows += [("b", date(y, 9, 1), float(y - 1999)) for y in (2000, 2001)]
+    got = collect(op.low_flow_q5(make(rows, DAILY), null_policy="propagate"), "site_no", "year")
+    assert [r["q5"] for r in got] == [pytest.approx(2.05), None, 1.0, 2.0]
+    assert [r["norm_q5"] for r in got] == [None, None, 0.0, 1.0]
+    skipped = collect(op.low_flow_q5(make(rows, DAILY)), "site_no", "year")
+    assert [r["norm_q5"] for r in skipped] == [0.0, 1.0, 0.0, 1.0]
+    with pytest.raises(ValueError):
+        op.low_flow_q5(make(rows, DAILY), null_policy="poison")
+
+
+def test_panel_and_summary_with_null_policy(make):
+    facts = make([("a", 2000, 0.2), ("a", 2001, None), ("b", 2000, 0.4), ("b", 2001, 0.6)], "site_no string, water_year int, bf_prop double")
+    means = lambda **how: [r["mean_bf"] for r in collect(op.harmonise(facts, **how), "site_no", "water_year")]
+    assert means() == pytest.approx([0.2, 0.2, 0.5, 0.5])
+    assert means(null_policy="propagate")[:2] == [None, None] and means(null_policy="propagate")[2:] == pytest.approx([0.5, 0.5])
+    samples = make([("a", day(0), 1.0), ("b", day(0), 1.0)], "site_no string, sample_dt date, result_va double")
+    daily = make([("a", day(0), 1.0), ("a", day(1), None), ("b", day(0), 3.0)], DAILY)
+    assert [r["median_q"] for r in collect(op.record_summary(samples, daily, "propagate"), "site_no")] == [None, 3.0]
+
+
 def test_low_flow_uses_calendar_year(make):
     rows = year_of("a", 2001) + year_of("a", 2002)
     got = collect(op.low_flow_q5(make(rows, DAILY)), "site_no", "year")
