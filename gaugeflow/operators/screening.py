@@ -167,8 +167,8 @@ def final_record_filter(
     plus ``sd_k`` standard deviations of their site go; the date crop of samples is deliberately
     not applied, only this one. Sites left with fewer than ``min_obs`` samples or ``min_years``
     distinct water years go from both tables. Returns (samples, daily). Where rows meet their site's
-    one row they are dealt to many tasks by day and value, so a site with most of the rows is spread,
-    and the samples move once for both meetings.
+    one row they are dealt to many tasks by day and value, so a site with most of the rows is spread.
+    Samples without further columns move once for both meetings, others twice, the first time without those.
     """
     for extra in more_samples:
         samples = samples.unionByName(extra, allowMissingColumns=True)
@@ -180,17 +180,18 @@ def final_record_filter(
         (F.avg("result_va") + sd_k * F.stddev_samp("result_va")).alias("_cutoff"),
     )
     met = [SITE, DEAL]
-    usual = dealt(samples, "sample_dt", "result_va").join(for_dealt(sites), met).where(F.col("result_va") <= F.col("_cutoff"))
+    rows = dealt(samples, "sample_dt", "result_va")
+    usual = rows.join(for_dealt(sites), met).where(F.col("result_va") <= F.col("_cutoff"))
     # A site has as many cells as years, so distinct years need no rows of their own.
     cells = usual.groupBy(SITE, water_year("sample_dt").alias("_year")).agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_first").alias("_first"), F.first("_last").alias("_last")
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_first", "_last", "_cutoff")]
     )
     long_enough = (
         cells.groupBy(SITE)
-        .agg(F.sum("_n").alias("_n"), F.count("_year").alias("_years"), F.first("_first").alias("_first"), F.first("_last").alias("_last"))
+        .agg(F.sum("_n").alias("_n"), F.count("_year").alias("_years"), *[F.first(c).alias(c) for c in ("_first", "_last", "_cutoff")])
         .where((F.col("_n") >= min_obs) & (F.col("_years") >= min_years))
     )
-    kept_samples = usual.join(for_dealt(long_enough.select(SITE)), met, "left_semi")
+    kept_samples = rows.join(for_dealt(long_enough.select(SITE, "_cutoff")), met).where(F.col("result_va") <= F.col("_cutoff"))
     in_window = F.col("date").between(F.date_sub("_first", _lead_days(lead_years, True)), F.col("_last"))
     kept_daily = dealt(daily, "date").join(for_dealt(long_enough), met).where(in_window)
     return kept_samples.select(*samples.columns), kept_daily.select(*daily.columns)
