@@ -15,10 +15,11 @@ over that has a fixed format by itself is one too.
 Everything is a column expression over one row, trees included: no shuffle, no join, no Python on the
 executors. Regular expressions are written so that they run in linear time on any text. Positions are
 running sums in two levels, groups inside fixed spans are told by a running maximum, and a proposal looks for overlaps at its own
-stretch of a map of the run, so many spans in one text stay cheap. The trees are fitted by Spark ML on a
-bounded sample: at most ``TRAINED`` proposals, those of the documents with the smallest hash.
+stretch of a map of the run, so many spans in one text stay cheap. The trees are fitted by Spark ML on
+all spans and proposals of all distinct texts, counted by features: features are small numbers, so there are
+far fewer of their combinations than proposals. Thresholds and digit counts come from the same table.
 
-Nulls and ties: a null text is an empty one and has no spans. Without positives in the sample nothing
+Nulls and ties: a null text is an empty one and has no spans. Without positives in the documents nothing
 beyond the fixed formats is selected. Spans of a kind never overlap; spans of different kinds may.
 Repeated rows get the same result each. Empty tables give no rows. Columns named like the added ones
 are replaced, others are passed through.
@@ -26,6 +27,7 @@ are replaced, others are passed through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -36,9 +38,9 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm.text import SPACE, cut_lineage, table
 
-TRAINED = 50_000
 SIZES = 1000  # digit counts of positives kept, the most frequent; they only break ties
 TREES, DEPTH = 10, 3
+BINS, SPLIT_ROWS = 32, 10_000  # Spark ML looks for splits in a sample of max(bins ** 2, this many) rows
 BLOCK = 64
 CHUNK = 4096  # code points of a text that a piece is taken from
 
@@ -246,12 +248,11 @@ def features(x: Column, address: bool) -> dict[str, Column]:
     }
 
 
-def training_rows(documents: DataFrame, text: str = "text", most: int = TRAINED) -> DataFrame:
-    """Features and label of at most ``most`` fixed spans (words that hold one, for addresses) and proposals."""
+def training_rows(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Features and label of all fixed spans (words that hold one, for addresses) and proposals, each combination once; ``weight`` is how often it occurs."""
     rows = documents.filter(F.col(text).rlike(r"[0-9][+0-9\x20().-]{5,}|@")).select(F.xxhash64(F.lit(7), text).alias("draw"), F.col(text).alias("text"))
-    count = rows.count()
-    share = min(1.0, 2.0 * most / max(count, 1))
-    chosen = rows.filter(F.pmod("draw", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    # Copies of a document count once.
+    chosen = rows.dropDuplicates(["draw"])
 
     def row(x: Column, address: bool, label: int) -> Column:
         return F.struct(F.lit(label).alias("label"), *[v.cast("double").alias(n) for n, v in features(x, address).items()])
@@ -268,11 +269,10 @@ def training_rows(documents: DataFrame, text: str = "text", most: int = TRAINED)
             known = F.transform(F.concat(*[x.getField(k) for k in KINDS[1:]]), inside)
         return F.concat(F.transform(known, lambda y: row(y, address, 1)), F.transform(x.free, lambda y: row(y, address, 0)))
 
-    found = chosen.select("draw", proposals(F.col("text")).alias("p"))
+    found = chosen.select(proposals(F.col("text")).alias("p"))
     each = F.concat(F.flatten(F.transform("p.numbers", lambda x: rows_of(x, False))), F.flatten(F.transform("p.addresses", lambda x: rows_of(x, True))))
-    # Copies of a document count once; from here on a row is a few numbers.
-    rows = found.select("draw", each.alias("each")).dropDuplicates(["draw"]).select("draw", F.posexplode("each").alias("place", "r"))
-    return rows.orderBy("draw", "place").limit(most).select("r.*")
+    rows = found.select(F.explode(each).alias("r")).select("r.*")
+    return rows.groupBy("label", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
 
 
 def as_column(node, names: list[str], of: Callable[[str], Column]) -> Column:
@@ -351,20 +351,24 @@ class Selector:
         return F.when(F.size(free) == 0, F.array().cast(SPANS)).otherwise(let(F.array_sort(reaching), without_overlaps))
 
 
-def fit(documents: DataFrame, text: str = "text", most: int = TRAINED) -> Selector:
-    rows = cut_lineage(training_rows(documents, text, most).repartition(4))
+def fit(documents: DataFrame, text: str = "text") -> Selector:
+    by_features = ["label", *FEATURES]
+    # In a fixed order, so that reruns add up in the same one.
+    rows = cut_lineage(training_rows(documents, text).repartition(4, *by_features).sortWithinPartitions(*by_features))
     labels = {r.label for r in rows.select("label").distinct().collect()}
     if 1 not in labels:
         return Selector([], [], {}, [])
-    sizes = rows.filter("label = 1").groupBy(F.col("digits").cast("int").alias("n")).count().orderBy(F.desc("count"), "n").limit(SIZES)
+    sizes = rows.filter("label = 1").groupBy(F.col("digits").cast("int").alias("n")).agg(F.sum("weight").alias("count")).orderBy(F.desc("count"), "n").limit(SIZES)
     selector = Selector([], [], {}, [r.n for r in sizes.collect()])
     if labels == {1}:  # nothing to tell apart: every proposal counts
         selector.score = lambda of: F.lit(1.0)
     else:
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-        model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(vectors)
+        combinations = rows.count()
+        bins = BINS if combinations <= SPLIT_ROWS else math.isqrt(combinations) + 1  # so many that splits are looked for in all rows
+        model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=7).fit(vectors)
         selector.trees, selector.weights = [t._java_obj.rootNode() for t in model.trees], list(model.treeWeights)
-    scored = rows.filter("label = 1").groupBy("address").agg(F.avg(selector.score(F.col)).alias("mean"))
+    scored = rows.filter("label = 1").groupBy("address").agg((F.sum(selector.score(F.col) * F.col("weight")) / F.sum("weight")).alias("mean"))
     selector.thresholds = {bool(r.address): r["mean"] / 2 for r in scored.collect()}
     return selector
 

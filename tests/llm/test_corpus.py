@@ -190,6 +190,18 @@ def test_pii_selects_numbers_in_formats_without_a_fixed_one(spark):
     assert {t: [t[s.start : s.end] for s in found[k].number] for k, t in enumerate(asked)} == asked
 
 
+def test_pii_learns_from_every_proposal(spark):
+    """More proposals than any bound on them; copies of a text count once."""
+    rnd = random.Random(15)
+    runs = [[str(rnd.randrange(10 ** rnd.randint(1, 3))) for _ in range(30)] for _ in range(250)]
+    texts = [f"sum {' '.join(run)} of 4111 1111 1111 1111" for run in runs]
+    proposed = sum(len(" ".join(run[i : i + k])) >= pii.SHORTEST for run in runs for i in range(30) for k in range(1, min(20, 30 - i) + 1)) + len(runs)
+    assert proposed > 50_000
+    df = docs(spark, [(k, t) for k, t in enumerate(texts + texts[:40])])
+    found = {r.label: r.n for r in pii.training_rows(df).groupBy("label").agg(F.sum("weight").alias("n")).collect()}
+    assert found == {0: proposed, 1: len(texts)}
+
+
 def test_pii_overlaps_and_places_equal_plain_versions(spark):
     rnd = random.Random(15)
     cases = []
