@@ -2,11 +2,13 @@
 
 Vectors are turned into integers; the score of a pair is their inner product. Queries and candidates are
 dealt into blocks of bounded size, and each pair of blocks is one group. Inside it every dimension has a
-list of the candidates sorted by that component. A query walks down all its lists at once (upwards where
-its own component is negative), scores in full what it meets, and knows that nothing unseen can score
-more than the sum of its components times the values it stands at. It stops when that bound is below the
-k-th score found. An equal bound does not stop it: an unseen candidate with a smaller identifier would
-win the tie. The best of all blocks are merged per query, at most k from each.
+list of the candidates sorted by that component. The queries of a block walk down the lists together (upwards
+where a component of theirs is negative), score in full what is met, and a query knows that nothing unseen can score
+more than the sum of its components times the values it stands at. It leaves when that bound is below the
+k-th score found. An equal bound does not make it leave: an unseen candidate with a smaller identifier would
+win the tie. What one query meets is scored for all that still walk, by one matrix product: at the same depth the lists
+have the same rows for all, so together they meet at most twice what one of them meets alone. The best of
+all blocks are merged per query, at most k from each.
 
 Vectors that are null, or hold a null or non-finite component, take no part; nor do rows whose vec_id is
 null. Vectors meet only those of the same length. A query row is not its own candidate, other rows with
@@ -29,14 +31,20 @@ from gaugeflow.llm.text import cut_lineage, table
 CANDIDATES, QUERIES = 4096, 1024  # rows of a block
 FIRST_DEPTH, DEEPER = 8, 8
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+EXACT = 1 << 53  # whole numbers up to here are exact in a double
 FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
-def within_64_bits(numbers):
-    """Whole numbers of any size cut to 64 bits; 64-bit ones stay as they are."""
-    if getattr(numbers, "dtype", None) == np.int64:
-        return numbers
-    return np.array([max(LOWEST, min(HIGHEST, int(n))) for n in np.atleast_1d(numbers)], np.int64)
+def within_64_bits(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size cut to 64 bits; others stay as they are."""
+    return np.minimum(np.maximum(numbers, LOWEST), HIGHEST) if numbers.dtype == object else numbers
+
+
+def numbers_for(asked: np.ndarray, held: np.ndarray) -> type:
+    """What holds every score times the number of candidates: doubles if exact, 64-bit numbers, or numbers of any size."""
+    largest = lambda m: max(-int(m.min(initial=0)), int(m.max(initial=0)))
+    most = (largest(asked) * largest(held) * max(asked.shape[1], 1) + 1) * max(len(held), 1)
+    return np.float64 if most < EXACT else np.int64 if most < HIGHEST else object
 
 
 class Lists:
@@ -48,15 +56,23 @@ class Lists:
         self.order = np.argsort(self.vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(self.vectors, self.order, axis=0)
 
-    def best(self, query: np.ndarray, row: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best candidates but ``row`` itself, ties to the smaller id."""
-        n = len(self.ids)
-        up, down = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
-        seen = np.zeros(n, bool)
-        places, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def best(self, queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places among the queries, places and scores of the k best candidates of each but its own of ``rows``, best first, ties to the smaller id.
+
+        A candidate's key is its score times the number of candidates plus what puts smaller places first,
+        so that keys of a query differ and fall from best to worst.
+        """
+        n, kind = len(self.ids), self.vectors.dtype
+        lowest = -np.inf if kind == np.float64 else LOWEST if kind == np.int64 else LOWEST * (n + 1)
+        by_row = np.argsort(self.rows)
+        own = by_row[np.minimum(np.searchsorted(self.rows, rows, sorter=by_row), n - 1)]
+        own = np.where(self.rows[own] == rows, own, -1)
+        top = np.full((len(queries), k), lowest, kind)
+        walking, seen = np.arange(len(queries)), np.zeros(n, bool)
         start, depth = 0, FIRST_DEPTH
-        while start < n:
-            end = min(depth, n)
+        while start < n and len(walking):
+            end, asked = min(depth, n), queries[walking]
+            up, down = np.flatnonzero((asked < 0).any(axis=0)), np.flatnonzero((asked > 0).any(axis=0))
             met = np.zeros(n, bool)
             met[self.order[start:end, up]] = True
             met[self.order[n - end : n - start, down]] = True
@@ -64,36 +80,44 @@ class Lists:
                 met[:] = True  # without a component all candidates score 0
             new = np.flatnonzero(met & ~seen)
             seen |= met
-            new = new[self.rows[new] != row]
-            places = np.concatenate([places, new])
-            scores = np.concatenate([scores, within_64_bits(self.vectors[new] @ query)])
-            if len(places) > k:
-                kept = np.lexsort((places, ~scores))[:k]  # ~x falls as x rises, the lowest number included
-                places, scores = places[kept], scores[kept]
-            bound = self.values[end - 1, up] @ query[up] + self.values[n - end, down] @ query[down]
-            if len(places) == k and within_64_bits(bound).max() < scores.min():
-                break
+            if len(new):
+                keys = within_64_bits(asked @ self.vectors[new].T)
+                keys *= n
+                keys += (n - 1 - new).astype(kind)
+                # A query's own row is no candidate.
+                at = np.minimum(np.searchsorted(new, own[walking]), len(new) - 1)
+                self_met = np.flatnonzero(new[at] == own[walking])
+                keys[self_met, at[self_met]] = lowest
+                # Keys above the k-th so far, side by side, and the k best of both.
+                query, place = np.nonzero(keys > top[walking].min(axis=1)[:, None])
+                found = np.bincount(query, minlength=len(walking))
+                width = int(found.max())
+                better = np.full((len(walking), k + width), lowest, kind)
+                better[:, :k] = top[walking]
+                better[query, k + np.arange(len(query)) - np.repeat(np.cumsum(found) - found, found)] = keys[query, place]
+                top[walking] = np.partition(better, width, axis=1)[:, width:]
+            bound = within_64_bits(np.maximum(asked, 0) @ self.values[n - end] + np.minimum(asked, 0) @ self.values[end - 1])
+            walking = walking[bound * n + (n - 1) >= top[walking].min(axis=1)]
             start, depth = end, depth * DEEPER
-        return places, scores
+        top = np.sort(top, axis=1)[:, ::-1]
+        query, place = np.nonzero(top > lowest)
+        keys = top[query, place]
+        keys = keys if kind == object else keys.astype(np.int64)
+        return query, n - 1 - (keys % n).astype(np.int64), (keys // n).astype(np.int64)
 
 
 def _search(key, queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     """One pair of blocks."""
-    out = [[], [], [], []]
+    out = [np.zeros(0, np.int64)] * 4
     if queries.num_rows and candidates.num_rows:
         matrix = lambda t: np.asarray(t.column("vector").combine_chunks().flatten(), np.int64).reshape(t.num_rows, -1)
         number = lambda t, c: t.column(c).to_numpy()
         asked, held = matrix(queries), matrix(candidates)
-        largest = lambda m: max(-int(m.min(initial=0)), int(m.max(initial=0)))
-        if largest(asked) * largest(held) * max(asked.shape[1], 1) > HIGHEST:
-            asked, held = asked.astype(object), held.astype(object)
-        lists = Lists(number(candidates, "vec_id"), number(candidates, "row"), held)
-        for query, row, query_id in zip(asked, number(queries, "row").tolist(), number(queries, "vec_id").tolist()):
-            places, scores = lists.best(query, row, k)
-            out[0] += [row] * len(places)
-            out[1] += [query_id] * len(places)
-            out[2] += lists.ids[places].tolist()
-            out[3] += scores.tolist()
+        kind = numbers_for(asked, held)
+        lists = Lists(number(candidates, "vec_id"), number(candidates, "row"), held.astype(kind))
+        rows = number(queries, "row")
+        query, place, score = lists.best(asked.astype(kind), rows, k)
+        out = [rows[query], number(queries, "vec_id")[query], lists.ids[place], score]
     return pa.table([pa.array(x, pa.int64()) for x in out], names=[f.split(" ")[0] for f in FOUND.split(", ")])
 
 
