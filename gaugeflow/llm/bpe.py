@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array per short word.
 
 A text is cut at special tokens, then before every space that a non-space follows (no piece of the
-vocabulary's pattern crosses such a place), and the resulting chunks are looked up in a bounded cache
-of two generations, so that frequent chunks stay when it is full. Chunks met for the first time in a batch are cut into words by the pattern. A short word is a row of
+vocabulary's pattern crosses such a place). A batch's distinct chunks (found by Arrow) are looked up in a bounded cache
+of two generations, so that frequent chunks stay when it is full, and the ids of all texts are gathered from theirs
+at once. Chunks met for the first time in a batch are cut into words by the pattern. A short word is a row of
 two contiguous arrays, its parts and the ranks of adjacent parts: the smallest rank is scanned for, its
 boundary deleted and the two ranks beside it refreshed, until no pair can merge. The rows of a batch
 take these steps together (numpy). The scan is quadratic, so a word of more than ``SHORT`` bytes keeps
@@ -29,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -81,7 +83,9 @@ class Vocabulary:
             self.merge[ids[left] << 32 | ids[right]] = (rank, ids[left + right])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
-        self.decimal = {i: str(i) for i in self.bytes_of}
+        # By id: decimal digits and a comma, padded with zero bytes; the bytes of the token.
+        self._decimal = np.array([f"{i}," for i in range(max(self.bytes_of) + 1)], "S")
+        self._raw = np.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], object)
         marks = sorted(self.special, key=len, reverse=True)
         self._special = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self._piece = regex.compile(PIECES)
@@ -92,8 +96,10 @@ class Vocabulary:
         keys = sorted(self.merge)
         self._keys = np.array(keys, np.int64)
         self._rank = np.array([self.merge[k][0] for k in keys], np.int32)
-        self._made = np.array([self.merge[k][1] for k in keys], np.int64)
+        self._made = np.zeros(len(keys), np.int64)  # by rank
+        self._made[self._rank] = [self.merge[k][1] for k in keys]
         self._of_byte = np.array(self.of_byte, np.int64)
+        self._of_bytes = self._ranks(self._of_byte[:, None], self._of_byte[None, :])
         self._path, self._library = path, None
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +121,14 @@ class Vocabulary:
         size = np.fromiter(map(len, words), np.int64, len(words))
         width = int(size.max())
         part = np.zeros((len(words), width), np.int64)
-        part[np.arange(width) < size[:, None]] = self._of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        part[np.arange(width) < size[:, None]] = self._of_byte[data]
         rank = np.full((len(words), width), NEVER, np.int32)
-        inside = np.arange(width - 1) < size[:, None] - 1
-        rank[:, :-1][inside] = self._ranks(part[:, :-1][inside], part[:, 1:][inside])
+        # In the row of all words the pairs that reach into the next word are left out.
+        pairs = self._of_bytes[data[:-1], data[1:]]
+        within = np.ones(len(data), bool)
+        within[np.cumsum(size) - 1] = False
+        rank[:, :-1][np.arange(width - 1) < size[:, None] - 1] = pairs[within[:-1]]
         out: list[tuple[int, ...]] = [()] * len(words)
         row, column = np.arange(len(words)), np.arange(width)
         while len(row):
@@ -132,7 +142,7 @@ class Vocabulary:
                 here = np.arange(len(row))
                 if not len(row):
                     break
-            merged = self._made[np.searchsorted(self._keys, part[here, i] << 32 | part[here, i + 1])]
+            merged = self._made[rank[here, i]]
             # Delete the boundary after part i: what follows moves one place to the left.
             source = np.minimum(column + (column > i[:, None]), width - 1)
             part = np.take_along_axis(part, source, 1)
@@ -177,28 +187,27 @@ class Vocabulary:
                     heapq.heappush(queue, queue.pop())
         return [p for p in part if p >= 0]
 
-    def words_ids(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct words: short ones by rank arrays, grouped by length, long ones by heap."""
-        out: dict[str, tuple[int, ...]] = {}
-        groups: dict[int, tuple[list[str], list[bytes]]] = {}
-        for word in words:
-            data = word.encode()
-            n = len(data)
-            if n > SHORT:
-                out[word] = tuple(self._heap(data))
-            elif n == 1:
-                out[word] = (self.of_byte[data[0]],)
-            else:
-                group = groups.setdefault((n + 3) // 4, ([], []))
-                group[0].append(word)
-                group[1].append(data)
-        for names, datas in groups.values():
-            for k in range(0, len(names), SCANNED):
-                out.update(zip(names[k : k + SCANNED], self._scan(datas[k : k + SCANNED])))
+    def words_ids(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words: short ones by rank arrays, those of about the same length together, long ones by heap."""
+        data = [word.encode() for word in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        out: list[tuple[int, ...]] = [()] * len(data)
+        order = np.argsort(size, kind="stable")
+        bounds = np.searchsorted(size[order], [2, *range(5, SHORT + 1, 4), SHORT + 1]).tolist()
+        order = order.tolist()
+        for k in order[: bounds[0]]:
+            out[k] = (self.of_byte[data[k][0]],)
+        for low, high in zip(bounds, bounds[1:]):
+            for k in range(low, high, SCANNED):
+                some = order[k : min(k + SCANNED, high)]
+                for i, ids in zip(some, self._scan([data[i] for i in some])):
+                    out[i] = ids
+        for k in order[bounds[-1] :]:
+            out[k] = tuple(self._heap(data[k]))
         return out
 
-    def _learn(self, chunks: set[str], lead: str, into: dict[str, tuple[int, ...]]) -> None:
-        """Ids of chunks with ``lead`` before them, into a cache."""
+    def _learn(self, chunks: list[str], lead: str, into: dict[str, tuple[int, ...]]) -> None:
+        """Ids of distinct chunks with ``lead`` before them, into a cache."""
         findall = self._piece.findall
         if has_newer("".join(chunks)):
             # Characters newer than this Python: their class is the one the tokenizers library has.
@@ -209,19 +218,26 @@ class Vocabulary:
             cut = self._library.pre_tokenize_str
             findall = lambda c: [c[a:b] for _, (a, b) in cut(c)] if has_newer(c) else self._piece.findall(c)
         # Letters alone are one word of the pattern.
-        whole = {chunk: lead + chunk for chunk in chunks if chunk.isalpha()}
-        words_of = {chunk: findall(lead + chunk) for chunk in chunks if chunk not in whole}
-        ids = self.words_ids(list({*whole.values(), *chain.from_iterable(words_of.values())}))
-        for chunk, word in whole.items():
-            into[chunk] = ids[word]
-        for chunk, words in words_of.items():
+        whole, others = [c for c in chunks if c.isalpha()], [c for c in chunks if not c.isalpha()]
+        words_of = [findall(lead + c) for c in others]
+        words = [lead + c for c in whole]
+        words += set(chain.from_iterable(words_of)).difference(words)
+        found = self.words_ids(words)
+        into.update(zip(whole, found))
+        ids = dict(zip(words, found))
+        for chunk, words in zip(others, words_of):
             into[chunk] = ids[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, words)))
 
-    def _chunks_of(self, text: str) -> list[str]:
-        """The text cut before every space that a non-space follows; that space is left out."""
-        return self._chunk.split(text) if self._spaces.search(text) else text.split(" ")
+    def _chunks_of(self, pieces: list[str]) -> pa.ListArray:
+        """Every piece cut before every space that a non-space follows; that space is left out."""
+        odd = np.fromiter((self._spaces.search(p) is not None for p in pieces), bool, len(pieces))
+        cut = pc.split_pattern(pa.array(pieces, pa.large_string()), " ")
+        if not odd.any():
+            return cut
+        by_pattern = pa.array([self._chunk.split(pieces[k]) for k in np.flatnonzero(odd)], cut.type)
+        return pa.concat_arrays([cut, by_pattern]).take(pa.array(np.where(odd, len(pieces) - 1 + np.cumsum(odd), np.arange(len(pieces)))))
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text. Nothing made here refers back to itself, so cycles need not be looked for."""
         collecting = gc.isenabled()
         gc.disable()
@@ -231,40 +247,79 @@ class Vocabulary:
             if collecting:
                 gc.enable()
 
-    def _encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        # Pieces between special tokens (even places) and the special tokens (odd places).
-        pieces = [self._special.split(t) if t and self._special is not None and self._special.search(t) else [t or ""] for t in texts]
-        cut = [[self._chunks_of(p) if k % 2 == 0 else p for k, p in enumerate(ps)] for ps in pieces]
+    def _ids_of(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct chunks with a space before them, from the cache if they are there."""
         if len(self._chunks) > CACHED_CHUNKS // 2:
             self._older, self._chunks = self._chunks, {}
-        needed = set(chain.from_iterable(c[1:] for cs in cut for c in cs[::2]))
-        needed.difference_update(self._chunks)
-        kept = needed.intersection(self._older)
-        self._chunks.update(zip(kept, map(self._older.__getitem__, kept)))
-        needed -= kept
-        long = {c for c in needed if len(c) > CACHED_CHARS}
+        found, needed = list(map(self._chunks.get, chunks)), []
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        for c in map(chunks.__getitem__, missing):
+            ids = self._older.get(c)
+            if ids is None:
+                needed.append(c)
+            else:
+                self._chunks[c] = ids
         self._learn(needed, " ", self._chunks)
-        first: dict[str, tuple[int, ...]] = {"": ()}
-        self._learn({c[0] for cs in cut for c in cs[::2] if c[0]}, "", first)
-        out, get = [], self._chunks.__getitem__
-        for cs in cut:
-            ids: list[int] = []
-            for k, c in enumerate(cs):
+        for k in missing:
+            found[k] = self._chunks[chunks[k]]
+        for c in needed:
+            if len(c) > CACHED_CHARS:
+                del self._chunks[c]
+        return found
+
+    def _encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        # Pieces between special tokens, and the special tokens, each with the number of pieces before it.
+        pieces, text_of, special, special_at, special_text = [], [], [], [], []
+        for n, t in enumerate(texts):
+            parts = self._special.split(t) if t and self._special is not None and self._special.search(t) else [t or ""]
+            for k, p in enumerate(parts):
                 if k % 2:
-                    ids.append(self.special[c])
+                    special.append(self.special[p])
+                    special_at.append(len(pieces))
+                    special_text.append(n)
                 else:
-                    ids.extend(first[c[0]])
-                    ids.extend(chain.from_iterable(map(get, c[1:])))
-            out.append(ids)
-        for c in long:
-            del self._chunks[c]
-        return out
+                    pieces.append(p)
+                    text_of.append(n)
+        cut = self._chunks_of(pieces)
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        text_of = np.repeat(np.array(text_of), np.diff(offsets))
+        # Numbers of what stands in the texts: chunks with a space before them, first chunks of pieces, special tokens.
+        firsts, first_number = np.unique(code[offsets[:-1]], return_inverse=True)
+        first: dict[str, tuple[int, ...]] = {"": ()}
+        self._learn([distinct[c] for c in firsts.tolist() if distinct[c]], "", first)
+        held = self._ids_of(distinct) + [first[distinct[c]] for c in firsts.tolist()]
+        number = code.copy()
+        number[offsets[:-1]] = len(distinct) + first_number
+        if special:
+            at = np.append(offsets[:-1], len(code))[special_at]
+            number, text_of = np.insert(number, at, len(held) + np.arange(len(special))), np.insert(text_of, at, special_text)
+            held += [(i,) for i in special]
+        # Their ids in a row, and from there to the places in the texts.
+        size = np.fromiter(map(len, held), np.int64, len(held))
+        ids = np.fromiter(chain.from_iterable(held), np.int32, int(size.sum()))
+        start, size_at = (np.cumsum(size) - size)[number], size[number]
+        end = np.cumsum(size_at)
+        ids = ids[np.repeat(start - end + size_at, size_at) + np.arange(end[-1])]
+        # ``text_of`` rises, and every text has a chunk.
+        last = np.searchsorted(text_of, np.arange(len(texts)), "right") - 1
+        return np.split(ids, end[last[:-1]])
 
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_batch([text])[0]
+        return self.encode_batch([text])[0].tolist()
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and ids.min() < 0:
+            raise KeyError(int(ids.min()))
+        return b"".join(self._raw[ids].tolist()).decode("utf-8", "replace")
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        return self._decimal[ids].tobytes().replace(b"\0", b"")[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -347,7 +402,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         vocab, out = vocabulary(path), ([], [], [])
         for ids in vocab.encode_batch(texts):
             out[0].append(len(ids))
-            out[1].append(hashlib.sha256(",".join(map(vocab.decimal.__getitem__, ids)).encode()).hexdigest())
+            out[1].append(hashlib.sha256(vocab.decimals(ids)).hexdigest())
             out[2].append(hashlib.sha256(vocab.decode(ids).encode()).hexdigest())
         return list(out)
 

@@ -55,6 +55,26 @@ def test_bpe_encode_then_decode(spark, awkward):
     assert bpe.encode(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_bpe_gathers_a_batch_at_once():
+    """Texts with and without special tokens and odd spaces in one batch; ids come as arrays, with their digits and bytes."""
+    from tokenizers import Tokenizer
+
+    whole, vocab = Tokenizer.from_file(tokenizer_path()), bpe.Vocabulary(tokenizer_path())
+    rnd = random.Random(16)
+    parts = ["the", " word", " the", "  ", "\n", " \n", "<|endoftext|>", "é", "🙂", "\0", " 12", "!", " " + "x" * 60]
+    for _ in range(8):
+        texts = [None, "", *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(80)), "<|endoftext|>" * 2]
+        for text, ids in zip(texts, vocab.encode_batch(texts), strict=True):
+            want = whole.encode(text or "", add_special_tokens=False).ids
+            assert ids.tolist() == want, text
+            assert vocab.decimals(ids) == ",".join(map(str, want)).encode() and vocab.decode(ids) == (text or "")
+    assert vocab.encode_batch([]) == []
+    # The merges that an array of ranks yields are those of the vocabulary.
+    assert all(vocab._made[rank] == made for rank, made in vocab.merge.values())
+    with pytest.raises((KeyError, IndexError, TypeError)):
+        vocab.decode([-1])
+
+
 def test_scan_and_heap_agree():
     vocab = bpe.vocabulary(tokenizer_path())
     rnd = random.Random(3)
